@@ -74,7 +74,7 @@ def convex_hull(points: DataFrame) -> DataFrame:
     located = points.select(F.col("x").cast("double"), F.col("y").cast("double")).dropna("any")
     corners = located.mapInPandas(_partial, schema)
     corners = corners.repartition(_FAN_IN, "x", "y").mapInPandas(_partial, schema)
-    return corners.groupBy(F.lit(0)).applyInPandas(_final, "seq bigint, x double, y double")
+    return corners.groupBy().applyInPandas(_final, "seq bigint, x double, y double")
 
 
 def hull_edges(hull: DataFrame) -> Column:
@@ -89,5 +89,5 @@ def select_pois(pois: DataFrame, tags: dict[str, list[str]], hull: DataFrame, bu
     wanted = asked[0]
     for condition in asked[1:]:
         wanted = wanted | condition
-    near = geo.point_ring_distance(F.col("x"), F.col("y"), hull_edges(hull)) <= F.lit(buffer)
-    return pois.filter(wanted).filter(near)
+    near = geo.point_ring_distance(F.col("x"), F.col("y"), F.col("_hull")) <= F.lit(buffer)
+    return pois.filter(wanted).withColumn("_hull", hull_edges(hull)).filter(near).drop("_hull")

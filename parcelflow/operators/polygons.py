@@ -20,19 +20,26 @@ def points_in_polygons(
     columns: list[str],
     polygon_id: str,
     dedupe: str | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Attach the columns of the polygons that hold each point (boundary included).
 
     Points (``x, y``) without a polygon are kept with nulls; a point on a shared edge gives one
-    row per polygon, or only the polygon with the smallest id when ``dedupe="first"``.
+    row per polygon, or only the polygon with the smallest id when ``dedupe="first"``. ``digits``
+    compares coordinates rounded to so many decimals: a reprojected edge is only exact up to that.
 
     A polygon is filed in the power-of-two grid whose cells are at least as large as its box, so
     it touches at most four cells; a point is looked up once per grid in use.
     """
+
+    def snapped(c):
+        return c if digits is None else F.round(c, digits)
+
     box = geo.ring_bounds(F.col("ring"))
     extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
+    ring = F.transform("ring", lambda p: F.struct(snapped(p["x"]).alias("x"), snapped(p["y"]).alias("y")))
     shapes = (
-        polygons.select(polygon_id, *[c for c in columns if c != polygon_id], "ring")
+        polygons.select(polygon_id, *[c for c in columns if c != polygon_id], ring.alias("ring"))
         .withColumns(box)
         .withColumns({"edges": geo.ring_edges(F.col("ring")), "level": F.ceil(F.log2(extent)).cast("int")})
         .drop("ring")
@@ -51,12 +58,17 @@ def points_in_polygons(
     filed = shapes.withColumn("cx", cells("xmin", "xmax")).withColumn("cy", cells("ymin", "ymax"))
     sites = points.select("x", "y").dropna("any").distinct()
     looked_up = sites.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumns(
-        {"cx": cell(F.col("x"), F.col("level")), "cy": cell(F.col("y"), F.col("level"))}
+        {
+            "px": snapped(F.col("x")),
+            "py": snapped(F.col("y")),
+            "cx": cell(snapped(F.col("x")), F.col("level")),
+            "cy": cell(snapped(F.col("y")), F.col("level")),
+        }
     )
     inside = (
-        F.col("x").between(F.col("xmin"), F.col("xmax"))
-        & F.col("y").between(F.col("ymin"), F.col("ymax"))
-        & geo.point_in_ring(F.col("x"), F.col("y"), F.col("edges"))
+        F.col("px").between(F.col("xmin"), F.col("xmax"))
+        & F.col("py").between(F.col("ymin"), F.col("ymax"))
+        & geo.point_in_ring(F.col("px"), F.col("py"), F.col("edges"))
     )
     keep = list(dict.fromkeys([polygon_id, *columns]))
     held = looked_up.join(filed, on=["level", "cx", "cy"]).filter(inside).select("x", "y", *keep)

@@ -44,10 +44,13 @@ def _located(sources: DataFrame, category: str | None) -> DataFrame:
     if "x" not in sources.columns:
         sources = sources.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
     is_point = F.col("edges").isNull()
+
+    def along(axis: str) -> Column:
+        # Every vertex starts one edge, so the first ends of the edges are all vertices.
+        return F.when(is_point, F.array(axis)).otherwise(F.transform("edges", lambda e: e[f"{axis}1"]))
+
     ends = {
-        f"{axis}{end}": F.when(is_point, F.col(axis)).otherwise(
-            pick(F.flatten(F.transform("edges", lambda e, a=axis: F.array(e[f"{a}1"], e[f"{a}2"]))))
-        )
+        f"{axis}{end}": pick(along(axis))
         for axis in ("x", "y")
         for end, pick in (("min", F.array_min), ("max", F.array_max))
     }

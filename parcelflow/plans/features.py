@@ -75,7 +75,7 @@ def geo_features(df: DataFrame, sources: FeatureSources, key: str = "parcelid")
 
     elevation = raster_lookup(degrees, sources.raster, sources.raster_lon, sources.raster_lat, sources.raster_step)
     counts = count_within(metres, pois, sources.radius, sources.keys)
-    census = points_in_polygons(degrees, tracts, sources.variables, sources.tract_id, dedupe="first")
+    census = points_in_polygons(degrees, tracts, sources.variables, sources.tract_id, dedupe="first", digits=9)
     near_cities = city_features(metres, cities, sources.big_city, key)
     near_pois = nearest_by_type(metres, pois, sources.types)
     frames = [f.drop("x", "y") for f in (elevation, counts, census, near_cities, near_pois)]

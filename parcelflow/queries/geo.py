@@ -336,7 +336,7 @@ def census_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _degrees(standin(spark, sf_dir, "props")).select(
         "parcelid", F.col("longitude").alias("x"), F.col("latitude").alias("y")
     )
-    mapped = points_in_polygons(points, degrees, ["tract", "people", "homes"], "tract")
+    mapped = points_in_polygons(points, degrees, ["tract", "people", "homes"], "tract", digits=9)
     return mapped.select(
         "parcelid",
         "tract",
