@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,7 @@ def train(
     df: DataFrame,
     iterations: int = V.SEARCH_ITERATIONS,
     mode: str = "intended",
-    maps: list[dict] | None = None,
+    maps: Callable[[Pipeline], list[dict]] | None = None,
     log_folder: str | None = None,
     experiment: str = "default",
     tags: dict[str, str] | None = None,
@@ -35,12 +37,14 @@ def train(
 ) -> Training:
     """Preprocess, split, search, evaluate on the held-out part, and log.
 
+    ``maps`` replaces the random search space by parameter maps for the given pipeline.
     The preprocessed table is written once, so folds and fits do not repeat the ingest.
     """
     prepared = materialize(Preprocess(mode=mode).fit(df).transform(df), "prepared")
     train_part, test_part = split(prepared)
     pipeline = build_pipeline(prepared.columns, **boosting)
-    model = cross_validator(pipeline, maps or search_space(pipeline, iterations)).fit(train_part)
+    draws = maps(pipeline) if maps else search_space(pipeline, iterations)
+    model = cross_validator(pipeline, draws).fit(train_part)
     run = log_run(df.sparkSession, model, log_folder, experiment, tags) if log_folder else None
     predictions = model.transform(test_part).select(V.LABEL, V.PREDICTION)
     return Training(model, predictions, mean_absolute_error(predictions, V.LABEL, V.PREDICTION), run)

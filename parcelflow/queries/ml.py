@@ -1 +1,213 @@
-"""Geospatial joins."""
+"""Imputers, encoders, the model pipeline, search and run log."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..ml.group_imputer import GroupImputer, group_statistics
+from ..ml.pipeline import build_pipeline, evaluator, search_space, split
+from ..ml.preprocess import preprocess
+from ..ml.run_log import read_log
+from ..operators.statistics import mean_absolute_error
+from ..plans import fixed_values as V
+from ..plans.training import train
+from ..scratch import materialize, scratch_path
+from .registry import query
+from .standins import cte, standin, table, wide
+
+_STATS = (
+    "SELECT {g} AS grp, avg({a}) AS m, coalesce(stddev_samp({a}), CASE WHEN count({a}) > 0 THEN 0 END) AS s "
+    "FROM props GROUP BY {g}"
+)
+
+
+@query(
+    cte("props")
+    + """ SELECT region, round(avg(area), 6) AS area_mean,
+      round(coalesce(stddev_samp(area), CASE WHEN count(area) > 0 THEN 0 END), 6) AS area_std,
+      round(avg(garagetotalsqft), 6) AS garagetotalsqft_mean,
+      round(coalesce(stddev_samp(garagetotalsqft), CASE WHEN count(garagetotalsqft) > 0 THEN 0 END), 6)
+        AS garagetotalsqft_std FROM props GROUP BY region"""
+)
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = group_statistics(standin(spark, sf_dir, "props"), "region", ["area", "garagetotalsqft"])
+    return stats.select("region", *[F.round(c, 6).alias(c) for c in stats.columns if c != "region"])
+
+
+@query(
+    cte("props")
+    + """, s AS (SELECT zoning, avg(area) AS m, avg(garagetotalsqft) AS g FROM props GROUP BY zoning)
+    SELECT parcelid, round(coalesce(area, m), 6) AS area_imputed,
+      CASE WHEN garagetotalsqft IS NULL THEN CAST(trunc(g) AS BIGINT) ELSE garagetotalsqft END AS garage_imputed
+    FROM props JOIN s ON props.zoning = s.zoning"""
+)
+def group_impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns at once; the integer column is cut to its type."""
+    props = standin(spark, sf_dir, "props")
+    imputer = GroupImputer(
+        inputCols=["area", "garagetotalsqft"], outputCols=["area_imputed", "garage_imputed"], groupCol="zoning"
+    )
+    done = imputer.fit(props).transform(props)
+    return done.select("parcelid", F.round("area_imputed", 6).alias("area_imputed"), "garage_imputed")
+
+
+@query(
+    cte("props")
+    + " SELECT count(*) AS n, count(area) AS kept, count(*) - count(area) AS filled, CAST(0 AS BIGINT) AS still_null FROM props"
+)
+def group_impute_stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold with noise: values stay as they are, every null is filled."""
+    props = standin(spark, sf_dir, "props")
+    imputer = GroupImputer(inputCol="area", outputCol="filled_area", groupCol="zoning", stochastic=True)
+    done = imputer.fit(props).transform(props)
+    return done.agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.col("area") == F.col("filled_area"), 1)).alias("kept"),
+        F.count(F.when(F.col("area").isNull() & F.col("filled_area").isNotNull(), 1)).alias("filled"),
+        F.count(F.when(F.col("filled_area").isNull(), 1)).alias("still_null"),
+    )
+
+
+@query(
+    cte("props")
+    + """ SELECT parcelid, round(coalesce(area, (SELECT avg(area) FROM props)), 6) AS area,
+      round(coalesce(garagetotalsqft, (SELECT avg(garagetotalsqft) FROM props)), 6) AS garage FROM props"""
+)
+def impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = standin(spark, sf_dir, "props").select("parcelid", "area", F.col("garagetotalsqft").cast("double").alias("garage"))
+    columns = ["area", "garage"]
+    done = Imputer(inputCols=columns, outputCols=columns, strategy="mean").fit(props).transform(props)
+    return done.select("parcelid", *[F.round(c, 6).alias(c) for c in columns])
+
+
+@query(
+    """
+    SELECT o.o_orderkey, CAST(r.i AS DOUBLE) AS priority_indexed FROM orders o JOIN (
+      SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS i
+      FROM orders GROUP BY o_orderpriority) r ON o.o_orderpriority = r.o_orderpriority"""
+)
+def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    indexer = StringIndexer(inputCols=["o_orderpriority"], outputCols=["priority_indexed"], handleInvalid="keep")
+    return indexer.fit(orders).transform(orders).select("o_orderkey", "priority_indexed")
+
+
+@query(
+    "SELECT c_custkey, c_nationkey AS slot, 1e0 AS filled, (SELECT max(c_nationkey) + 1 FROM customer) AS size FROM customer"
+)
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set slot and the width of the vector."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    encoder = OneHotEncoder(inputCols=["c_nationkey"], outputCols=["onehot"], handleInvalid="keep")
+    slots = encoder.fit(customer).transform(customer).select("c_custkey", vector_to_array("onehot").alias("v"))
+    return slots.select(
+        "c_custkey",
+        (F.array_position("v", F.lit(1.0)) - 1).cast("int").alias("slot"),
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("filled"),
+        F.size("v").alias("size"),
+    )
+
+
+@query(
+    "SELECT o_orderkey, 3 AS size, round(o_orderkey + o_custkey + o_totalprice, 4) AS total FROM orders"
+)
+def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    assembler = VectorAssembler(
+        inputCols=["o_orderkey", "o_custkey", "o_totalprice"], outputCol="v", handleInvalid="keep"
+    )
+    vectors = assembler.transform(orders).select("o_orderkey", vector_to_array("v").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return vectors.select("o_orderkey", F.size("v").alias("size"), F.round(total, 4).alias("total"))
+
+
+@query(
+    "SELECT o_orderkey, 64 AS size, 1e0 + round(o_totalprice, 4) AS total FROM orders"
+)
+def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category adds 1 to its slot, a number adds its value; the sum does not depend on the hash."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    hasher = FeatureHasher(inputCols=["o_orderpriority", "o_totalprice"], outputCol="v", numFeatures=64)
+    vectors = hasher.transform(orders).select("o_orderkey", vector_to_array("v").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return vectors.select("o_orderkey", F.size("v").alias("size"), F.round(total, 4).alias("total"))
+
+
+_SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(preprocess(wide(spark, sf_dir)), "prepared")
+
+
+@query()
+def fit_predict_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven stages over the full-width table, evaluated on the held-out quarter."""
+    df = _prepared(spark, sf_dir)
+    train_part, test_part = split(df)
+    model = build_pipeline(df.columns, hash_features=32, **_SMALL_TREES).fit(train_part)
+    return mean_absolute_error(model.transform(test_part), V.LABEL, V.PREDICTION)
+
+
+@query()
+def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random search with cross validation, logged as tables; one row per parameter map."""
+    return _search(spark, sf_dir, "results")
+
+
+@query()
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run of a search, read back from the log."""
+    return _search(spark, sf_dir, "runs")
+
+
+def _search(spark: SparkSession, sf_dir: str, log_table: str) -> DataFrame:
+    def maps(pipeline: Pipeline) -> list[dict]:
+        # Two draws of the search space with the tree sizes held small.
+        fixed = {"maxDepth", "maxIter"}
+        return [{p: v for p, v in m.items() if p.name not in fixed} for m in search_space(pipeline, iterations=2)]
+
+    folder = scratch_path(spark, "runs")
+    train(
+        wide(spark, sf_dir),
+        maps=maps,
+        log_folder=folder,
+        experiment="houses",
+        tags={"source": "orders"},
+        stochastic=False,
+        **_SMALL_TREES,
+    )
+    return read_log(spark, folder, log_table, "houses")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM orders")
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline with the group imputer, saved and loaded, gives the same values."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("price")
+    )
+    imputer = GroupImputer(inputCol="price", outputCol="price_imputed", groupCol="o_orderpriority")
+    indexer = StringIndexer(inputCol="o_orderpriority", outputCol="priority", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=["price_imputed", "priority"], outputCol="v", handleInvalid="keep")
+    model = Pipeline(stages=[imputer, indexer, assembler]).fit(orders)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    keys = ["o_orderkey", vector_to_array("v").alias("v")]
+    before = model.transform(orders).select(*keys)
+    after = PipelineModel.load(path).transform(orders).select("o_orderkey", vector_to_array("v").alias("w"))
+    both = before.join(after, on="o_orderkey")
+    return both.agg(F.count("*").alias("n"), F.count(F.when(~F.col("v").eqNullSafe(F.col("w")), 1)).alias("different"))
+
+
+@query("SELECT round(avg(abs(l_extendedprice - l_quantity * 1000)), 6) AS mae FROM lineitem")
+def mae_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluator agrees with the plain aggregate."""
+    line = table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").alias(V.LABEL), (F.col("l_quantity") * 1000).alias(V.PREDICTION)
+    )
+    value = evaluator("mae").evaluate(line)
+    return line.agg(F.round(F.first(F.lit(float(value))), 6).alias("mae"))
