@@ -178,27 +178,29 @@ def ring_area(edges: Column) -> Column:
     return F.abs(twice) / 2
 
 
-def point_in_ring(x: Column, y: Column, edges: Column) -> Column:
-    """True inside a ring or on its boundary (even-odd ray cast)."""
+def on_edge(x: Column, y: Column, e: Column) -> Column:
+    cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return (
+        (cross == 0)
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    )
+
 
-    def on_edge(e):
-        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (
-            (cross == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
+def edge_crossing(x: Column, y: Column, e: Column) -> Column:
+    """1 when the ray from the point to the right crosses the edge; inside a ring the sum is odd."""
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+    return F.when(spans & (x < at), 1).otherwise(0)
 
-    def crosses(e):
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return F.when(spans & (x < at), 1).otherwise(0)
 
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e))
-    return F.exists(edges, on_edge) | (crossings % 2 == 1)
+def point_in_ring(x: Column, y: Column, edges: Column) -> Column:
+    """True inside a ring or on its boundary."""
+    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + edge_crossing(x, y, e))
+    return F.exists(edges, lambda e: on_edge(x, y, e)) | (crossings % 2 == 1)
 
 
-def _segment_distance(x: Column, y: Column, e: Column) -> Column:
+def segment_distance(x: Column, y: Column, e: Column) -> Column:
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     t = ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
@@ -207,15 +209,10 @@ def _segment_distance(x: Column, y: Column, e: Column) -> Column:
 
 def point_ring_distance(x: Column, y: Column, edges: Column) -> Column:
     """0 inside, else the distance to the nearest point of the boundary."""
-    outside = F.array_min(F.transform(edges, lambda e: _segment_distance(x, y, e)))
+    outside = F.array_min(F.transform(edges, lambda e: segment_distance(x, y, e)))
     return F.when(point_in_ring(x, y, edges), F.lit(0.0)).otherwise(outside)
 
 
-def ring_reach(x: Column, y: Column, edges: Column) -> Column:
-    """Distance to the farthest vertex: a disc holds the ring exactly when this is within its radius."""
-    return F.array_max(F.transform(edges, lambda e: distance(x, y, e["x1"], e["y1"])))
-
-
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x1 - x2, y1 - y2
     return F.sqrt(dx * dx + dy * dy)

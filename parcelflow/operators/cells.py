@@ -42,18 +42,24 @@ def with_cells(sites: DataFrame, grid: Grid, level: int, prefix: str) -> DataFra
 
 
 def nodes(sites: DataFrame, grid: Grid, level: int, prefix: str, by: list[str]) -> DataFrame:
-    """One row per occupied cell: member count, tight box, and the parent cell."""
+    """One row per occupied cell: member count, weight, tight box and the parent cell.
+
+    Sites with an extent bring their own box (``xmin`` to ``ymax``) and one point that surely
+    belongs to them (``rx, ry``); the box of those points is kept as ``<prefix>r...``.
+    """
     p = prefix
+    extended = "xmin" in sites.columns
+    ends = {"x1": F.min("xmin"), "x2": F.max("xmax"), "y1": F.min("ymin"), "y2": F.max("ymax")} if extended else {}
+    sure_x, sure_y = ("rx", "ry") if extended else ("mx", "my")
+    sure = {"x1": F.min(sure_x), "x2": F.max(sure_x), "y1": F.min(sure_y), "y2": F.max(sure_y)}
+    measures = {**sure, **ends, **({f"r{k}": v for k, v in sure.items()} if extended else {})}
     return (
         with_cells(sites, grid, level, p)
         .groupBy(*by, f"{p}x", f"{p}y")
         .agg(
             F.count("*").alias(f"{p}n"),
             F.sum("weight").alias(f"{p}w"),
-            F.min("xmin").alias(f"{p}x1"),
-            F.max("xmax").alias(f"{p}x2"),
-            F.min("ymin").alias(f"{p}y1"),
-            F.max("ymax").alias(f"{p}y2"),
+            *[e.alias(f"{p}{name}") for name, e in measures.items()],
         )
         .withColumns(
             {
@@ -71,27 +77,64 @@ def box_gap() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def box_span() -> Column:
-    """Greatest distance between two points of the boxes."""
-    dx = F.greatest(F.col("sx2") - F.col("tx1"), F.col("tx2") - F.col("sx1"))
-    dy = F.greatest(F.col("sy2") - F.col("ty1"), F.col("ty2") - F.col("sy1"))
+def box_span(sure: bool = False) -> Column:
+    """Greatest distance between two points of the boxes; with ``sure``, to the points that surely
+    belong to the sources, so that each target has a source at most this far away."""
+    s = "sr" if sure else "s"
+    dx = F.greatest(F.col(f"{s}x2") - F.col("tx1"), F.col("tx2") - F.col(f"{s}x1"))
+    dy = F.greatest(F.col(f"{s}y2") - F.col("ty1"), F.col("ty2") - F.col(f"{s}y1"))
     return F.sqrt(dx * dx + dy * dy)
 
 
-def split_pairs(pairs: DataFrame, targets: DataFrame, sources: DataFrame, grid: Grid, level: int, keep: list[str]) -> DataFrame:
+BOX = ["tx1", "tx2", "ty1", "ty2"]
+
+
+def split_pairs(
+    pairs: DataFrame,
+    targets: DataFrame,
+    sources: DataFrame,
+    grid: Grid,
+    level: int,
+    reach: Column,
+    count: int,
+    keep: list[str],
+) -> DataFrame:
     """Replace each pair of cells at ``level`` by the pairs of their occupied children.
 
-    The join with the target children comes last, so the result is partitioned by the parent
-    target cell and a window over child target cells needs no further shuffle.
+    Source children farther than ``reach`` from the whole target cell go before the target is
+    split. The join with the target children comes last, so the result is partitioned by the
+    parent target cell and a window over child target cells needs no further shuffle.
     """
-    parents = pairs.select("cat", *keep, *[F.col(c).alias(f"{c[0]}p{c[1]}") for c in ("tx", "ty", "sx", "sy")])
-    return parents.join(nodes(sources, grid, level + 1, "s", ["cat"]), on=["cat", "spx", "spy"]).join(
-        nodes(targets, grid, level + 1, "t", []), on=["tpx", "tpy"]
+    parents = pairs.select("cat", *keep, *BOX, *[F.col(c).alias(f"{c[0]}p{c[1]}") for c in ("tx", "ty", "sx", "sy")])
+    near = (
+        parents.join(nodes(sources, grid, level + 1, "s", ["cat"]), on=["cat", "spx", "spy"])
+        .filter(box_gap() <= reach)
+        .drop(*BOX)
     )
+    children = nodes(targets, grid, level + 1, "t", [])
+    return near.repartition(_tasks(pairs, count << (4 * SPLIT_BITS)), "tpx", "tpy").join(children, on=["tpx", "tpy"])
 
 
-def member_pairs(pairs: DataFrame, targets: DataFrame, sources: DataFrame, grid: Grid, level: int) -> DataFrame:
-    """The members of settled small pairs, side by side: source columns and ``tmx, tmy``."""
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Partitions for a join whose few input bytes stand for ``rows`` results."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // 1_000_000, 10_000))
+
+
+def member_pairs(
+    pairs: DataFrame,
+    targets: DataFrame,
+    sources: DataFrame,
+    grid: Grid,
+    level: int,
+    comparisons: int,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The members of settled small pairs, side by side: source columns and ``tmx, tmy``.
+
+    Few bytes stand for many comparisons here, so the partitions are set by their number and not
+    left to a merge by size.
+    """
     t = with_cells(targets, grid, level, "t").select("tx", "ty", F.col("mx").alias("tmx"), F.col("my").alias("tmy"))
     s = with_cells(sources, grid, level, "s")
-    return pairs.select("cat", "tx", "ty", "sx", "sy").join(s, on=["cat", "sx", "sy"]).join(t, on=["tx", "ty"])
+    with_sources = pairs.select("cat", "tx", "ty", "sx", "sy", *(keep or [])).join(s, on=["cat", "sx", "sy"])
+    return with_sources.repartition(_tasks(pairs, comparisons), "tx", "ty").join(t, on=["tx", "ty"])

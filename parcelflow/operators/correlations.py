@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from .ordering import running_counts
+from .statistics import unpivot_numeric
 
 
 def _pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,13 +24,29 @@ def _pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*flat).select(F.inline(F.array(*rows)))
 
 
-def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each unordered pair once, over the rows where both values are present.
+def _centred_ranks(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Average rank of each distinct value minus the mean rank, so that sums keep their digits."""
+    centred = F.col("before") + (F.col("n") - F.col("total")) / 2.0
+    return running_counts(counts, by, value).withColumn("rank", centred).drop("n", "before", "total")
+
+
+def _spearman_complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each unordered pair once, for columns without nulls: every column is ranked once."""
+    long = unpivot_numeric(df, columns)
+    counts = long.groupBy("field", "value").agg(F.count("*").alias("n"))
+    ranks = materialize(_centred_ranks(counts, ["field"], "value"), "ranks")
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        of_column = ranks.filter(F.col("field") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        ranked = ranked.join(of_column, on=c).drop(c)
+    return _pearson_pairs(ranked.withColumnsRenamed({f"_r_{c}": c for c in columns}), columns)
+
+
+def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The given pairs, each over the rows where both values are present.
 
-    Equal rows of a pair are counted first; the average rank of each distinct value then follows
-    from a distributed running count, centred on the mean rank so that sums keep their digits.
+    Equal rows of a pair are counted first; ranks belong to the pair, since its rows do.
     """
-    pairs = list(combinations(columns, 2))
     rows = [
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
         for a, b in pairs
@@ -44,9 +62,7 @@ def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     sides = [
         counted.groupBy(*keys, F.lit(v).alias("side"), F.col(v).alias("value")).agg(F.sum("n").alias("n")) for v in ("x", "y")
     ]
-    ranked = running_counts(sides[0].unionByName(sides[1]), [*keys, "side"], "value")
-    centred = F.col("before") + (F.col("n") - F.col("total")) / 2.0
-    ranks = materialize(ranked.select(*keys, "side", "value", centred.alias("rank")), "ranks")
+    ranks = materialize(_centred_ranks(sides[0].unionByName(sides[1]), [*keys, "side"], "value"), "ranks")
     for v in ("x", "y"):
         of_side = ranks.filter(F.col("side") == v).select(*keys, F.col("value").alias(v), F.col("rank").alias(f"r{v}"))
         counted = counted.join(of_side, on=[*keys, v])
@@ -66,7 +82,7 @@ def correlation(df: DataFrame, method: str, mode: str = "intended") -> DataFrame
     if mode not in ("intended", "as_coded"):
         raise ValueError("mode must be 'intended' or 'as_coded'")
     spearman = method == "spearman" or mode == "as_coded"
-    upper = (_spearman_pairs if spearman else _pearson_pairs)(df.dropna("any"), df.columns)
+    upper = (_spearman_complete if spearman else _pearson_pairs)(df.dropna("any"), df.columns)
     diagonal = [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("corr")) for c in df.columns]
     ones = df.sparkSession.range(1).select(F.inline(F.array(*diagonal)))
     both = F.array(
@@ -77,10 +93,24 @@ def correlation(df: DataFrame, method: str, mode: str = "intended") -> DataFrame
 
 
 def top_correlations(df: DataFrame, k: int = 15, columns: list[str] | None = None) -> DataFrame:
-    """The ``k`` strongest absolute Spearman correlations; each pair uses the rows where both are present."""
-    pairs = _spearman_pairs(df, columns or df.columns)
+    """The ``k`` strongest absolute Spearman correlations; each pair uses the rows where both are present.
+
+    Columns without nulls are ranked once for all their pairs; only pairs with a null somewhere
+    need ranks of their own.
+    """
+    columns = columns or df.columns
+    holes = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
+    complete = [c for c in columns if not holes[c]]
+    pairs = list(combinations(columns, 2))
+    partial = [p for p in pairs if holes[p[0]] or holes[p[1]]]
+    parts = []
+    if len(complete) > 1:
+        parts.append(_spearman_complete(df, complete))
+    if partial:
+        parts.append(_spearman_pairs(df, partial))
     return (
-        pairs.select("col_a", "col_b", F.abs("corr").alias("corr"))
+        reduce(DataFrame.unionByName, parts)
+        .select("col_a", "col_b", F.abs("corr").alias("corr"))
         .dropna("any", subset=["corr"])
         .orderBy(F.desc("corr"), "col_a", "col_b")
         .limit(k)

@@ -65,13 +65,21 @@ def points_in_polygons(
             "cy": cell(snapped(F.col("y")), F.col("level")),
         }
     )
-    inside = (
-        F.col("px").between(F.col("xmin"), F.col("xmax"))
-        & F.col("py").between(F.col("ymin"), F.col("ymax"))
-        & geo.point_in_ring(F.col("px"), F.col("py"), F.col("edges"))
-    )
     keep = list(dict.fromkeys([polygon_id, *columns]))
-    held = looked_up.join(filed, on=["level", "cx", "cy"]).filter(inside).select("x", "y", *keep)
+    in_box = F.col("px").between(F.col("xmin"), F.col("xmax")) & F.col("py").between(F.col("ymin"), F.col("ymax"))
+    # Only edges at the height of the point matter; one row per such edge keeps the test in compiled code.
+    x, y, e = F.col("px"), F.col("py"), F.col("e")
+    level_with = y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    held = (
+        looked_up.join(filed, on=["level", "cx", "cy"])
+        .filter(in_box)
+        .select("x", "y", "px", "py", *keep, F.explode("edges").alias("e"))
+        .filter(level_with)
+        .groupBy("x", "y", *keep)
+        .agg(F.sum(geo.edge_crossing(x, y, e)).alias("crossings"), F.max(geo.on_edge(x, y, e)).alias("touches"))
+        .filter(F.col("touches") | (F.col("crossings") % 2 == 1))
+        .select("x", "y", *keep)
+    )
     if dedupe == "first":
         held = held.groupBy("x", "y").agg(F.min_by(F.struct(*keep), F.col(polygon_id)).alias("p")).select("x", "y", "p.*")
     elif dedupe is not None:

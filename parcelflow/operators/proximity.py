@@ -1,6 +1,7 @@
 """Distance joins between located rows: count within a radius, and nearest.
 
-Coordinates are planar (metres). Sources are points, or polygons given as ring edges.
+Coordinates are planar (metres). Sources are points (``x, y``) or polygons (``edges``). A task
+compares at most ``pair_limit`` targets and sources of one pair of cells, see ``cells``.
 """
 
 from __future__ import annotations
@@ -12,82 +13,86 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..scratch import materialize
-from .cells import Grid, box_gap, box_span, member_pairs, nodes, split_pairs, with_cells
+from .cells import BOX, SPLIT_BITS, Grid, box_gap, box_span, member_pairs, nodes, split_pairs, with_cells
 
-_EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
+def target_sites(points: DataFrame) -> DataFrame:
+    """Distinct locations of the points, written once: copies at one place are handled together.
 
-def _target_sites(points: DataFrame) -> DataFrame:
-    """Distinct target locations; copies at one place are handled once."""
-    return (
-        points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("weight"))
-        .select(
-            F.col("x").alias("mx"),
-            F.col("y").alias("my"),
-            F.col("x").alias("xmin"),
-            F.col("x").alias("xmax"),
-            F.col("y").alias("ymin"),
-            F.col("y").alias("ymax"),
-            "weight",
-        )
-    )
+    The result can be passed as ``sites`` to several joins over the same points.
+    """
+    located = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    sites = located.groupBy(F.col("x").alias("mx"), F.col("y").alias("my")).agg(F.count("*").alias("weight"))
+    return materialize(sites, "targets")
 
 
-def _located(sources: DataFrame, category: str | None) -> DataFrame:
-    """Add ``cat``, ``edges``, box and middle to point or polygon sources."""
-    cat = F.col(category) if category else F.lit(0)
-    sources = sources.withColumn("cat", cat)
+def _located(sources: DataFrame) -> DataFrame:
+    """Replace ``x, y`` or describe ``edges`` by the columns the cells work with."""
     if "edges" not in sources.columns:
-        sources = sources.withColumn("edges", F.lit(None).cast(_EDGES))
-    if "x" not in sources.columns:
-        sources = sources.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
-    is_point = F.col("edges").isNull()
-
-    def along(axis: str) -> Column:
-        # Every vertex starts one edge, so the first ends of the edges are all vertices.
-        return F.when(is_point, F.array(axis)).otherwise(F.transform("edges", lambda e: e[f"{axis}1"]))
-
+        return sources.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumnsRenamed({"x": "mx", "y": "my"})
+    # Every vertex starts one edge, so the first ends of the edges are all vertices.
     ends = {
-        f"{axis}{end}": pick(along(axis))
+        f"{axis}{end}": pick(F.col(f"edges.{axis}1"))
         for axis in ("x", "y")
         for end, pick in (("min", F.array_min), ("max", F.array_max))
     }
+    first = F.get("edges", F.lit(0))
     return (
-        sources.withColumns(ends)
-        .filter(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
+        sources.filter(F.size("edges") > 0)
+        .withColumns({**ends, "rx": first["x1"], "ry": first["y1"]})
         .withColumns({"mx": (F.col("xmin") + F.col("xmax")) / 2, "my": (F.col("ymin") + F.col("ymax")) / 2})
     )
 
 
+_SHAPE = ("mx", "my", "xmin", "xmax", "ymin", "ymax", "rx", "ry", "edges")
+
+
+def _shape(sources: DataFrame) -> list[str]:
+    return [c for c in _SHAPE if c in sources.columns]
+
+
+def _counted(sources: DataFrame, category: str, wanted: list) -> DataFrame:
+    """Sources of the wanted categories; equal shapes of one category become one with a weight."""
+    shaped = _located(sources.filter(F.col(category).isin(wanted)).withColumn("cat", F.col(category)))
+    merged = shaped.groupBy("cat", *_shape(shaped)).agg(F.count("*").alias("weight"))
+    return materialize(merged.withColumn("source", F.monotonically_increasing_id()), "sources")
+
+
+def _states(pairs: DataFrame) -> dict[str, tuple[int, int]]:
+    """Pairs, and comparisons they stand for, in each state that occurs; there are at most three."""
+    return {r[0]: (r[1], r[2]) for r in pairs.groupBy("state").agg(F.count("*"), F.sum("size")).collect()}
+
+
+def _size() -> Column:
+    return (F.col("tn") * F.col("sn")).alias("size")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _point_gap() -> Column:
+    return geo.distance(F.col("tmx"), F.col("tmy"), F.col("mx"), F.col("my"))
+
+
 def count_within(
     points: DataFrame,
     pois: DataFrame,
     radius: float,
     keys: dict[str, str],
     category: str = "key",
-    pair_limit: int = 1 << 16,
+    pair_limit: int = 1 << 14,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """Count POIs of each key within ``radius`` of each point; every point is kept.
 
-    ``points`` needs ``x, y``; ``pois`` needs ``x, y`` and/or ``edges`` and the category column.
-    A polygon counts only when it lies wholly within the radius. ``keys`` maps a category value
-    to its output column.
+    ``points`` needs ``x, y``; ``pois`` needs ``x, y`` or ``edges``, and the category column. A
+    polygon counts only when it lies wholly within the radius. ``keys`` maps a category value to
+    its output column.
     """
-    targets = materialize(_target_sites(points), "targets")
-    wanted = pois.filter(F.col(category).isin(list(keys)))
-    # Equal points of one category are counted together; polygons group with equal polygons.
-    sources = materialize(
-        _located(wanted, category)
-        .groupBy("cat", "mx", "my", "xmin", "xmax", "ymin", "ymax", "edges")
-        .agg(F.count("*").alias("weight")),
-        "sources",
-    )
+    targets = target_sites(points) if sites is None else sites
+    columns = [category, *(["edges"] if "edges" in pois.columns else ["x", "y"])]
+    sources = _counted(pois.select(*columns), category, list(keys))
     grid = Grid(0.0, 0.0, float(radius), depth=6)
 
     # A counted source has its middle at most one radius away on each axis: the 3 x 3 cells around.
@@ -104,31 +109,45 @@ def count_within(
         crowded = F.col("tn") * F.col("sn") > pair_limit if level < grid.depth else F.lit(False)
         state = F.when(box_span() <= radius, "inside").when(crowded, "split").otherwise("compare")
         pairs = materialize(
-            pairs.filter(box_gap() <= radius).select("cat", "tx", "ty", "sx", "sy", "sw", state.alias("state")),
+            pairs.filter(box_gap() <= radius).select("cat", "tx", "ty", "sx", "sy", "sw", *BOX, _size(), state.alias("state")),
             "pairs",
         )
-        whole = pairs.filter("state = 'inside'").groupBy("cat", "tx", "ty").agg(F.sum("sw").alias("n"))
-        found.append(
-            whole.join(with_cells(targets, grid, level, "t"), on=["tx", "ty"]).select(
-                F.col("mx").alias("x"), F.col("my").alias("y"), "cat", "n"
+        states = _states(pairs)
+        if "inside" in states:
+            whole = pairs.filter("state = 'inside'").groupBy("cat", "tx", "ty").agg(F.sum("sw").alias("n"))
+            at = with_cells(targets, grid, level, "t").select("tx", "ty", "mx", "my")
+            found.append(whole.join(at, on=["tx", "ty"]).select(F.col("mx").alias("x"), F.col("my").alias("y"), "cat", "n"))
+        if "compare" in states:
+            small = pairs.filter("state = 'compare'")
+            members = member_pairs(small, targets, sources, grid, level, states["compare"][1])
+            found.append(
+                _within(members, radius).select(F.col("tmx").alias("x"), F.col("tmy").alias("y"), "cat", F.col("weight").alias("n"))
             )
-        )
-        reach = F.when(
-            F.col("edges").isNull(), geo.distance(F.col("tmx"), F.col("tmy"), F.col("mx"), F.col("my"))
-        ).otherwise(geo.ring_reach(F.col("tmx"), F.col("tmy"), F.col("edges")))
-        found.append(
-            member_pairs(pairs.filter("state = 'compare'"), targets, sources, grid, level)
-            .filter(reach <= radius)
-            .select(F.col("tmx").alias("x"), F.col("tmy").alias("y"), "cat", F.col("weight").alias("n"))
-        )
-        crowd = pairs.filter("state = 'split'")
-        if level == grid.depth or crowd.isEmpty():
+        if "split" not in states:
             break
-        pairs = split_pairs(crowd, targets, sources, grid, level, [])
+        crowd = pairs.filter("state = 'split'")
+        pairs = split_pairs(crowd, targets, sources, grid, level, F.lit(radius), states["split"][0], [])
 
+    outputs = list(keys.values())
+    if not found:
+        return points.withColumns({c: F.lit(0).cast("bigint") for c in outputs})
+    per_site = _union(found).groupBy("x", "y", "cat").agg(F.sum("n").alias("n"))
     per_key = [F.sum(F.when(F.col("cat") == F.lit(k), F.col("n"))).alias(out) for k, out in keys.items()]
-    counts = _union(found).groupBy("x", "y").agg(*per_key)
-    return points.join(counts, on=["x", "y"], how="left").fillna(0, subset=list(keys.values()))
+    counts = per_site.groupBy("x", "y").agg(*per_key)
+    return points.join(counts, on=["x", "y"], how="left").fillna(0, subset=outputs)
+
+
+def _within(members: DataFrame, radius: float) -> DataFrame:
+    """Pairs whose source lies wholly within the radius."""
+    if "edges" not in members.columns:
+        return members.filter(_point_gap() <= radius)
+    reach = geo.distance(F.col("tmx"), F.col("tmy"), F.col("e.x1"), F.col("e.y1"))
+    return (
+        members.select("cat", "tmx", "tmy", "source", "weight", F.explode("edges").alias("e"))
+        .groupBy("cat", "tmx", "tmy", "source", "weight")
+        .agg(F.max(reach).alias("reach"))
+        .filter(F.col("reach") <= radius)
+    )
 
 
 def _tie_order(ties: str | None, ascending: bool, source_id: str) -> list[Column]:
@@ -140,60 +159,82 @@ def _tie_order(ties: str | None, ascending: bool, source_id: str) -> list[Column
 
 def _first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """First row per key; Spark limits each group before the shuffle, so hot keys stay small."""
-    return (
-        df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        .filter("_rn = 1")
-        .drop("_rn")
-    )
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.filter("_rn = 1").drop("_rn")
 
 
-def _nearest_candidates(targets: DataFrame, sources: DataFrame, pair_limit: int) -> DataFrame | None:
-    """Pairs of target sites and sources that include every nearest pair, with their distance."""
-    box = [F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")]
-    t = targets.agg(*box).first()
-    s = sources.agg(*box).first()
+def _root_grid(targets: DataFrame, sources: DataFrame) -> Grid | None:
+    """One square around all targets and sources, or nothing when either side is empty."""
+    box = [F.min("mx"), F.min("my"), F.max("mx"), F.max("my")]
+    t, s = targets.agg(*box).first(), sources.agg(*box).first()
     if t[0] is None or s[0] is None:
         return None
     x0, y0 = min(t[0], s[0]), min(t[1], s[1])
     extent = max(max(t[2], s[2]) - x0, max(t[3], s[3]) - y0)
-    grid = Grid(x0, y0, extent * 1.001 + 1e-9, depth=12)
+    return Grid(x0, y0, extent * 1.001 + 1e-9, depth=12)
+
+
+_START = 2  # 16 x 16 cells: even all their pairs are few, so the search starts there
+
 
+def _nearest_candidates(targets: DataFrame, sources: DataFrame, payload: list[str], pair_limit: int) -> DataFrame | None:
+    """Pairs of target sites and sources that include every nearest pair, with their distance."""
+    grid = _root_grid(targets, sources)
+    if grid is None:
+        return None
+    polygons = "edges" in sources.columns
+    shape = _shape(sources) if polygons else ["mx", "my"]
+    root = F.shiftright("sx", SPLIT_BITS * _START) == F.shiftright("tx", SPLIT_BITS * _START)
     pairs = (
-        nodes(sources, grid, 0, "s", ["cat"])
-        .join(nodes(targets, grid, 0, "t", []), F.col("sx") == F.col("tx"))
+        nodes(sources, grid, _START, "s", ["cat"])
+        .join(nodes(targets, grid, _START, "t", []), root)
         .withColumn("bound", F.lit(None).cast("double"))
     )
     found = []
-    for level in range(grid.depth + 1):
+    for level in range(_START, grid.depth + 1):
         # No target of this cell can be farther from its nearest source than `bound`.
         cell = Window.partitionBy("tpx", "tpy", "tx", "ty", "cat")
-        bound = F.least(F.min(box_span()).over(cell), F.col("bound"))
+        bound = F.least(F.min(box_span(sure=polygons)).over(cell), F.col("bound")) * F.lit(1 + 1e-9)
         crowded = F.col("tn") * F.col("sn") > pair_limit if level < grid.depth else F.lit(False)
+        state = F.when(crowded, "split").otherwise("compare")
         pairs = materialize(
             pairs.withColumn("bound", bound)
-            .filter(box_gap() <= F.col("bound") * F.lit(1 + 1e-9))
-            .select("cat", "tx", "ty", "sx", "sy", "bound", crowded.alias("split")),
+            .filter(box_gap() <= F.col("bound"))
+            .select("cat", "tx", "ty", "sx", "sy", "bound", *BOX, _size(), state.alias("state")),
             "pairs",
         )
-        found.append(member_pairs(pairs.filter(~F.col("split")), targets, sources, grid, level))
-        crowd = pairs.filter("split")
-        if level == grid.depth or crowd.isEmpty():
+        states = _states(pairs)
+        if "compare" in states:
+            small = pairs.filter("state = 'compare'")
+            members = member_pairs(small, targets, sources, grid, level, states["compare"][1], ["bound"])
+            found.append(members.select("cat", "tmx", "tmy", "bound", *payload, *shape))
+        if "split" not in states:
             break
-        pairs = split_pairs(crowd, targets, sources, grid, level, ["bound"])
-
-    gap = F.when(
-        F.col("edges").isNull(), geo.distance(F.col("tmx"), F.col("tmy"), F.col("mx"), F.col("my"))
-    ).otherwise(geo.point_ring_distance(F.col("tmx"), F.col("tmy"), F.col("edges")))
-    return _union([f.select("cat", "tmx", "tmy", *_payload(sources), "edges", "mx", "my") for f in found]).withColumn(
-        "distance", gap
-    )
+        crowd = pairs.filter("state = 'split'")
+        pairs = split_pairs(crowd, targets, sources, grid, level, F.col("bound"), states["split"][0], ["bound"])
+    candidates = _union(found)
+    if not polygons:
+        return candidates.withColumn("distance", _point_gap()).filter(F.col("distance") <= F.col("bound"))
+    by = ["cat", "tmx", "tmy", *payload]
+    near = candidates.filter(_point_box_gap() <= F.col("bound"))
+    return _polygon_distances(near.select(*by, F.explode("edges").alias("e")), by)
 
 
-_SHAPE = {"cat", "x", "y", "edges", "xmin", "xmax", "ymin", "ymax", "mx", "my", "weight"}
+def _point_box_gap() -> Column:
+    dx = F.greatest(F.lit(0.0), F.col("xmin") - F.col("tmx"), F.col("tmx") - F.col("xmax"))
+    dy = F.greatest(F.lit(0.0), F.col("ymin") - F.col("tmy"), F.col("tmy") - F.col("ymax"))
+    return F.sqrt(dx * dx + dy * dy)
 
 
-def _payload(sources: DataFrame) -> list[str]:
-    return [c for c in sources.columns if c not in _SHAPE]
+def _polygon_distances(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Distance from ``(tmx, tmy)`` to the polygon whose edges are the rows: 0 inside."""
+    x, y, e = F.col("tmx"), F.col("tmy"), F.col("e")
+    return (
+        edges.groupBy(*by)
+        .agg(F.min(geo.segment_distance(x, y, e)).alias("gap"), F.sum(geo.edge_crossing(x, y, e)).alias("crossings"))
+        .withColumn("distance", F.when(F.col("crossings") % 2 == 1, F.lit(0.0)).otherwise(F.col("gap")))
+        .drop("gap", "crossings")
+    )
 
 
 def nearest(
@@ -203,7 +244,8 @@ def nearest(
     ties: str | None = None,
     ascending: bool = True,
     columns: list[str] | None = None,
-    pair_limit: int = 1 << 12,
+    pair_limit: int = 1 << 10,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """The nearest source of each point: ``columns`` of the source and ``distance``.
 
@@ -212,13 +254,12 @@ def nearest(
     """
     columns = columns or [c for c in sources.columns if c not in ("x", "y", "edges")]
     order = _tie_order(ties, ascending, source_id)
-    needed = list(dict.fromkeys([source_id, *([ties] if ties else []), *columns]))
-    targets = materialize(_target_sites(points), "targets")
-    shaped = _located(sources.select(*needed, *[c for c in ("x", "y", "edges") if c in sources.columns]), None)
+    payload = list(dict.fromkeys([source_id, *([ties] if ties else []), *columns]))
+    targets = target_sites(points) if sites is None else sites
+    shaped = _located(sources.select(*payload, *(["edges"] if "edges" in sources.columns else ["x", "y"])))
     # Of several sources at one place only the best can win.
-    shaped = _first(shaped, ["mx", "my", "xmin", "xmax", "ymin", "ymax", "edges"], order).drop("x", "y")
-    shaped = materialize(shaped.withColumn("weight", F.lit(1)), "sources")
-    candidates = _nearest_candidates(targets, shaped, pair_limit)
+    shaped = _first(shaped, _shape(shaped), order).withColumns({"cat": F.lit(0), "weight": F.lit(1)})
+    candidates = _nearest_candidates(targets, materialize(shaped, "sources"), payload, pair_limit)
     if candidates is None:
         blank = {c: F.lit(None).cast(sources.schema[c].dataType) for c in columns}
         return points.withColumns({**blank, "distance": F.lit(None).cast("double")})
@@ -233,28 +274,23 @@ def nearest_by_type(
     pois: DataFrame,
     types: dict[str, str],
     category: str = "value",
-    pair_limit: int = 1 << 12,
+    pair_limit: int = 1 << 10,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """Distance to the nearest POI of each type, one column per type found in the data.
 
     ``types`` maps a category value to its output column; types without any POI are skipped.
     """
-    wanted = pois.filter(F.col(category).isin(list(types)))
-    targets = materialize(_target_sites(points), "targets")
-    sources = materialize(
-        _located(wanted, category)
-        .groupBy("cat", "mx", "my", "xmin", "xmax", "ymin", "ymax", "edges")
-        .agg(F.count("*").alias("weight")),
-        "sources",
-    )
+    targets = target_sites(points) if sites is None else sites
+    columns = [category, *(["edges"] if "edges" in pois.columns else ["x", "y"])]
+    sources = _counted(pois.select(*columns), category, list(types))
     present = {r[0] for r in sources.select("cat").distinct().collect()}  # at most len(types) values
-    candidates = _nearest_candidates(targets, sources, pair_limit)
+    candidates = _nearest_candidates(targets, sources, ["source"] if "edges" in columns else [], pair_limit)
     if candidates is None:
         return points
+    closest = candidates.groupBy("tmx", "tmy", "cat").agg(F.min("distance").alias("distance"))
     per_type = [
-        F.min(F.when(F.col("cat") == F.lit(t), F.col("distance"))).alias(out)
-        for t, out in types.items()
-        if t in present
+        F.min(F.when(F.col("cat") == F.lit(t), F.col("distance"))).alias(out) for t, out in types.items() if t in present
     ]
-    best = candidates.groupBy(F.col("tmx").alias("x"), F.col("tmy").alias("y")).agg(*per_type)
+    best = closest.groupBy(F.col("tmx").alias("x"), F.col("tmy").alias("y")).agg(*per_type)
     return points.join(best, on=["x", "y"], how="left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.polygons import area_density, points_in_polygons
-from ..operators.proximity import count_within, nearest, nearest_by_type
+from ..operators.proximity import count_within, nearest, nearest_by_type, target_sites
 from ..operators.raster import raster_lookup
 from ..operators.relational import align, first_per_key, merge_suffixed
 from ..scratch import materialize
@@ -53,12 +53,18 @@ def projected(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": x, "y": y})
 
 
-def city_features(points: DataFrame, cities: DataFrame, big_city: float, key: str = "parcelid") -> DataFrame:
+def city_features(
+    points: DataFrame,
+    cities: DataFrame,
+    big_city: float,
+    key: str = "parcelid",
+    sites: DataFrame | None = None,
+) -> DataFrame:
     """Name, population and distance of the nearest city and of the nearest big city."""
+    sites = target_sites(points) if sites is None else sites
+    how = {"ties": "population", "ascending": False, "columns": ["name", "population"], "sites": sites}
     near = [
-        nearest(points, table, "name", ties="population", ascending=False, columns=["name", "population"]).select(
-            key, "name", "population", "distance"
-        )
+        nearest(points, table, "name", **how).select(key, "name", "population", "distance")
         for table in (cities, cities.filter(F.col("population") > big_city))
     ]
     return merge_suffixed(near[0], near[1], key, ("_close_city", "_close_big_city"))
@@ -74,9 +80,10 @@ def geo_features(df: DataFrame, sources: FeatureSources, key: str = "parcelid")
     tracts = area_density(sources.tracts, sources.variables).withColumn("ring", geo.mercator_ring_to_degrees(F.col("ring")))
 
     elevation = raster_lookup(degrees, sources.raster, sources.raster_lon, sources.raster_lat, sources.raster_step)
-    counts = count_within(metres, pois, sources.radius, sources.keys)
+    sites = target_sites(metres)
+    counts = count_within(metres, pois, sources.radius, sources.keys, sites=sites)
     census = points_in_polygons(degrees, tracts, sources.variables, sources.tract_id, dedupe="first", digits=9)
-    near_cities = city_features(metres, cities, sources.big_city, key)
-    near_pois = nearest_by_type(metres, pois, sources.types)
+    near_cities = city_features(metres, cities, sources.big_city, key, sites)
+    near_pois = nearest_by_type(metres, pois, sources.types, sites=sites)
     frames = [f.drop("x", "y") for f in (elevation, counts, census, near_cities, near_pois)]
     return align(frames, key).drop(*sources.drop)

@@ -25,6 +25,12 @@ class Training:
     run_name: str | None
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Write the rows once, evenly over the shuffle partitions: the fits read them many times."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartition(partitions), "prepared")
+
+
 def train(
     df: DataFrame,
     iterations: int = V.SEARCH_ITERATIONS,
@@ -40,7 +46,7 @@ def train(
     ``maps`` replaces the random search space by parameter maps for the given pipeline.
     The preprocessed table is written once, so folds and fits do not repeat the ingest.
     """
-    prepared = materialize(Preprocess(mode=mode).fit(df).transform(df), "prepared")
+    prepared = spread_rows(Preprocess(mode=mode).fit(df).transform(df))
     train_part, test_part = split(prepared)
     pipeline = build_pipeline(prepared.columns, **boosting)
     draws = maps(pipeline) if maps else search_space(pipeline, iterations)

@@ -14,8 +14,8 @@ from ..ml.preprocess import preprocess
 from ..ml.run_log import read_log
 from ..operators.statistics import mean_absolute_error
 from ..plans import fixed_values as V
-from ..plans.training import train
-from ..scratch import materialize, scratch_path
+from ..plans.training import spread_rows, train
+from ..scratch import scratch_path
 from .registry import query
 from .standins import cte, standin, table, wide
 
@@ -141,7 +141,7 @@ _SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(preprocess(wide(spark, sf_dir)), "prepared")
+    return spread_rows(preprocess(wide(spark, sf_dir)))
 
 
 @query()
