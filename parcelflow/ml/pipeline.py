@@ -7,11 +7,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
 
 from ..plans import fixed_values as V
 from .group_imputer import GroupImputer
 from .random_grid import RandomGridBuilder
+from .write_once import WriteOnce
 
 
 def suffixed(columns: list[str], suffix: str) -> list[str]:
@@ -73,6 +73,7 @@ def build_pipeline(
             categoricalCols=V.HASHED if hash_categorical else [],
         ),
         VectorAssembler(inputCols=feature_columns(columns), outputCol=V.FEATURES, handleInvalid="keep"),
+        WriteOnce(inputCols=[V.LABEL, V.FEATURES]),
         GBTRegressor(
             featuresCol=V.FEATURES, labelCol=V.LABEL, predictionCol=V.PREDICTION, seed=V.SEED, **boosting
         ),
@@ -114,7 +115,3 @@ def cross_validator(pipeline: Pipeline, maps: list[dict], folds: int = V.FOLDS,
         seed=seed,
     )
 
-
-def split(df: DataFrame, ratio: float = V.TRAIN_RATIO, seed: int = V.SEED) -> tuple[DataFrame, DataFrame]:
-    train, test = df.randomSplit([ratio, 1 - ratio], seed=seed)
-    return train, test

@@ -1,0 +1,45 @@
+"""A pipeline stage that writes the training rows once, for a next stage that reads them many times."""
+
+from __future__ import annotations
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+
+from ..scratch import materialize
+
+
+class WriteOnce(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """While the pipeline is fitted, the next stage reads ``inputCols`` from a written table.
+
+    Boosting passes over its input for statistics, split candidates and every tree level; without
+    the table each pass would repeat all feature stages. A fitted pipeline passes rows through.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None):
+        super().__init__()
+        if inputCols:
+            self._set(inputCols=inputCols)
+
+    def _fit(self, dataset: DataFrame) -> WriteOnceModel:
+        model = WriteOnceModel()
+        model.seen = dataset
+        model.table = materialize(dataset.select(*self.getInputCols()), "features")
+        return model
+
+
+class WriteOnceModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Hands on the written table for the rows it was fitted on, and any other rows as they are."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen = self.table = None
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if dataset is not self.seen:
+            return dataset
+        table, self.seen, self.table = self.table, None, None  # only the next stage of the fit needs it
+        return table

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..ml.pipeline import build_pipeline, cross_validator, search_space, split
+from ..ml.pipeline import build_pipeline, cross_validator, search_space
 from ..ml.preprocess import Preprocess
 from ..ml.run_log import log_run
 from ..operators.statistics import mean_absolute_error
@@ -25,10 +26,15 @@ class Training:
     run_name: str | None
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Write the rows once, evenly over the shuffle partitions: the fits read them many times."""
+def train_test(df: DataFrame, ratio: float = V.TRAIN_RATIO, seed: int = V.SEED) -> tuple[DataFrame, DataFrame]:
+    """Random train and test parts of one written table.
+
+    The rows are spread evenly over the shuffle partitions and carry their random draw, so the
+    many passes of the fits neither repeat the ingest nor sort the rows to draw the same split again.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartition(partitions), "prepared")
+    drawn = materialize(df.repartition(partitions).withColumn("_draw", F.rand(seed)), "prepared")
+    return drawn.filter(F.col("_draw") < ratio).drop("_draw"), drawn.filter(F.col("_draw") >= ratio).drop("_draw")
 
 
 def train(
@@ -44,10 +50,9 @@ def train(
     """Preprocess, split, search, evaluate on the held-out part, and log.
 
     ``maps`` replaces the random search space by parameter maps for the given pipeline.
-    The preprocessed table is written once, so folds and fits do not repeat the ingest.
     """
-    prepared = spread_rows(Preprocess(mode=mode).fit(df).transform(df))
-    train_part, test_part = split(prepared)
+    prepared = Preprocess(mode=mode).fit(df).transform(df)
+    train_part, test_part = train_test(prepared)
     pipeline = build_pipeline(prepared.columns, **boosting)
     draws = maps(pipeline) if maps else search_space(pipeline, iterations)
     model = cross_validator(pipeline, draws).fit(train_part)

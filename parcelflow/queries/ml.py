@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ml.group_imputer import GroupImputer, group_statistics
-from ..ml.pipeline import build_pipeline, evaluator, search_space, split
+from ..ml.pipeline import build_pipeline, evaluator, search_space
 from ..ml.preprocess import preprocess
 from ..ml.run_log import read_log
 from ..operators.statistics import mean_absolute_error
 from ..plans import fixed_values as V
-from ..plans.training import spread_rows, train
+from ..plans.training import train, train_test
 from ..scratch import scratch_path
 from .registry import query
 from .standins import cte, standin, table, wide
@@ -140,16 +140,11 @@ def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_rows(preprocess(wide(spark, sf_dir)))
-
-
 @query()
 def fit_predict_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven stages over the full-width table, evaluated on the held-out quarter."""
-    df = _prepared(spark, sf_dir)
-    train_part, test_part = split(df)
-    model = build_pipeline(df.columns, hash_features=32, **_SMALL_TREES).fit(train_part)
+    train_part, test_part = train_test(preprocess(wide(spark, sf_dir)))
+    model = build_pipeline(train_part.columns, hash_features=32, **_SMALL_TREES).fit(train_part)
     return mean_absolute_error(model.transform(test_part), V.LABEL, V.PREDICTION)
 
 
