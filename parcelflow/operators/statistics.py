@@ -143,20 +143,21 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width density histogram over the column's range; the last bin is closed."""
     v = F.col(column).cast("double")
-    low, high = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+    low, high, total = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    if not total:
+        low = high = 0.0
+    if low == high:  # a constant column gets one unit-wide range around its value
+        low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
-    # A constant column gets one unit-wide range around its value.
-    low, width = F.when(width == 0, low - 0.5).otherwise(low), F.when(width == 0, F.lit(1.0 / bins)).otherwise(width)
-    bucket = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("bigint")
+    bucket = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
     counts = df.filter(v.isNotNull()).groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count(v)).scalar()
     every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     n = F.coalesce(F.col("n"), F.lit(0))
     return every.join(counts, on="bin", how="left").select(
         "bin",
-        (low + F.col("bin") * width).alias("lower"),
+        (F.lit(low) + F.col("bin") * F.lit(width)).alias("lower"),
         n.alias("n"),
-        (n / (total * width)).alias("density"),
+        (n / F.nullif(F.lit(total * width), F.lit(0.0))).alias("density"),
     )
 
 

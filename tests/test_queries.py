@@ -28,7 +28,10 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    assert differences(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == []
+    df = QUERIES[name](spark, SF_DIR)
+    assert differences(df, con, ORACLES[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("name", ["fit_predict_eval", "cross_validate"])
