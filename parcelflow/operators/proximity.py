@@ -237,6 +237,35 @@ def _polygon_distances(edges: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def nearest_sites(
+    sites: DataFrame,
+    sources: DataFrame,
+    source_id: str,
+    ties: str | None = None,
+    ascending: bool = True,
+    columns: list[str] | None = None,
+    category: str | None = None,
+    pair_limit: int = 1 << 10,
+) -> DataFrame | None:
+    """The nearest source of each site, per category: ``x, y, cat``, the columns and ``distance``.
+
+    All categories share the same rounds. Without any source there is no result.
+    """
+    columns = columns or [c for c in sources.columns if c not in ("x", "y", "edges")]
+    order = _tie_order(ties, ascending, source_id)
+    payload = list(dict.fromkeys([source_id, *([ties] if ties else []), *columns]))
+    shape = ["edges"] if "edges" in sources.columns else ["x", "y"]
+    cat = F.col(category) if category else F.lit(0)
+    shaped = _located(sources.select(*payload, *shape, cat.alias("cat")))
+    # Of several sources of a category at one place only the best can win.
+    shaped = _first(shaped, ["cat", *_shape(shaped)], order).withColumn("weight", F.lit(1))
+    candidates = _nearest_candidates(sites, materialize(shaped, "sources"), payload, pair_limit)
+    if candidates is None:
+        return None
+    best = _first(candidates, ["tmx", "tmy", "cat"], [F.col("distance"), *order])
+    return best.select(F.col("tmx").alias("x"), F.col("tmy").alias("y"), "cat", *columns, "distance")
+
+
 def nearest(
     points: DataFrame,
     sources: DataFrame,
@@ -253,20 +282,12 @@ def nearest(
     kept; without any source the added columns are null.
     """
     columns = columns or [c for c in sources.columns if c not in ("x", "y", "edges")]
-    order = _tie_order(ties, ascending, source_id)
-    payload = list(dict.fromkeys([source_id, *([ties] if ties else []), *columns]))
-    targets = target_sites(points) if sites is None else sites
-    shaped = _located(sources.select(*payload, *(["edges"] if "edges" in sources.columns else ["x", "y"])))
-    # Of several sources at one place only the best can win.
-    shaped = _first(shaped, _shape(shaped), order).withColumns({"cat": F.lit(0), "weight": F.lit(1)})
-    candidates = _nearest_candidates(targets, materialize(shaped, "sources"), payload, pair_limit)
-    if candidates is None:
+    sites = target_sites(points) if sites is None else sites
+    best = nearest_sites(sites, sources, source_id, ties, ascending, columns, pair_limit=pair_limit)
+    if best is None:
         blank = {c: F.lit(None).cast(sources.schema[c].dataType) for c in columns}
         return points.withColumns({**blank, "distance": F.lit(None).cast("double")})
-    best = _first(candidates, ["tmx", "tmy"], [F.col("distance"), *order]).select(
-        F.col("tmx").alias("x"), F.col("tmy").alias("y"), *columns, "distance"
-    )
-    return points.join(best, on=["x", "y"], how="left")
+    return points.join(best.drop("cat"), on=["x", "y"], how="left")
 
 
 def nearest_by_type(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.polygons import area_density, points_in_polygons
-from ..operators.proximity import count_within, nearest, nearest_by_type, target_sites
+from ..operators.proximity import count_within, nearest_by_type, nearest_sites, target_sites
 from ..operators.raster import raster_lookup
-from ..operators.relational import align, first_per_key, merge_suffixed
+from ..operators.relational import align, first_per_key
 from ..scratch import materialize
 from . import fixed_values as V
 
@@ -60,14 +60,27 @@ def city_features(
     key: str = "parcelid",
     sites: DataFrame | None = None,
 ) -> DataFrame:
-    """Name, population and distance of the nearest city and of the nearest big city."""
+    """Name, population and distance of the nearest city and of the nearest big city.
+
+    Both searches share their rounds: a big city takes part twice, once in each category.
+    """
     sites = target_sites(points) if sites is None else sites
-    how = {"ties": "population", "ascending": False, "columns": ["name", "population"], "sites": sites}
-    near = [
-        nearest(points, table, "name", **how).select(key, "name", "population", "distance")
-        for table in (cities, cities.filter(F.col("population") > big_city))
-    ]
-    return merge_suffixed(near[0], near[1], key, ("_close_city", "_close_big_city"))
+    kinds = {"all": "_close_city", "big": "_close_big_city"}
+    roles = F.when(F.col("population") > big_city, F.array(F.lit("all"), F.lit("big"))).otherwise(F.array(F.lit("all")))
+    columns = ["name", "population"]
+    best = nearest_sites(
+        sites, cities.withColumn("kind", F.explode(roles)), "name", "population", False, columns, category="kind"
+    )
+    found = [*columns, "distance"]
+    outputs = {f"{c}{suffix}": (kind, c) for kind, suffix in kinds.items() for c in found}
+    if best is None:
+        types = {**{c: cities.schema[c].dataType for c in columns}, "distance": "double"}
+        return points.select(key, *[F.lit(None).cast(types[c]).alias(out) for out, (_, c) in outputs.items()])
+    row = F.struct(*found)
+    sides = [F.max(F.when(F.col("cat") == kind, row)).alias(kind) for kind in kinds]  # one row per category
+    per_site = best.groupBy("x", "y").agg(*sides)
+    picked = per_site.select("x", "y", *[F.col(kind)[c].alias(out) for out, (kind, c) in outputs.items()])
+    return points.join(picked, on=["x", "y"], how="left").select(key, *outputs)
 
 
 def geo_features(df: DataFrame, sources: FeatureSources, key: str = "parcelid") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.raster import merge_tiles
-from ..operators.relational import first_per_key
+from ..operators.relational import first_per_key, merge_suffixed
 from ..scratch import scratch_path
 from ..sources.places import append_areas, attach_population, clean_places, select_areas
 from ..sources.tables import read_tables, scan, write_features
@@ -148,3 +148,17 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dropna_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standin(spark, sf_dir, "props").select("parcelid", "garagetotalsqft", "area").dropna("any")
+
+
+@query(
+    """
+    WITH p AS (SELECT l_suppkey AS k, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1),
+    q AS (SELECT s_suppkey AS k, s_name, s_nationkey AS n FROM supplier)
+    SELECT p.k, p.n AS n_line, p.quantity, q.s_name, q.n AS n_supplier FROM p JOIN q ON p.k = q.k"""
+)
+def suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner join on the key; the clashing column gets a suffix on each side."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"))
+    lines = lines.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_name", "s_nationkey AS n")
+    return merge_suffixed(lines, suppliers, "k", ("_line", "_supplier"))
