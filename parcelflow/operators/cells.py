@@ -116,8 +116,10 @@ def split_pairs(
 
 
 def _tasks(df: DataFrame, rows: int) -> int:
-    """Partitions for a join whose few input bytes stand for ``rows`` results."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // 1_000_000, 10_000))
+    """Partitions for a join whose few input bytes stand for ``rows`` results: the session's usual
+    number, fewer for little work, more (a million results each) for a lot."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(usual, rows // 100_000 + 1), min(rows // 1_000_000, 10_000))
 
 
 def member_pairs(
