@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, toxicity
+from . import decontam, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,16 +26,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @_query()
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@_query(
+    """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    q as (select page_id, strlen(h) as n, sha1(h) as d, max(page_id) over (partition by h) as k from p)
+    select page_id, n as payload_bytes, d as payload_digest,
+        case when n >= 1000 and page_id <> k then 'revisit' else 'response' end as record_type,
+        case when n >= 1000 and page_id <> k then k end as refers_to
+    from q
+    """
+)
+def op4_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 @_query()
 def op6_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query()
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query()
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
