@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+BLOCK_DOCS = 1 << 16
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, which sorts last
 
 _BLOCK = "block long, n_docs long, n_bytes long, ids array<long>, ends array<long>, data binary"
@@ -31,7 +32,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     """The documents in blocks, written once. Within a block documents are ordered by id, a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, texts, held = TaskContext.get().partitionId() << 24, [], [], 0
         press = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
@@ -54,7 +55,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
                     ids.append(NO_ID if name is None else name)
                     texts.append(text or b"")
                     held += len(texts[-1])
-                    if held >= block_bytes:
+                    if held >= block_bytes or len(ids) == BLOCK_DOCS:
                         yield flush()
                         number, ids, texts, held = number + 1, [], [], 0
         if ids:
@@ -126,16 +127,16 @@ def sent(number: int, keys: np.ndarray, twice: np.ndarray, buckets: int) -> pd.D
 SENT = "bucket long, block long, keys binary, twice binary"
 
 
-def distinct_keys(keys: np.ndarray, owners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and whether each occurs more than once."""
     found, counts = np.unique(keys, return_counts=True)
     return found, counts > 1
 
 
-def recurring(sent_keys: DataFrame, hot_from: int = 0) -> DataFrame:
-    """(block, bucket, keys): for every block the keys it sent that recur anywhere.
+def recurring(sent_keys: DataFrame, hot_from: int = 1, only_hot: bool = False) -> DataFrame:
+    """(block, bucket, keys, hot): for every block the keys it sent that recur anywhere.
 
-    With ``hot_from`` also ``hot``: a bit for each key that recurs in that many blocks or more.
+    ``hot`` has a bit for each key that ``hot_from`` blocks or more sent; with ``only_hot`` the others stay out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +150,7 @@ def recurring(sent_keys: DataFrame, hot_from: int = 0) -> DataFrame:
         for p in parts:
             mine = inverse[at : at + len(p)]
             at += len(p)
-            keep = recur[mine]
+            keep = counts[mine] >= hot_from if only_hot else recur[mine]
             out.append(p[keep].tobytes())
             hot.append(np.packbits(counts[mine[keep]] >= hot_from).tobytes())
         made = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "keys": out, "hot": hot})
@@ -158,6 +159,15 @@ def recurring(sent_keys: DataFrame, hot_from: int = 0) -> DataFrame:
     return sent_keys.groupBy("bucket").applyInPandas(run, "block long, bucket long, keys binary, hot binary")
 
 
+def hot_only(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the keys that came back for a block, those of many blocks."""
+    kept = []
+    for keys, hot in zip(rows["keys"], rows["hot"]):
+        k = np.frombuffer(keys, np.uint32)
+        kept.append(k[np.unpackbits(np.frombuffer(hot, np.uint8), count=len(k)).astype(bool)].tobytes())
+    return rows.assign(keys=kept)
+
+
 def known(keys: np.ndarray, rows: pd.DataFrame, buckets: int) -> np.ndarray:
     """Which 64-bit keys of a block are among those that came back for it."""
     if len(rows) == 0 or len(keys) == 0:
