@@ -297,3 +297,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "uid",
         (F.coalesce(F.col("m.uid"), F.col("uid")) == F.col("uid")).alias("first"),
     )
+
+
+def first_of_each(docs: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The documents, with all their columns, without those that link to one that stays: the first of each component stays.
+
+    ``docs`` is a written table, read in the same order each time.
+    """
+    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(_ROW, text_col), _ROW, text_col, settings)
+    stay = found.filter("first").select(F.col("doc_id").alias(_ROW))
+    return rows.join(stay, _ROW, "left_semi").drop(_ROW)
+
+
+_ROW = "__row of the near-duplicate join"
