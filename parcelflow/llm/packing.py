@@ -17,6 +17,8 @@ other row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -43,18 +45,25 @@ class Settings:
 
 
 class WordTokens:
-    """Token ids of texts by way of their words, for a tokenizer that drops white space and lowers letters.
+    """Token ids of texts by way of their words, for a tokenizer of lower-case words that drops white space.
 
-    Words are cut at spaces and line ends only, so their ids joined are the ids of the text. Words of letters,
-    with a full stop or comma behind, are encoded many at a time; all others one by one.
+    Texts are cut at spaces and line ends, and before a full stop or comma behind a word, where the tokenizer cuts as well, so the ids
+    of the words joined are the ids of the text. New words of letters are encoded many at a time, by the same merges
+    without the steps that only whole texts need; all others go through the tokenizer as they are.
     """
 
     _KEEP = 400_000
+    _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|(?:(?!'(?:s|t|re|ve|m|ll|d))[^a-z0-9])(?:[^a-z0-9])*")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        byte_level = [p for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
+        light = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}
+        self.merges = Tokenizer.from_str(json.dumps({**described, "normalizer": None, "pre_tokenizer": light, "added_tokens": []}))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.stops = np.zeros(len(self.ends), bool)  # tokens that end a sentence
@@ -63,50 +72,59 @@ class WordTokens:
             core = token.removesuffix("</w>")
             self.stops[i] = bool(core) and not core.strip(".!?") and self.ends[i]
         self.words: dict[str, bytes] = {"": b""}
-        self.tails = {c: self._one(c) for c in ".,"}
 
     def _one(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _many(self, words: list[str]) -> None:
+        """Learn words that the tokenizer would not cut."""
+        if not words:
+            return
+        ids = np.asarray(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            self.words.update((w, self._one(w)) for w in words)
+            return
+        flat, start = ids.tobytes(), 0
+        for word, stop in zip(words, cuts):
+            self.words[word] = flat[start:stop]
+            start = stop
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self._KEEP:
-            self.words = {"": b""}
-        plan: dict[str, tuple[str, str]] = {}
-        for w in words:
-            tail = w[-1:] if w[-1:] in (".", ",") else ""
-            core = w[:-1] if tail else w
-            if core.isalpha() and "Σ" not in core:
-                plan[w] = (core.lower(), tail)
-            else:
-                self.words[w] = self._one(w)
-        cores = list({c for c, _ in plan.values()})
-        if cores:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            flat, start, found = ids.tobytes(), 0, {}
-            if len(cuts) == len(cores):
-                for core, stop in zip(cores, cuts):
-                    found[core] = flat[start:stop]
-                    start = stop
-            else:
-                found = {c: self._one(c) for c in cores}
-            for w, (core, tail) in plan.items():
-                self.words[w] = found[core] + self.tails[tail] if tail else found[core]
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
+        # Words of ASCII letters, digits and marks fall into pieces as the tokenizer's own expression cuts them.
+        cut = {w: self._PIECES.findall(w) for w in odd if w.isascii() and "<|" not in w}
+        pieces = {p for parts in cut.values() for p in parts} - self.words.keys()
+        self._many(list(pieces.union(plain)))
+        for w in odd:
+            parts = cut.get(w)
+            self.words[w] = self._one(w) if parts is None else b"".join([self.words[p] for p in parts])
+
+    def _split(self, text: str) -> list[str] | None:
+        """Lower-case words; nothing where lower case depends on context or characters still have to be composed."""
+        if not text.isascii() and ("Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text)):
+            return None
+        text = text.lower().replace("\n", " ")
+        for mark, apart in ((". ", " . "), (", ", " , ")):
+            parts = text.split(mark)
+            # A stop behind a mark belongs to one run with it.
+            if all([p[-1:].isalnum() for p in parts[:-1]]):
+                text = apart.join(parts)
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = []
-        for k in range(0, len(texts), 256):
-            part = texts[k : k + 256]
-            split = [
-                None if "İ" in t or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.replace("\n", " ").split(" ") for t in part
-            ]
-            new = {w for s in split if s for w in s} - self.words.keys()
-            if new:
-                kept = self.words
-                self._learn(new)
-                if kept is not self.words:
-                    self._learn({w for s in split if s for w in s} - self.words.keys())
+        for k in range(0, len(texts), 512):
+            part = texts[k : k + 512]
+            split = [self._split(t) for t in part]
+            used = set()
+            for s in split:
+                used.update(s or ())
+            if len(self.words) > self._KEEP:
+                self.words = {"": b""}
+            self._learn(used - self.words.keys())
             look = self.words.__getitem__
             out.extend(self._one(t) if s is None else b"".join(map(look, s)) for t, s in zip(part, split))
         return out
