@@ -55,10 +55,17 @@ _NAMES = frozenset(
     "subscribe signup login share sharing social related recommended comment comments commentlist disqus reply replies respond widget "
     "pagination pager toolbar skip".split()
 )
+_LAYOUT = frozenset("with has no without layout".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _OPEN, _MAIN = 0, 1
 
 
+def _names(attribute: str) -> set[str]:
+    """Words of class and id names; a name like ``page-with-sidebar`` describes a layout and says nothing of its content."""
+    words = [set(_SPLIT.split(name)) for name in attribute.lower().split()]
+    return {w for own in words if own.isdisjoint(_LAYOUT) for w in own}
+
+
 class _Reader(HTMLParser):
     """Collects (role, text) of the blocks of a page that are not boilerplate."""
 
@@ -90,7 +97,7 @@ class _Reader(HTMLParser):
         off, main = self._state()
         named = dict(attrs)
         if not off:
-            names = set(_SPLIT.split(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+            names = _names(f"{named.get('class') or ''} {named.get('id') or ''}")
             role = (named.get("role") or "").lower()
             off = (
                 tag in _NEVER

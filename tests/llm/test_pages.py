@@ -64,6 +64,8 @@ ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><header>
 
 
 def test_structure():
+    wrapped = '<div class="page-with-sidebar no-ads"><article>kept</article><div id="sidebar">side</div></div>'
+    assert [t for _, t in html_text.blocks_of(wrapped)] == ["kept"]
     assert [t for _, t in html_text.blocks_of(ARTICLE)] == ["Head & line", "One <two> three four", "Five six", "seven", "eight"]
 
 
