@@ -23,6 +23,13 @@ def from_micro(degrees_e6: Column) -> Column:
     return degrees_e6 * F.lit(1e-6)
 
 
+def is_located(x: Column, y: Column) -> Column:
+    """Both coordinates are there and finite."""
+    infinite = F.lit(float("inf"))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < infinite)
+    return finite(x) & finite(y)
+
+
 def coordinates(latitude: Column, longitude: Column) -> Column:
     return F.struct(latitude.alias("latitude"), longitude.alias("longitude"))
 
@@ -62,17 +69,25 @@ def bearing(from_: Column, to: Column) -> Column:
 # --- geohash ----------------------------------------------------------------------------
 
 
+MAX_GEOHASH = 20  # 50 bits per axis: as fine as a double can tell degrees apart
+
+
 def geohash(point: Column, precision: Column | int) -> Column:
-    """Base-32 geohash with ``precision`` characters (at most 12), a literal or a column.
+    """Base-32 geohash with ``precision`` characters, 1 to ``MAX_GEOHASH``, a literal or a column; others fail.
 
-    Each axis is cut into 2^30 half-open cells (lower edge inside); every character takes
-    five interleaved bits, longitude first, so a shorter hash is a prefix of a longer one.
+    Each axis is cut into 2^50 half-open cells (lower edge inside); every character takes five interleaved
+    bits, longitude first, so a shorter hash is a prefix of a longer one. Coordinates beyond the
+    range count as its edge, missing ones give null.
     """
-    length = precision if isinstance(precision, int) else 12
-    top = (1 << 30) - 1
+    if isinstance(precision, int) and not 1 <= precision <= MAX_GEOHASH:
+        raise ValueError(f"precision must be 1 to {MAX_GEOHASH}")
+    length = precision if isinstance(precision, int) else MAX_GEOHASH
+    bits = 5 * MAX_GEOHASH // 2
+    top = (1 << bits) - 1
 
     def cell(v: Column, low: float, span: float) -> Column:
-        return F.least(F.floor((v + F.lit(low)) / F.lit(span) * F.lit(float(1 << 30))), F.lit(top)).cast("bigint")
+        scaled = F.floor((v + F.lit(low)) / F.lit(span) * F.lit(float(1 << bits))).cast("bigint")
+        return F.greatest(F.lit(0).cast("bigint"), F.least(scaled, F.lit(top).cast("bigint"))) + v.cast("bigint") * 0
 
     lon = cell(point["longitude"], 180.0, 360.0)
     lat = cell(point["latitude"], 90.0, 180.0)
@@ -82,12 +97,16 @@ def geohash(point: Column, precision: Column | int) -> Column:
         for b in range(5):
             position = 5 * i + b
             axis = lon if position % 2 == 0 else lat
-            bit = F.shiftright(axis, 29 - position // 2).bitwiseAND(F.lit(1).cast("bigint"))
+            bit = F.shiftright(axis, bits - 1 - position // 2).bitwiseAND(F.lit(1).cast("bigint"))
             index = index + bit * F.lit(1 << (4 - b))
         return F.substring(F.lit(GEOHASH_ALPHABET), index.cast("int") + 1, F.lit(1))
 
     text = F.concat(*[character(i) for i in range(length)])
-    return text if isinstance(precision, int) else F.substring(text, F.lit(1), precision.cast("int"))
+    if isinstance(precision, int):
+        return text
+    known = precision.between(1, MAX_GEOHASH) | precision.isNull()
+    wrong = F.raise_error(F.concat(F.lit("geohash precision out of range: "), precision.cast("string"))).cast("int")
+    return F.substring(text, F.lit(1), F.when(known, precision.cast("int")).otherwise(wrong))
 
 
 # --- projections ------------------------------------------------------------------------

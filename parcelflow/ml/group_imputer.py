@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import nan_to_null
-from ..scratch import scratch_path
+from ..scratch import materialize
 
 
 class _GroupImputerParams(HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, HasSeed):
@@ -22,16 +29,9 @@ class _GroupImputerParams(HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
     stochastic = Param(
         Params._dummy(), "stochastic", "add normal noise scaled by the group's deviation", TypeConverters.toBoolean
     )
-    maxBroadcastGroups = Param(
-        Params._dummy(),
-        "maxBroadcastGroups",
-        "up to this many groups the statistics are kept in the model and broadcast; beyond, they are a joined table",
-        TypeConverters.toInt,
-    )
-
     def __init__(self, *args):
         super().__init__(*args)
-        self._setDefault(stochastic=False, seed=42, maxBroadcastGroups=50_000)
+        self._setDefault(stochastic=False, seed=42)
 
     def getGroupCol(self) -> str:
         return self.getOrDefault(self.groupCol)
@@ -104,7 +104,6 @@ class GroupImputer(Estimator, _GroupImputerParams, DefaultParamsReadable, Defaul
         groupCol: str | None = None,
         stochastic: bool = False,
         seed: int = 42,
-        maxBroadcastGroups: int = 50_000,
     ):
         super().__init__()
         self._set(**self._input_kwargs)
@@ -120,7 +119,6 @@ class GroupImputer(Estimator, _GroupImputerParams, DefaultParamsReadable, Defaul
         groupCol: str | None = None,
         stochastic: bool = False,
         seed: int = 42,
-        maxBroadcastGroups: int = 50_000,
     ) -> GroupImputer:
         return self._set(**self._input_kwargs)
 
@@ -129,38 +127,45 @@ class GroupImputer(Estimator, _GroupImputerParams, DefaultParamsReadable, Defaul
         self._check_schema(dataset.schema, inputs)
         stats = group_statistics(dataset, self.getGroupCol(), inputs).withColumnRenamed(self.getGroupCol(), "group")
         stats = stats.filter(F.col("group").isNotNull())  # a null group never matches
-        limit = self.getOrDefault(self.maxBroadcastGroups)
-        # to_json keeps the group's own type: the rows are parsed back with the same schema.
-        rows = [r[0] for r in stats.limit(limit + 1).select(F.to_json(F.struct("*"))).collect()]
-        model = GroupImputerModel()
-        if len(rows) <= limit:
-            model._set(lookupRows=rows)
-        else:
-            path = scratch_path(dataset.sparkSession, "group-statistics")
-            stats.write.parquet(path)
-            model._set(lookupPath=path)
-        model._set(lookupSchema=stats.schema.json())
-        return self._copyValues(model)
-
-
-class GroupImputerModel(Model, _GroupImputerParams, DefaultParamsReadable, DefaultParamsWritable):
-    lookupRows = Param(Params._dummy(), "lookupRows", "group statistics as JSON rows", TypeConverters.toListString)
-    lookupPath = Param(Params._dummy(), "lookupPath", "table of group statistics", TypeConverters.toString)
-    lookupSchema = Param(Params._dummy(), "lookupSchema", "schema of the statistics", TypeConverters.toString)
-
-    def lookup(self, dataset: DataFrame) -> DataFrame:
-        """The statistics: ``group``, then ``<column>_mean`` and ``<column>_std`` per input column."""
-        schema = T.StructType.fromJson(json.loads(self.getOrDefault(self.lookupSchema)))
-        spark = dataset.sparkSession
-        if self.isSet(self.lookupPath):
-            return spark.read.schema(schema).parquet(self.getOrDefault(self.lookupPath))
-        rows = spark.createDataFrame([(r,) for r in self.getOrDefault(self.lookupRows)], "row string")
-        return F.broadcast(rows.select(F.from_json("row", schema).alias("s")).select("s.*"))
+        return self._copyValues(GroupImputerModel(materialize(stats, "group-statistics")))
+
+
+class _StatisticsWriter(DefaultParamsWriter):
+    """Writes the parameters, and the statistics as a table inside the model's folder."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.statistics.write.parquet(f"{path}/statistics")
+
+
+class _StatisticsReader(DefaultParamsReader):
+    def load(self, path: str) -> GroupImputerModel:
+        model = super().load(path)
+        model.statistics = self.sparkSession.read.parquet(f"{path}/statistics")
+        return model
+
+
+class GroupImputerModel(Model, _GroupImputerParams, MLReadable, MLWritable):
+    """Fills nulls from a table of statistics: ``group``, then ``<column>_mean`` and ``<column>_std`` per input column.
+
+    A saved model holds the table; nothing outside its folder is needed to load it.
+    """
+
+    def __init__(self, statistics: DataFrame | None = None):
+        super().__init__()
+        self.statistics = statistics
+
+    def write(self) -> MLWriter:
+        return _StatisticsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StatisticsReader(cls)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         inputs, outputs = self._columns()
         self._check_schema(dataset.schema, inputs)
-        stats = self.lookup(dataset)
+        stats = self.statistics
         stats = stats.select(*[F.col(c).alias(f"_imputer_{c}") for c in stats.columns])
         matched = dataset.join(stats, dataset[self.getGroupCol()] == F.col("_imputer_group"), how="left")
         imputed = {}

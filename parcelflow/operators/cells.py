@@ -20,7 +20,10 @@ SPLIT_BITS = 2  # 4 x 4 children per cell
 
 @dataclass(frozen=True)
 class Grid:
-    """Square cells of ``size / 4**level`` units counted from ``(x0, y0)``."""
+    """Square cells of ``size / 4**level`` units counted from ``(x0, y0)``.
+
+    ``depth`` is as far as coordinates can be told apart: copies are one site, so the last level is not crowded.
+    """
 
     x0: float
     y0: float
@@ -117,9 +120,9 @@ def split_pairs(
 
 def _tasks(df: DataFrame, rows: int) -> int:
     """Partitions for a join whose few input bytes stand for ``rows`` results: the session's usual
-    number, fewer for little work, more (a million results each) for a lot."""
+    number, fewer for little work, more (a million results each) for a lot, without an upper limit."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(min(usual, rows // 100_000 + 1), min(rows // 1_000_000, 10_000))
+    return max(min(usual, rows // 100_000 + 1), rows // 1_000_000)
 
 
 def member_pairs(

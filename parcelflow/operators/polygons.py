@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..scratch import materialize
+
+
+_ROW = "_polygon_row"
+
+
+def _with_row_ids(polygons: DataFrame) -> DataFrame:
+    """A number per row, written: two rows with equal id and values are still two polygons."""
+    return materialize(polygons.withColumn(_ROW, F.monotonically_increasing_id()), "polygons")
 
 
 def area_density(polygons: DataFrame, variables: list[str], ring: str = "ring") -> DataFrame:
@@ -39,7 +48,7 @@ def points_in_polygons(
     extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
     ring = F.transform("ring", lambda p: F.struct(snapped(p["x"]).alias("x"), snapped(p["y"]).alias("y")))
     shapes = (
-        polygons.select(polygon_id, *[c for c in columns if c != polygon_id], ring.alias("ring"))
+        _with_row_ids(polygons.select(polygon_id, *[c for c in columns if c != polygon_id], ring.alias("ring")))
         .withColumns(box)
         .withColumns({"edges": geo.ring_edges(F.col("ring")), "level": F.ceil(F.log2(extent)).cast("int")})
         .drop("ring")
@@ -56,7 +65,7 @@ def points_in_polygons(
         return F.explode(F.sequence(cell(F.col(low), F.col("level")), cell(F.col(high), F.col("level"))))
 
     filed = shapes.withColumn("cx", cells("xmin", "xmax")).withColumn("cy", cells("ymin", "ymax"))
-    sites = points.select("x", "y").dropna("any").distinct()
+    sites = points.select("x", "y").filter(geo.is_located(F.col("x"), F.col("y"))).distinct()
     looked_up = sites.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumns(
         {
             "px": snapped(F.col("x")),
@@ -73,9 +82,9 @@ def points_in_polygons(
     held = (
         looked_up.join(filed, on=["level", "cx", "cy"])
         .filter(in_box)
-        .select("x", "y", "px", "py", *keep, F.explode("edges").alias("e"))
+        .select("x", "y", "px", "py", _ROW, *keep, F.explode("edges").alias("e"))
         .filter(level_with)
-        .groupBy("x", "y", *keep)
+        .groupBy("x", "y", _ROW, *keep)
         .agg(F.sum(geo.edge_crossing(x, y, e)).alias("crossings"), F.max(geo.on_edge(x, y, e)).alias("touches"))
         .filter(F.col("touches") | (F.col("crossings") % 2 == 1))
         .select("x", "y", *keep)

@@ -21,7 +21,7 @@ def target_sites(points: DataFrame) -> DataFrame:
 
     The result can be passed as ``sites`` to several joins over the same points.
     """
-    located = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    located = points.filter(geo.is_located(F.col("x"), F.col("y")))
     sites = located.groupBy(F.col("x").alias("mx"), F.col("y").alias("my")).agg(F.count("*").alias("weight"))
     return materialize(sites, "targets")
 
@@ -29,7 +29,7 @@ def target_sites(points: DataFrame) -> DataFrame:
 def _located(sources: DataFrame) -> DataFrame:
     """Replace ``x, y`` or describe ``edges`` by the columns the cells work with."""
     if "edges" not in sources.columns:
-        return sources.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumnsRenamed({"x": "mx", "y": "my"})
+        return sources.filter(geo.is_located(F.col("x"), F.col("y"))).withColumnsRenamed({"x": "mx", "y": "my"})
     # Every vertex starts one edge, so the first ends of the edges are all vertices.
     ends = {
         f"{axis}{end}": pick(F.col(f"edges.{axis}1"))
@@ -38,7 +38,7 @@ def _located(sources: DataFrame) -> DataFrame:
     }
     first = F.get("edges", F.lit(0))
     return (
-        sources.filter(F.size("edges") > 0)
+        sources.filter((F.size("edges") > 0) & F.forall("edges", lambda e: geo.is_located(e["x1"], e["y1"])))
         .withColumns({**ends, "rx": first["x1"], "ry": first["y1"]})
         .withColumns({"mx": (F.col("xmin") + F.col("xmax")) / 2, "my": (F.col("ymin") + F.col("ymax")) / 2})
     )
@@ -93,7 +93,7 @@ def count_within(
     targets = target_sites(points) if sites is None else sites
     columns = [category, *(["edges"] if "edges" in pois.columns else ["x", "y"])]
     sources = _counted(pois.select(*columns), category, list(keys))
-    grid = Grid(0.0, 0.0, float(radius), depth=6)
+    grid = Grid(0.0, 0.0, float(radius), depth=20)
 
     # A counted source has its middle at most one radius away on each axis: the 3 x 3 cells around.
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -171,7 +171,7 @@ def _root_grid(targets: DataFrame, sources: DataFrame) -> Grid | None:
         return None
     x0, y0 = min(t[0], s[0]), min(t[1], s[1])
     extent = max(max(t[2], s[2]) - x0, max(t[3], s[3]) - y0)
-    return Grid(x0, y0, extent * 1.001 + 1e-9, depth=12)
+    return Grid(x0, y0, extent * 1.001 + 1e-9, depth=25)
 
 
 _START = 2  # 16 x 16 cells: even all their pairs are few, so the search starts there
@@ -259,7 +259,9 @@ def nearest_sites(
     shaped = _located(sources.select(*payload, *shape, cat.alias("cat")))
     # Of several sources of a category at one place only the best can win.
     shaped = _first(shaped, ["cat", *_shape(shaped)], order).withColumn("weight", F.lit(1))
-    candidates = _nearest_candidates(sites, materialize(shaped, "sources"), payload, pair_limit)
+    # Polygons that agree in all columns are still different shapes.
+    numbered = materialize(shaped.withColumn("_shape", F.monotonically_increasing_id()), "sources")
+    candidates = _nearest_candidates(sites, numbered, [*payload, "_shape"], pair_limit)
     if candidates is None:
         return None
     best = _first(candidates, ["tmx", "tmy", "cat"], [F.col("distance"), *order])

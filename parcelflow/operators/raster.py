@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def merge_tiles(tiles: list[DataFrame]) -> DataFrame:
-    """One raster from several ``(row, col, value)`` tiles; the first tile wins where they overlap."""
+    """One raster from several ``(row, col, value)`` tiles; where they overlap, the first with a value wins.
+
+    A cell that no tile has a value for (null or NaN) is null.
+    """
     ranked = [t.select("row", "col", "value", F.lit(i).alias("tile_order")) for i, t in enumerate(tiles)]
     cells = reduce(DataFrame.unionByName, ranked)
-    return cells.groupBy("row", "col").agg(F.min_by("value", "tile_order").alias("value"))
+    valued = cells.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    order = F.when(F.col("value").isNotNull(), F.col("tile_order"))
+    return valued.groupBy("row", "col").agg(F.min_by("value", order).alias("value"))
 
 
 def raster_lookup(
@@ -27,7 +34,7 @@ def raster_lookup(
 
     ``(x0, y0)`` is the lower-left corner, rows count upwards. Points without coordinates are dropped.
     """
-    located = points.dropna("any", subset=["x", "y"]).withColumns(
+    located = points.filter(geo.is_located(F.col("x"), F.col("y"))).withColumns(
         {
             "row": F.floor((F.col("y") - F.lit(y0)) / F.lit(cell_size)).cast("bigint"),
             "col": F.floor((F.col("x") - F.lit(x0)) / F.lit(cell_size)).cast("bigint"),

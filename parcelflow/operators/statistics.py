@@ -35,11 +35,10 @@ def unpivot_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Share of each value in percent (3 decimals), null included, most frequent first."""
-    total = df.agg(F.count("*")).scalar()
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()  # of the grouped counts, which the same scan gives
     return (
-        df.groupBy(column)
-        .agg(F.count("*").alias("_n"))
-        .select(column, F.round(F.col("_n") / total * 100, 3).alias("percent"))
+        counts.select(column, F.round(F.col("_n") / total * 100, 3).alias("percent"))
         .orderBy(F.desc("percent"), F.asc_nulls_first(column))
     )
 
@@ -121,17 +120,19 @@ def summary_continuous(df: DataFrame, mode: str = "intended", exact: bool = Fals
     )
 
 
+def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Number of rows per pair of values of two columns, as text; null is a level called ``null``."""
+    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
+    return df.groupBy(level(a), level(b)).agg(F.count("*").alias("n"))
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pair counts of two columns: a row per level of ``a``, a column per level of ``b``.
+    """``pair_counts`` with a column per level of ``b`` that occurs; the first column is named ``<a>_<b>``.
 
-    The first column is named ``<a>_<b>``; null is a level called ``null``.
+    Spark limits the number of columns; beyond, use ``pair_counts``.
     """
-    levels = df.select(
-        F.coalesce(F.col(a).cast("string"), F.lit("null")).alias(f"{a}_{b}"),
-        F.coalesce(F.col(b).cast("string"), F.lit("null")).alias("_level"),
-    )
-    flags = ["false", "true", "null"] if isinstance(df.schema[b].dataType, T.BooleanType) else None
-    return levels.groupBy(f"{a}_{b}").pivot("_level", flags).count().fillna(0)
+    pairs = pair_counts(df.select(F.col(a).alias("_a"), F.col(b).alias("_b")), "_a", "_b")
+    return pairs.groupBy(F.col("_a").alias(f"{a}_{b}")).pivot("_b").agg(F.sum("n")).fillna(0)
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:

@@ -29,11 +29,10 @@ class Training:
 def train_test(df: DataFrame, ratio: float = V.TRAIN_RATIO, seed: int = V.SEED) -> tuple[DataFrame, DataFrame]:
     """Random train and test parts of one written table.
 
-    The rows are spread evenly over the shuffle partitions and carry their random draw, so the
-    many passes of the fits neither repeat the ingest nor sort the rows to draw the same split again.
+    The rows are written where they lie, with their random draw: the many passes of the fits neither repeat the ingest
+    nor draw again, and nothing is shuffled.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = materialize(df.repartition(partitions).withColumn("_draw", F.rand(seed)), "prepared")
+    drawn = materialize(df.withColumn("_draw", F.rand(seed)), "prepared")
     return drawn.filter(F.col("_draw") < ratio).drop("_draw"), drawn.filter(F.col("_draw") >= ratio).drop("_draw")
 
 

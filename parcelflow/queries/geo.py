@@ -112,30 +112,30 @@ def geo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _geohash_sql(lat: str, lon: str, characters: int) -> tuple[str, str]:
     cells = (
-        f"CAST(floor(({lon} + 180) / 360 * 1073741824) AS BIGINT) AS gx, "
-        f"CAST(floor(({lat} + 90) / 180 * 1073741824) AS BIGINT) AS gy"
+        f"CAST(floor(({lon} + 180) / 360 * {1 << 50}) AS BIGINT) AS gx, "
+        f"CAST(floor(({lat} + 90) / 180 * {1 << 50}) AS BIGINT) AS gy"
     )
     parts = []
     for i in range(characters):
         bits = [
-            f"((({'gx' if p % 2 == 0 else 'gy'} >> {29 - p // 2}) & 1) << {4 - b})" for b, p in enumerate(range(5 * i, 5 * i + 5))
+            f"((({'gx' if p % 2 == 0 else 'gy'} >> {49 - p // 2}) & 1) << {4 - b})" for b, p in enumerate(range(5 * i, 5 * i + 5))
         ]
         parts.append(f"substr('{geo.GEOHASH_ALPHABET}', CAST({' + '.join(bits)} AS BIGINT) + 1, 1)")
     return cells, "concat(" + ", ".join(parts) + ")"
 
 
-_CELLS, _HASH = _geohash_sql("latitude_e6 * 1e-6", "longitude_e6 * 1e-6", 8)
+_CELLS, _HASH = _geohash_sql("latitude_e6 * 1e-6", "longitude_e6 * 1e-6", 15)
 
 
 @query(
     cte("props")
-    + f""", g AS (SELECT *, {_CELLS} FROM props), t AS (SELECT substr({_HASH}, 1, 5 + region % 4) AS geohash, area FROM g)
+    + f""", g AS (SELECT *, {_CELLS} FROM props), t AS (SELECT substr({_HASH}, 1, 5 + region % 11) AS geohash, area FROM g)
     SELECT geohash, count(*) AS n, round(avg(area), 6) AS mean_area FROM t GROUP BY geohash"""
 )
 def geohash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregate per geohash, with the precision taken from a column."""
     props = _degrees(standin(spark, sf_dir, "props"))
-    cell = geo.geohash(geo.coordinates(F.col("latitude"), F.col("longitude")), 5 + F.col("region") % 4)
+    cell = geo.geohash(geo.coordinates(F.col("latitude"), F.col("longitude")), 5 + F.col("region") % 11)
     buckets = props.groupBy(cell.alias("geohash")).agg(F.count("*").alias("n"), F.avg("area").alias("mean_area"))
     return _rounded(buckets, 6, "mean_area")
 

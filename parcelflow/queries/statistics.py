@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import statistics as S
 from ..operators.correlations import correlation
 from ..operators.correlations import top_correlations as strongest
+from ..plans.training import train_test
 from .registry import query
 from .standins import cte, standin, standin_sql, table
 
@@ -149,15 +150,15 @@ def top_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(strongest(standin(spark, sf_dir, "props"), 15, _CORR_COLUMNS), 6, "corr")
 
 
-def _crosstab_sql(source: str, a: str, b: str) -> str:
+def _crosstab_sql(source: str, a: str, b: str, levels: tuple[str, ...]) -> str:
     level = "coalesce(CAST({} AS VARCHAR), 'null')"
     counts = ", ".join(
-        f"count(*) FILTER ({level.format(b)} = '{v}') AS \"{v}\"" for v in ("false", "true", "null")
+        f"count(*) FILTER ({level.format(b)} = '{v}') AS \"{v}\"" for v in levels
     )
     return f"SELECT {level.format(a)} AS {a}_{b}, {counts} FROM ({source}) f GROUP BY 1"
 
 
-@query(_crosstab_sql(standin_sql("flags"), "is_returned", "is_open"))
+@query(_crosstab_sql(standin_sql("flags"), "is_returned", "is_open", ("false", "true", "null")))
 def crosstab_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.crosstab(standin(spark, sf_dir, "flags"), "is_returned", "is_open")
 
@@ -165,7 +166,7 @@ def crosstab_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NULLS = f"SELECT is_returned IS NULL AS r, is_open IS NULL AS o FROM ({standin_sql('flags')}) g"
 
 
-@query(_crosstab_sql(_NULLS, "r", "o"))
+@query(_crosstab_sql(_NULLS, "r", "o", ("false", "true")))
 def crosstab_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = standin(spark, sf_dir, "flags").select(
         F.col("is_returned").isNull().alias("r"), F.col("is_open").isNull().alias("o")
@@ -221,7 +222,7 @@ def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and test parts are disjoint and together the whole table."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    train, test = orders.randomSplit([0.75, 0.25], seed=42)
+    train, test = train_test(orders, 0.75)
     parts = train.withColumn("train", F.lit(1)).join(test.withColumn("test", F.lit(1)), on="o_orderkey", how="full")
     both = orders.join(parts, on="o_orderkey", how="left")
     return both.agg(

@@ -97,7 +97,7 @@ def place_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT n_name AS area, n_nationkey AS tract, CAST(n_regionkey AS BIGINT) AS people, CAST(NULL AS BIGINT) AS homes
-    FROM nation
+    FROM nation WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_20')
     UNION ALL
     SELECT r_name AS area, r_regionkey AS tract, CAST(NULL AS BIGINT) AS people, CAST(r_regionkey + 10 AS BIGINT) AS homes
     FROM region"""
@@ -109,23 +109,29 @@ def census_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = table(spark, sf_dir, "region").selectExpr(
         "r_name AS area", "r_regionkey AS tract", "CAST(r_regionkey + 10 AS BIGINT) AS homes"
     )
-    return append_areas([select_areas(big, [f"NATION_{i}" for i in range(25)]), small])
+    return append_areas([select_areas(big, ["NATION_20", "NATION_3", "NATION_11", "NATION_7", "NOWHERE"]), small])
 
 
 @query(
     """
     WITH cells AS (
-      SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS "row", p_partkey % 40 AS col, p_size AS value, 0 AS tile FROM part
+      SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS "row", p_partkey % 40 AS col,
+        CASE WHEN p_size % 5 > 0 THEN p_size END AS value, 0 AS tile FROM part
       UNION ALL
-      SELECT CAST(floor(p_partkey / 40) AS BIGINT) + 10 AS "row", p_partkey % 40 + 5 AS col, -p_size AS value, 1 AS tile
+      SELECT CAST(floor(p_partkey / 40) AS BIGINT) + 10 AS "row", p_partkey % 40 + 5 AS col,
+        CASE WHEN p_size % 7 > 0 THEN -p_size END AS value, 1 AS tile
       FROM part)
     SELECT "row", col, value FROM (
-      SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY tile) AS rn FROM cells) c WHERE rn = 1"""
+      SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY value IS NULL, tile) AS rn FROM cells) c
+    WHERE rn = 1"""
 )
 def raster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = standin(spark, sf_dir, "dem")
-    second = first.select(
-        (F.col("row") + 10).alias("row"), (F.col("col") + 5).alias("col"), (-F.col("value")).alias("value")
+    """Where the first tile has no value, the second one's counts."""
+    dem = standin(spark, sf_dir, "dem")
+    value = F.col("value")
+    first = dem.withColumn("value", F.when(value % 5 > 0, value))
+    second = dem.select(
+        (F.col("row") + 10).alias("row"), (F.col("col") + 5).alias("col"), F.when(value % 7 > 0, -value).alias("value")
     )
     return merge_tiles([first, second])
 

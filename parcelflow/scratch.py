@@ -3,6 +3,9 @@
 Iterative operators write their rounds as parquet under ``spark.checkpoint.dir`` and go on
 from the written table: the lineage is cut, a lost executor costs a re-read instead of a
 recomputation, and later joins see real sizes.
+
+All tables of an application lie in one folder of its own.  Nothing that outlives the application is kept there (a saved
+model holds its tables itself), so ``release`` may remove it once the results are written.
 """
 
 from __future__ import annotations
@@ -26,8 +29,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{scratch_dir(spark)}/parcelflow-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that still read them must be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

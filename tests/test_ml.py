@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from parcelflow.ml.group_imputer import GroupImputer
+from parcelflow.ml.group_imputer import GroupImputer, GroupImputerModel
 from parcelflow.ml.pipeline import feature_columns, search_space, build_pipeline
 from parcelflow.ml.random_grid import RandomGridBuilder
 from parcelflow.ml.run_log import best_result
@@ -26,9 +26,8 @@ def fill(df, **kw):
     return GroupImputer(groupCol="g", **kw).fit(df).transform(df)
 
 
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_group_means(grouped, limit):
-    done = fill(grouped, inputCols=["v", "n"], outputCols=["v2", "n2"], maxBroadcastGroups=limit)
+def test_group_means(grouped):
+    done = fill(grouped, inputCols=["v", "n"], outputCols=["v2", "n2"])
     assert done.columns == ["g", "v", "n", "v2", "n2"] and done.schema["n2"].dataType.simpleString() == "int"
     got = sorted((str(r["g"]), r["v2"], r["n2"]) for r in done.filter("v is null").collect())
     assert got == [("None", None, 1), ("a", 5.0, 3), ("b", 7.0, 3), ("c", None, None)]
@@ -51,11 +50,22 @@ def test_unseen_group_and_persistence(spark, grouped, tmp_path):
     assert {r["g"]: r["out"] for r in PipelineModel.load(str(tmp_path / "model")).transform(other).collect()} == {"a": 5.0, "new": None}
 
 
+def test_saved_model_holds_its_statistics(spark, tmp_path):
+    """Many groups; what is loaded reads nothing outside the model's folder."""
+    df = spark.range(100_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN CAST(id AS DOUBLE) END AS v", "id DIV 2 AS g")
+    model = GroupImputer(inputCol="v", outputCol="out", groupCol="g").fit(df)
+    model.write().save(str(tmp_path / "imputer"))
+    loaded = GroupImputerModel.load(str(tmp_path / "imputer"))
+    assert all(str(tmp_path / "imputer") in f for f in loaded.statistics.inputFiles())
+    done = loaded.transform(df)
+    assert done.filter("out <> id - id % 2").count() == 0 and done.filter("out is null").count() == 0
+
+
 def test_integer_groups_keep_their_type(spark):
     df = spark.createDataFrame([(1, 3.0), (1, None), (2, 8.0)], "g long, v double")
     model = GroupImputer(inputCol="v", outputCol="v", groupCol="g").fit(df)
     assert sorted(r["v"] for r in model.transform(df).collect()) == [3.0, 3.0, 8.0]
-    assert model.lookup(df).schema["group"].dataType.simpleString() == "bigint"
+    assert model.statistics.schema["group"].dataType.simpleString() == "bigint"
 
 
 @pytest.mark.parametrize(

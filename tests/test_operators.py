@@ -1,5 +1,6 @@
 """Sources, relational operators, statistics and preprocessing on small hand-made frames."""
 
+import os
 import random
 
 import pytest
@@ -14,7 +15,7 @@ from parcelflow.operators.ordering import exact_percentiles, running_counts
 from parcelflow.operators.relational import align, first_per_key, merge_suffixed
 from parcelflow.plans import exploration
 from parcelflow.plans import fixed_values as V
-from parcelflow.scratch import scratch_dir
+from parcelflow.scratch import materialize, release, run_folder, scratch_dir
 from parcelflow.sources.places import clean_places, select_areas
 from parcelflow.sources.tables import read_tables, scan
 
@@ -150,8 +151,10 @@ def test_correlations(spark):
 
 def test_crosstab_histogram_distinct(spark):
     df = spark.createDataFrame([(True, None), (None, True), (True, True), (True, True)], "a boolean, b boolean")
-    rows = {r["a_b"]: (r["true"], r["false"], r["null"]) for r in S.crosstab(df, "a", "b").collect()}
-    assert rows == {"true": (2, 0, 1), "null": (1, 0, 0)}
+    table = S.crosstab(df, "a", "b")
+    assert set(table.columns) == {"a_b", "true", "null"}
+    assert {r["a_b"]: (r["true"], r["null"]) for r in table.collect()} == {"true": (2, 1), "null": (1, 0)}
+    assert {tuple(r) for r in S.pair_counts(df, "a", "b").collect()} == {("true", "true", 2), ("true", "null", 1), ("null", "true", 1)}
     values = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 10)], "v double")
     bins = {r["bin"]: (r["n"], r["density"]) for r in S.histogram(values, "v", 10).collect()}
     assert len(bins) == 10 and bins[9] == (1, 0.25) and bins[5] == (0, 0.0)
@@ -214,3 +217,11 @@ def test_fixed_values_are_consistent():
     names = [d.split()[0] for d in [*V.TRANSACTIONS, *V.PROPERTIES[1:], *V.EXTERNAL_FEATURES[1:]]]
     assert (len(V.PROPERTIES), len(V.EXTERNAL_FEATURES), len(set(names))) == (58, 26, len(names))
     assert PROPERTY_RULES.columns() <= set(names) and set(V.DROP) <= set(names)
+
+
+def test_release_removes_only_the_runs_tables(spark):
+    written = materialize(spark.range(3), "kept-for-now")
+    path = written.inputFiles()[0].removeprefix("file://")
+    assert run_folder(spark) in path and os.path.exists(path)
+    release(spark)
+    assert not os.path.exists(path) and os.path.isdir(scratch_dir(spark).removeprefix("file:"))

@@ -34,6 +34,6 @@ def test_query_equals_sql(spark, con, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["fit_predict_eval", "cross_validate"])
+@pytest.mark.parametrize("name", ["cross_validate"])
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0

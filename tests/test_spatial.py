@@ -169,6 +169,46 @@ def test_concave_polygon(spark):
     assert got == {"notch": None, "left": 1, "tip": 1}
 
 
+def test_polygons_that_share_an_id(spark):
+    """Two overlapping rows of one id and equal values are two polygons, not an even number of crossings."""
+    square = [{"x": float(a), "y": float(b)} for a, b in ((0, 0), (4, 0), (4, 4), (0, 4))]
+    shapes = spark.createDataFrame([(1, square), (1, square)], "t int, ring array<struct<x:double,y:double>>")
+    points = frame(spark, [("in", 2.0, 2.0), ("nan", float("nan"), 2.0), ("far", float("inf"), 0.0)], "id string, x double, y double")
+    got = sorted((r["id"], r["t"]) for r in points_in_polygons(points, shapes, ["t"], "t").collect() if r["t"])
+    assert got == [("in", 1), ("in", 1)]
+
+
+def test_missing_coordinates_have_no_neighbour(spark):
+    points = frame(spark, [(1, 0.0, 0.0), (2, float("nan"), 0.0), (3, 0.0, float("-inf")), (4, None, 1.0)], "id long, x double, y double")
+    sources = frame(spark, [("a", 3.0, 4.0), ("b", float("nan"), 0.0), ("c", 0.0, float("inf"))], "key string, x double, y double")
+    got = {r["id"]: (r["key"], r["distance"]) for r in nearest(points, sources, "key").collect()}
+    assert got == {1: ("a", 5.0), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert {r["id"]: r["n"] for r in count_within(points, sources, 10.0, {"a": "n", "b": "m"}).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_merged_tiles_take_the_first_value(spark):
+    tile = frame(spark, [(0, 0, None), (0, 1, float("nan")), (0, 2, 1.0), (0, 3, None)], "row long, col long, value double")
+    other = frame(spark, [(0, 0, 7.0), (0, 1, 8.0), (0, 2, 9.0), (0, 3, float("nan"))], "row long, col long, value double")
+    assert {r["col"]: r["value"] for r in merge_tiles([tile, other]).collect()} == {0: 7.0, 1: 8.0, 2: 1.0, 3: None}
+
+
+def test_geohash_limits(spark):
+    at = lambda lat, lon: geo.coordinates(F.lit(lat), F.lit(lon))
+    row = spark.range(1).select(
+        geo.geohash(at(57.64911, 10.40744), 20).alias("long"),
+        geo.geohash(at(57.64911, 10.40744), F.lit(15)).alias("column"),
+        geo.geohash(at(-95.0, -200.0), 4).alias("low"),
+        geo.geohash(at(95.0, 200.0), 4).alias("high"),
+        geo.geohash(at(None, 1.0), 4).alias("none"),
+    ).first()
+    assert row["long"].startswith("u4pruydqqvj8") and row["column"] == row["long"][:15]
+    assert (row["low"], row["high"], row["none"]) == ("0000", "zzzz", None)
+    with pytest.raises(ValueError):
+        geo.geohash(at(1.0, 1.0), 21)
+    with pytest.raises(Exception, match="out of range"):
+        spark.range(1).select(geo.geohash(at(1.0, 1.0), F.lit(21))).collect()
+
+
 def test_raster(spark):
     tile = frame(spark, [(0, 0, 5), (0, 1, 6)], "row long, col long, value int")
     other = frame(spark, [(0, 1, 60), (1, 1, 70)], "row long, col long, value int")
