@@ -181,6 +181,25 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
+def rings_edges(rings: Column) -> Column:
+    """Edges of a shape of several rings: parts and holes.
+
+    A point is inside when a ray from it crosses an odd number of all edges, so rings need no roles or direction.
+    """
+    return F.flatten(F.transform(rings, ring_edges))
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of parts less that of their holes; a ring is a hole when an odd number of the others holds its first vertex."""
+
+    def signed(ring: Column, i: Column) -> Column:
+        first = F.get(ring, F.lit(0))
+        around = F.filter(rings, lambda other, j: (j != i) & point_in_ring(first["x"], first["y"], ring_edges(other)))
+        return F.when(F.size(around) % 2 == 1, -ring_area(ring_edges(ring))).otherwise(ring_area(ring_edges(ring)))
+
+    return F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def ring_bounds(ring: Column) -> dict[str, Column]:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return {"xmin": F.array_min(xs), "xmax": F.array_max(xs), "ymin": F.array_min(ys), "ymax": F.array_max(ys)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from .ordering import running_counts
-from .statistics import unpivot_numeric
 
 
 def _pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,45 +28,56 @@ def _centred_ranks(counts: DataFrame, by: list[str], value: str) -> DataFrame:
     return running_counts(counts, by, value).withColumn("rank", centred).drop("n", "before", "total")
 
 
-def _spearman_complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each unordered pair once, for columns without nulls: every column is ranked once."""
-    long = unpivot_numeric(df, columns)
-    counts = long.groupBy("field", "value").agg(F.count("*").alias("n"))
-    ranks = materialize(_centred_ranks(counts, ["field"], "value"), "ranks")
-    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        of_column = ranks.filter(F.col("field") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = ranked.join(of_column, on=c).drop(c)
-    return _pearson_pairs(ranked.withColumnsRenamed({f"_r_{c}": c for c in columns}), columns)
+def _null_masks(numbered: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Column -> first column that is null in the same rows, from one aggregate over the rows."""
+    mark = F.xxhash64(ROW_ID)
+    marks = numbered.agg(*[F.bit_xor(F.when(F.col(c).isNull(), mark)).alias(c) for c in columns]).first()
+    first: dict[int | None, str] = {}
+    return {c: first.setdefault(marks[c], c) for c in columns}
 
 
-def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """The given pairs, each over the rows where both values are present.
+ROW_ID = "_row"
 
-    Equal rows of a pair are counted first; ranks belong to the pair, since its rows do.
+
+def ranked_values(numbered: DataFrame, masks: dict[str, str]) -> DataFrame:
+    """(row, field, mask, value): every value once for each mask that it is ranked under.
+
+    The rank of a value in a pair depends on the rows where the partner is present, so on the partner's mask only: a row
+    becomes columns times masks rows at most, whatever the number of pairs.
     """
+    places = [(c, m) for c in masks for m in sorted({masks[o] for o in masks if o != c})]
     rows = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs
+        F.struct(F.lit(c).alias("field"), F.lit(m).alias("mask"), F.when(F.col(m).isNotNull(), F.col(c)).alias("value"))
+        for c, m in places
     ]
-    keys = ["col_a", "col_b"]
-    counted = materialize(
-        df.select(F.inline(F.array(*rows)))
-        .dropna("any", subset=["x", "y"])
-        .groupBy(*keys, "x", "y")
-        .agg(F.count("*").alias("n")),
-        "pair-counts",
-    )
-    sides = [
-        counted.groupBy(*keys, F.lit(v).alias("side"), F.col(v).alias("value")).agg(F.sum("n").alias("n")) for v in ("x", "y")
+    return numbered.select(ROW_ID, F.inline(F.array(*rows))).filter("value is not null")
+
+
+def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each unordered pair once, over the rows where both values are present.
+
+    Values are ranked in long form, all columns and masks at once; the ranks of a row come together again in one regroup.
+    """
+    numbers = df.select(F.monotonically_increasing_id().alias(ROW_ID), *[F.col(c).cast("double").alias(c) for c in columns])
+    numbered = materialize(numbers, "numbered")
+    masks = _null_masks(numbered, columns)
+    long = ranked_values(numbered, masks)
+    by = ["field", "mask"]
+    counts = long.groupBy(*by, "value").agg(F.count("*").alias("n"))
+    # Written, so that the join sees two shuffled sides and can split the rows of a frequent value.
+    ranks = materialize(_centred_ranks(counts, by, "value"), "ranks")
+    ranked = long.join(ranks, on=[*by, "value"])
+    cells = {(c, m): f"{i}_{j}" for i, c in enumerate(columns) for j, m in enumerate(sorted(set(masks.values())))}
+    picked = [
+        F.max(F.when((F.col("field") == c) & (F.col("mask") == m), F.col("rank"))).alias(name) for (c, m), name in cells.items()
     ]
-    ranks = materialize(_centred_ranks(sides[0].unionByName(sides[1]), [*keys, "side"], "value"), "ranks")
-    for v in ("x", "y"):
-        of_side = ranks.filter(F.col("side") == v).select(*keys, F.col("value").alias(v), F.col("rank").alias(f"r{v}"))
-        counted = counted.join(of_side, on=[*keys, v])
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    spread = F.sqrt(F.sum(n * rx * rx)) * F.sqrt(F.sum(n * ry * ry))
-    return counted.groupBy(*keys).agg((F.sum(n * rx * ry) / F.nullif(spread, F.lit(0.0))).alias("corr"))
+    wide = ranked.groupBy(ROW_ID).agg(*picked)
+    pairs = list(combinations(columns, 2))
+    flat = [F.corr(F.col(cells[a, masks[b]]), F.col(cells[b, masks[a]])).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
+    rows = [
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)
+    ]
+    return wide.agg(*flat).select(F.inline(F.array(*rows)))
 
 
 def correlation(df: DataFrame, method: str, mode: str = "intended") -> DataFrame:
@@ -82,7 +91,7 @@ def correlation(df: DataFrame, method: str, mode: str = "intended") -> DataFrame
     if mode not in ("intended", "as_coded"):
         raise ValueError("mode must be 'intended' or 'as_coded'")
     spearman = method == "spearman" or mode == "as_coded"
-    upper = (_spearman_complete if spearman else _pearson_pairs)(df.dropna("any"), df.columns)
+    upper = (_spearman_pairs if spearman else _pearson_pairs)(df.dropna("any"), df.columns)
     diagonal = [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("corr")) for c in df.columns]
     ones = df.sparkSession.range(1).select(F.inline(F.array(*diagonal)))
     both = F.array(
@@ -93,23 +102,9 @@ def correlation(df: DataFrame, method: str, mode: str = "intended") -> DataFrame
 
 
 def top_correlations(df: DataFrame, k: int = 15, columns: list[str] | None = None) -> DataFrame:
-    """The ``k`` strongest absolute Spearman correlations; each pair uses the rows where both are present.
-
-    Columns without nulls are ranked once for all their pairs; only pairs with a null somewhere
-    need ranks of their own.
-    """
-    columns = columns or df.columns
-    holes = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
-    complete = [c for c in columns if not holes[c]]
-    pairs = list(combinations(columns, 2))
-    partial = [p for p in pairs if holes[p[0]] or holes[p[1]]]
-    parts = []
-    if len(complete) > 1:
-        parts.append(_spearman_complete(df, complete))
-    if partial:
-        parts.append(_spearman_pairs(df, partial))
+    """The ``k`` strongest absolute Spearman correlations; each pair uses the rows where both are present."""
     return (
-        reduce(DataFrame.unionByName, parts)
+        _spearman_pairs(df, columns or df.columns)
         .select("col_a", "col_b", F.abs("corr").alias("corr"))
         .dropna("any", subset=["corr"])
         .orderBy(F.desc("corr"), "col_a", "col_b")

@@ -17,9 +17,12 @@ def _with_row_ids(polygons: DataFrame) -> DataFrame:
     return materialize(polygons.withColumn(_ROW, F.monotonically_increasing_id()), "polygons")
 
 
-def area_density(polygons: DataFrame, variables: list[str], ring: str = "ring") -> DataFrame:
-    """Divide each variable by the polygon's area, in the units of its own coordinates."""
-    area = geo.ring_area(geo.ring_edges(F.col(ring)))
+def area_density(polygons: DataFrame, variables: list[str]) -> DataFrame:
+    """Divide each variable by the polygon's area, in the units of its own coordinates.
+
+    Polygons bring one ``ring``, or ``rings`` with parts and holes.
+    """
+    area = geo.rings_area(F.col("rings")) if "rings" in polygons.columns else geo.ring_area(geo.ring_edges(F.col("ring")))
     return polygons.withColumn("area", area).withColumns({v: F.col(v) / F.col("area") for v in variables})
 
 
@@ -36,6 +39,7 @@ def points_in_polygons(
     Points (``x, y``) without a polygon are kept with nulls; a point on a shared edge gives one
     row per polygon, or only the polygon with the smallest id when ``dedupe="first"``. ``digits``
     compares coordinates rounded to so many decimals: a reprojected edge is only exact up to that.
+    Polygons bring one ``ring``, or ``rings`` with parts and holes; a hole's boundary still belongs to the polygon.
 
     A polygon is filed in the power-of-two grid whose cells are at least as large as its box, so
     it touches at most four cells; a point is looked up once per grid in use.
@@ -44,14 +48,16 @@ def points_in_polygons(
     def snapped(c):
         return c if digits is None else F.round(c, digits)
 
-    box = geo.ring_bounds(F.col("ring"))
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    box = geo.ring_bounds(F.flatten("rings"))
     extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
-    ring = F.transform("ring", lambda p: F.struct(snapped(p["x"]).alias("x"), snapped(p["y"]).alias("y")))
+    vertex = lambda p: F.struct(snapped(p["x"]).alias("x"), snapped(p["y"]).alias("y"))
+    snapped_rings = F.transform(rings, lambda ring: F.transform(ring, vertex))
     shapes = (
-        _with_row_ids(polygons.select(polygon_id, *[c for c in columns if c != polygon_id], ring.alias("ring")))
+        _with_row_ids(polygons.select(polygon_id, *[c for c in columns if c != polygon_id], snapped_rings.alias("rings")))
         .withColumns(box)
-        .withColumns({"edges": geo.ring_edges(F.col("ring")), "level": F.ceil(F.log2(extent)).cast("int")})
-        .drop("ring")
+        .withColumns({"edges": geo.rings_edges(F.col("rings")), "level": F.ceil(F.log2(extent)).cast("int")})
+        .drop("rings")
     )
     levels = sorted(r[0] for r in shapes.select("level").distinct().collect() if r[0] is not None)  # powers of two: few
     if not levels:

@@ -21,8 +21,10 @@ class FeatureSources:
     """Tables around the properties.
 
     ``pois``: key, value, latitude, longitude. ``raster``: row, col, value on a degree grid from
-    ``(raster_lon, raster_lat)`` with ``raster_step``. ``tracts``: id, variables, Mercator ring.
-    ``cities``: name, population, latitude, longitude.
+    ``(raster_lon, raster_lat)`` with ``raster_step``. ``tracts``: id, variables, Mercator ``ring`` or ``rings``.
+    ``cities``: name, population, latitude, longitude. POIs and cities may be areas instead: with a column ``rings``
+    (parts and holes, x = longitude, y = latitude; null for a point) distances are 0 inside, and only POIs wholly
+    within the radius count.
     """
 
     pois: DataFrame
@@ -53,6 +55,27 @@ def projected(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": x, "y": y})
 
 
+def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with planar ``x, y``, or with planar ``edges`` where the table has areas; a point is an edge of no length."""
+    if "rings" not in df.columns:
+        return projected(df).select(*columns, "x", "y")
+
+    def vertex(p):
+        x, y = geo.albers(p["y"], p["x"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    point = F.array(F.array(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y"))))
+    rings = F.coalesce("rings", point) if "longitude" in df.columns else F.col("rings")
+    planar = F.transform(rings, lambda ring: F.transform(ring, vertex))
+    return df.withColumn("_planar", planar).select(*columns, geo.rings_edges(F.col("_planar")).alias("edges"))
+
+
+def _tract_degrees(tracts: DataFrame) -> DataFrame:
+    if "rings" in tracts.columns:
+        return tracts.withColumn("rings", F.transform("rings", geo.mercator_ring_to_degrees))
+    return tracts.withColumn("ring", geo.mercator_ring_to_degrees(F.col("ring")))
+
+
 def city_features(
     points: DataFrame,
     cities: DataFrame,
@@ -88,9 +111,9 @@ def geo_features(df: DataFrame, sources: FeatureSources, key: str = "parcelid")
     points = materialize(projected(property_points(df, key)), "properties")
     degrees = points.select(key, F.col("longitude").alias("x"), F.col("latitude").alias("y"))
     metres = points.select(key, "x", "y")
-    pois = materialize(projected(sources.pois).select("key", "value", "x", "y"), "pois")
-    cities = projected(sources.cities).select("name", "population", "x", "y")
-    tracts = area_density(sources.tracts, sources.variables).withColumn("ring", geo.mercator_ring_to_degrees(F.col("ring")))
+    pois = materialize(_placed(sources.pois, ["key", "value"]), "pois")
+    cities = _placed(sources.cities, ["name", "population"])
+    tracts = _tract_degrees(area_density(sources.tracts, sources.variables))
 
     elevation = raster_lookup(degrees, sources.raster, sources.raster_lon, sources.raster_lat, sources.raster_step)
     sites = target_sites(metres)

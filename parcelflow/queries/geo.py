@@ -14,7 +14,7 @@ from ..operators.raster import raster_lookup
 from ..plans.features import FeatureSources, geo_features, projected
 from ..plans.features import city_features as near_cities
 from .registry import query
-from .standins import SOUTH_E6, WEST_E6, albers_sql, cte, located_sql, mercator_sql, standin
+from .standins import SOUTH_E6, WEST_E6, albers_sql, cte, located_sql, mercator_sql, standin, table
 
 # Parameters of the stand-in jobs, shared with their SQL.
 RADIUS = 500
@@ -383,3 +383,31 @@ def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = geo_features(props, sources)
     metres = [c for c in features.columns if c.startswith(("near_", "distance_"))]
     return _rounded(features.withColumn("people", F.round(F.col("people") * 1e6, 6)), 3, *metres)
+
+
+# Nations as square parts of 8 units, with a hole of 4 in the first; a second part lies above.
+_PARTS = {"outer": (4.0, 0.0), "hole": (2.0, 0.0), "above": (1.0, 8.0)}
+
+
+@query(
+    """
+    WITH p AS (SELECT c_custkey, c_custkey % 250 + 0.3e0 AS x, c_custkey * 7 % 190 / 10e0 - 5.05e0 AS y FROM customer),
+    q AS (SELECT *, n_nationkey, 10e0 * n_nationkey + 5 AS mx FROM p, nation),
+    held AS (SELECT c_custkey, n_nationkey FROM q WHERE
+      (abs(x - mx) < 4 AND abs(y) < 4 AND NOT (abs(x - mx) < 2 AND abs(y) < 2)) OR (abs(x - mx) < 1 AND abs(y - 8) < 1))
+    SELECT p.c_custkey, h.n_nationkey, CASE WHEN h.n_nationkey IS NOT NULL THEN round(1 / (64e0 - 16 + 4), 9) END AS density
+    FROM p LEFT JOIN held h ON p.c_custkey = h.c_custkey"""
+)
+def multi_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in polygons with parts and holes, and densities over their area."""
+    middle = 10.0 * F.col("n_nationkey") + 5
+    ring = lambda half, up: F.array(
+        *[F.struct((middle + a * half).alias("x"), F.lit(up + b * half).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    )
+    nations = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.lit(1.0).alias("density"), F.array(*[ring(h, u) for h, u in _PARTS.values()]).alias("rings")
+    )
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k, (k % 250 + 0.3).alias("x"), (k * 7 % 190 / 10.0 - 5.05).alias("y"))
+    held = points_in_polygons(points, area_density(nations, ["density"]), ["n_nationkey", "density"], "n_nationkey")
+    return held.select("c_custkey", "n_nationkey", F.round("density", 9).alias("density"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import scalars
 from parcelflow.ml.preprocess import PROPERTY_RULES, Preprocess, PreprocessModel, Rules, preprocess
 from parcelflow.operators import statistics as S
-from parcelflow.operators.correlations import correlation, top_correlations
+from parcelflow.operators.correlations import ROW_ID, _null_masks, correlation, ranked_values, top_correlations
 from parcelflow.operators.ordering import exact_percentiles, running_counts
 from parcelflow.operators.relational import align, first_per_key, merge_suffixed
 from parcelflow.plans import exploration
@@ -149,6 +149,24 @@ def test_correlations(spark):
         correlation(df, "kendall")
 
 
+def test_ranks_make_no_row_per_pair(spark):
+    """Twelve columns with three null patterns: at most columns x masks x rows values are ranked, not one per pair and row."""
+    rng = random.Random(4)
+    rows = [[rng.random() if k % 3 == 0 or (k % 3 == 1 and i % 5) or (k % 3 == 2 and i % 7) else None for k in range(12)] for i in range(60)]
+    columns = [f"c{k}" for k in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    masks = _null_masks(numbered, columns)
+    assert len(set(masks.values())) == 3
+    assert ranked_values(numbered, masks).count() <= 12 * 3 * 60
+    got = {(r[0], r[1]): r[2] for r in top_correlations(df, 100).collect()}
+    frame = df.toPandas()
+    for (a, b), value in got.items():
+        both = frame[[a, b]].dropna().rank()
+        assert value == pytest.approx(abs(both[a].corr(both[b])), abs=1e-9)
+    assert len(got) == 66
+
+
 def test_crosstab_histogram_distinct(spark):
     df = spark.createDataFrame([(True, None), (None, True), (True, True), (True, True)], "a boolean, b boolean")
     table = S.crosstab(df, "a", "b")

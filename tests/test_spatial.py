@@ -178,6 +178,35 @@ def test_polygons_that_share_an_id(spark):
     assert got == [("in", 1), ("in", 1)]
 
 
+def test_feature_table_measures_to_areas(spark):
+    """Cities and POIs as areas: 0 inside, to the boundary from a hole and from outside, wholly within a radius or not counted."""
+    from parcelflow.plans import features
+
+    def square(lon, lat, half):
+        return [{"x": lon + a * half, "y": lat + b * half} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+    kind = "rings array<array<struct<x:double,y:double>>>"
+    pois = spark.createDataFrame(
+        [("shop", "mall", None, None, [square(-118.0, 34.0, 0.1), square(-118.0, 34.0, 0.05)]), ("shop", "kiosk", 34.3, -118.0, None)],
+        f"key string, value string, latitude double, longitude double, {kind}",
+    )
+    points = frame(spark, [(1, 34.08, -118.0), (2, 34.0, -118.0), (3, 34.3, -118.0)], "parcelid int, latitude double, longitude double")
+    metres = features.projected(points).select("parcelid", "x", "y")
+    shapes = features._placed(pois, ["key", "value"])
+    near = {r["parcelid"]: r for r in nearest_by_type(metres, shapes, {"mall": "mall", "kiosk": "kiosk"}).collect()}
+    assert near[1]["mall"] == 0 and near[2]["mall"] == pytest.approx(4600, rel=0.05) and near[3]["mall"] == pytest.approx(22200, rel=0.02)
+    assert near[3]["kiosk"] == pytest.approx(0, abs=1e-6)
+    counts = {r["parcelid"]: r["n"] for r in count_within(metres, shapes, 12_000.0, {"shop": "n"}).collect()}
+    assert counts == {1: 0, 2: 0, 3: 1}
+    wide = {r["parcelid"]: r["n"] for r in count_within(metres, shapes, 16_000.0, {"shop": "n"}).collect()}
+    assert wide == {1: 0, 2: 1, 3: 1}
+    cities = spark.createDataFrame([("big", 9, [square(-118.0, 34.0, 0.1)]), ("far", 1, [square(-117.0, 34.0, 0.1)])], f"name string, population long, {kind}")
+    found = features.city_features(metres, features._placed(cities, ["name", "population"]), 5.0).collect()
+    assert {r["parcelid"]: (r["name_close_city"], r["distance_close_big_city"] == 0) for r in found} == {
+        1: ("big", True), 2: ("big", True), 3: ("big", False),
+    }
+
+
 def test_missing_coordinates_have_no_neighbour(spark):
     points = frame(spark, [(1, 0.0, 0.0), (2, float("nan"), 0.0), (3, 0.0, float("-inf")), (4, None, 1.0)], "id long, x double, y double")
     sources = frame(spark, [("a", 3.0, 4.0), ("b", float("nan"), 0.0), ("c", 0.0, float("inf"))], "key string, x double, y double")
