@@ -108,7 +108,8 @@ def split_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sent(number: int, keys: np.ndarray, twice: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Rows (bucket, block, keys, twice) of the distinct 64-bit keys of a block; ``twice`` marks those it holds repeatedly."""
+    """Rows (bucket, block, keys, twice) of the distinct 64-bit keys of a block; ``twice`` marks those it holds repeatedly,
+    or is the number of each as a byte, for ``counted``."""
     bucket, low = split_keys(keys, buckets)
     order = np.lexsort((low, bucket))
     bucket, low, twice = bucket[order], low[order], twice[order]
@@ -119,7 +120,7 @@ def sent(number: int, keys: np.ndarray, twice: np.ndarray, buckets: int) -> pd.D
             "bucket": found,
             "block": np.full(len(found), number, np.int64),
             "keys": [low[a:b].tobytes() for a, b in zip(starts, stops)],
-            "twice": [np.packbits(twice[a:b]).tobytes() for a, b in zip(starts, stops)],
+            "twice": [(np.packbits(twice[a:b]) if twice.dtype == bool else twice[a:b]).tobytes() for a, b in zip(starts, stops)],
         }
     )
 
@@ -133,10 +134,10 @@ def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, counts > 1
 
 
-def recurring(sent_keys: DataFrame, hot_from: int = 1, only_hot: bool = False) -> DataFrame:
+def recurring(sent_keys: DataFrame, hot_from: int = 1) -> DataFrame:
     """(block, bucket, keys, hot): for every block the keys it sent that recur anywhere.
 
-    ``hot`` has a bit for each key that ``hot_from`` blocks or more sent; with ``only_hot`` the others stay out.
+    ``hot`` has a bit for each key that ``hot_from`` blocks or more sent.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +151,7 @@ def recurring(sent_keys: DataFrame, hot_from: int = 1, only_hot: bool = False) -
         for p in parts:
             mine = inverse[at : at + len(p)]
             at += len(p)
-            keep = counts[mine] >= hot_from if only_hot else recur[mine]
+            keep = recur[mine]
             out.append(p[keep].tobytes())
             hot.append(np.packbits(counts[mine[keep]] >= hot_from).tobytes())
         made = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "keys": out, "hot": hot})
@@ -159,6 +160,48 @@ def recurring(sent_keys: DataFrame, hot_from: int = 1, only_hot: bool = False) -
     return sent_keys.groupBy("bucket").applyInPandas(run, "block long, bucket long, keys binary, hot binary")
 
 
+def counted(sent_keys: DataFrame) -> DataFrame:
+    """(block, bucket, keys, sizes): as ``recurring``, for keys sent with their number in the block instead of ``twice``.
+
+    ``sizes`` has a byte for each key that recurs: the logarithm of its number in all blocks.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+        found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        own = np.concatenate([np.frombuffer(t, np.uint8) for t in pdf["twice"]])
+        total = np.bincount(inverse, weights=own, minlength=len(found))
+        size = np.log2(total).astype(np.uint8)
+        at, keys, sizes = 0, [], []
+        for p in parts:
+            mine = inverse[at : at + len(p)]
+            at += len(p)
+            keep = total[mine] > 1
+            keys.append(p[keep].tobytes())
+            sizes.append(size[mine[keep]].tobytes())
+        made = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "keys": keys, "sizes": sizes})
+        return made[made["keys"].str.len() > 0]
+
+    return sent_keys.groupBy("bucket").applyInPandas(run, "block long, bucket long, keys binary, sizes binary")
+
+
+def sizes_of(keys: np.ndarray, rows: pd.DataFrame, buckets: int) -> np.ndarray:
+    """For 64-bit keys of a block the size that came back; -1 for a key that does not recur."""
+    out = np.full(len(keys), -1, np.int64)
+    if len(rows) == 0 or len(keys) == 0:
+        return out
+    lists = [np.frombuffer(k, np.uint32) for k in rows["keys"]]
+    whole = np.concatenate([np.uint64(b) << np.uint64(32) | k.astype(np.uint64) for b, k in zip(rows["bucket"].tolist(), lists)])
+    sizes = np.concatenate([np.frombuffer(s, np.uint8) for s in rows["sizes"]])
+    order = np.argsort(whole)
+    bucket, low = split_keys(keys, buckets)
+    wanted = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+    at = np.minimum(np.searchsorted(whole, wanted, sorter=order), len(whole) - 1)
+    hit = whole[order[at]] == wanted
+    out[hit] = sizes[order[at[hit]]]
+    return out
+
+
 def hot_only(rows: pd.DataFrame) -> pd.DataFrame:
     """Of the keys that came back for a block, those of many blocks."""
     kept = []
@@ -206,11 +249,12 @@ def each_block(blocks: DataFrame, work: Callable[[Block], pd.DataFrame], schema:
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` neighbours, by doubling."""
-    out, done = values, 1
+    out, done = values.copy(), 1
     while done < width:
         step = min(done, width - done)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        done += step
+        n = len(out) - step
+        np.minimum(out[:n], out[step:], out=out[:n])
+        out, done = out[:n], done + step
     return out
 
 
@@ -220,8 +264,11 @@ def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    placed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
-    return (sliding_min(placed, width) & mask).astype(np.int64)
+    placed = hashes & ~mask
+    placed |= np.arange(len(hashes), dtype=np.uint64)
+    least = sliding_min(placed, width)
+    least &= mask
+    return least.view(np.int64)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 A document is the set of its shingles of ``shingle`` words, as 64-bit hashes; two documents link when their sets have a similarity of
 ``percent`` or more.  All links are found; what is avoided is looking where none can be.
 
-1. A document with a link shares part of its ``prefix`` (the shingles with the least hashes, a third) with another one's.  Documents whose
+1. A document with a link shares part of its prefix (the shingles with the least hashes, half of them) with another one's.  Documents whose
    prefix does not recur often enough in all documents (``blocks.recurring``) have no link and leave.
 2. Documents with equal sets are one.
 3. Similar documents are partitioned into groups: documents with an equal least hash are compared with the first such, first within
@@ -14,7 +14,7 @@ A document is the set of its shingles of ``shingle`` words, as 64-bit hashes; tw
 5. An opened group is compared by its first member, and if that does not connect both groups, by all members.
 6. Links between groups give components, in alternating stars.
 
-Hot shingles come last in the order that prefixes are taken in, so a passage in a third of all documents brings no candidates;
+Prefixes for step 4 take the rarest shingles first, so a passage in a third of all documents brings no candidates;
 copies are one document, near copies one group, and no pairs within a group are listed.
 
 Defined results: a null text, or one without words, is an empty set and links with nothing, not even another such; with fewer than
@@ -43,11 +43,10 @@ from .phrases import Words
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent`` is at least 50; ``hot_from``: a shingle of so many blocks comes last in prefixes."""
+    """``percent`` is at least 50; ``tries`` is the number of least hashes that lead to a group within a block."""
 
     shingle: int = 5
     percent: int = 75
-    hot_from: int = 8
     tries: int = 3
     block_bytes: int = B.BLOCK_BYTES
 
@@ -78,7 +77,7 @@ def shingle_sets(block: B.Block, settings: Settings) -> list[np.ndarray]:
 
 
 def _margin(n: int) -> int:
-    return 1 + n // 10
+    return 1 + n // 4
 
 
 def hash_prefix(tokens: np.ndarray, settings: Settings) -> np.ndarray:
@@ -122,8 +121,8 @@ def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
     return materialize(B.by_block(texts, back, choose, _SETS), "sets")
 
 
-def _hot_tokens(sets: DataFrame, buckets: int, settings: Settings) -> DataFrame:
-    """For every block, the keys of its shingles that many blocks hold."""
+def _recurring_tokens(sets: DataFrame, buckets: int, settings: Settings) -> DataFrame:
+    """For every block, the keys of its shingles that recur, and how often sets hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +131,13 @@ def _hot_tokens(sets: DataFrame, buckets: int, settings: Settings) -> DataFrame:
             flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             for number in np.unique(numbers).tolist():
                 mine = np.flatnonzero(numbers == number)
-                keys, twice = B.distinct_keys(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in mine.tolist()]))
-                yield pa.RecordBatch.from_pandas(B.sent(number, keys, twice, buckets), preserve_index=False)
+                held = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in mine.tolist()])
+                keys, counts = np.unique(held, return_counts=True)
+                rows = B.sent(number, keys, np.minimum(counts, 255).astype(np.uint8), buckets)
+                yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     sent = sets.select("uid", "tokens").mapInArrow(run, B.SENT)
-    return B.recurring(sent, settings.hot_from, only_hot=True)
+    return B.counted(sent)
 
 
 _MASKS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -152,7 +153,7 @@ def least_hashes(tokens: np.ndarray, tries: int) -> list[int]:
 class Leaders:
     """First documents of groups, by least hash; bounded by the documents looked at."""
 
-    _EACH = 4  # leaders that one hash leads to; more would only find groups sooner that step 4 finds anyway
+    _EACH = 32  # leaders that one hash leads to; groups that are missed here are found by step 4
 
     def __init__(self, settings: Settings) -> None:
         self.settings, self.by_hash = settings, {}
@@ -178,31 +179,36 @@ _MEMBER = "uid long, n long, leader long, least long, prefix array<long>, tokens
 
 
 def _members(sets: DataFrame, firsts: DataFrame, settings: Settings, buckets: int) -> DataFrame:
-    """The distinct sets with their local leader and their prefix of rare shingles."""
-    hot = _hot_tokens(sets, buckets, settings).select("block", "bucket", "keys", F.lit(None).cast("long").alias("uid"))
-    own = firsts.select(
-        F.shiftright("uid", 16).alias("block"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("keys"), "uid"
-    )
+    """The distinct sets with their local leader and their prefix of rare shingles.
+
+    A set of which fewer shingles recur than any link needs leaves.
+    """
+    back = _recurring_tokens(sets, buckets, settings).select("block", "bucket", "keys", "sizes", F.lit(None).cast("long").alias("uid"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("bucket", "long"), ("keys", "binary"), ("sizes", "binary"))]
+    own = firsts.select(F.shiftright("uid", 16).alias("block"), *nothing, "uid")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         first = set(right["uid"].dropna().astype("int64"))
         left = left[left["uid"].isin(first)].sort_values("uid")
-        hot_rows = right[right["keys"].notna()]
+        back_rows = right[right["keys"].notna()].astype({"bucket": "int64"})
         leaders, rows = Leaders(settings), []
         sizes = [len(t) for t in left["tokens"]]
         if sizes:
             flat = np.concatenate([np.asarray(t) for t in left["tokens"]]).view(np.uint64)
-            is_hot, end = B.known(flat, hot_rows.astype({"bucket": "int64"}), buckets), np.cumsum(sizes)
-            for uid, n, e in zip(left["uid"].tolist(), sizes, end.tolist()):
-                tokens, mask = flat[e - n : e], is_hot[e - n : e]
-                prefix = np.concatenate([tokens[~mask], tokens[mask]])[: n - settings.overlap(n) + 1]
+            often = B.sizes_of(flat, back_rows, buckets)
+            for uid, n, e in zip(left["uid"].tolist(), sizes, np.cumsum(sizes).tolist()):
+                tokens, size = flat[e - n : e], often[e - n : e]
+                if (size >= 0).sum() < settings.overlap(n):
+                    continue
+                # Rarest first, in steps of doubling; the tokens are in order of their hashes.
+                prefix = tokens[np.argsort(size, kind="stable")][: n - settings.overlap(n) + 1]
                 hashes = least_hashes(tokens, settings.tries)
                 leader = leaders.join(uid, tokens, hashes)
                 rows.append((uid, n, leader, hashes[0] - (1 << 63), prefix.view(np.int64), tokens.view(np.int64)))
         return pd.DataFrame(rows, columns=["uid", "n", "leader", "least", "prefix", "tokens"])
 
     held = sets.select(F.shiftright("uid", 16).alias("block"), "uid", "tokens")
-    made = held.groupBy("block").cogroup(hot.unionByName(own).groupBy("block")).applyInPandas(run, _MEMBER)
+    made = held.groupBy("block").cogroup(back.unionByName(own).groupBy("block")).applyInPandas(run, _MEMBER)
     return materialize(made, "members")
 
 
@@ -231,16 +237,20 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _links(pairs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): group of q and of d, for the pairs (q, d) that link."""
-    one = members.select(F.col("uid").alias("q"), F.col("g").alias("qg"), F.col("n").alias("qn"), F.col("tokens").alias("qt"))
-    two = members.select(F.col("uid").alias("d"), F.col("g").alias("dg"), F.col("n").alias("dn"), F.col("tokens").alias("dt"))
+    """(a, b): groups g and og of the pairs (q, d, g, og) whose documents link."""
+    one = members.select(F.col("uid").alias("q"), F.col("n").alias("qn"), F.col("tokens").alias("qt"))
+    two = members.select(F.col("uid").alias("d"), F.col("n").alias("dn"), F.col("tokens").alias("dt"))
     both = pairs.join(one, "q").join(two, "d")
-    return both.filter(settings.linked(_common(F.col("qt"), F.col("dt")), F.col("qn"), F.col("dn"))).select(F.col("qg").alias("a"), F.col("dg").alias("b"))
+    linked = settings.linked(_common(F.col("qt"), F.col("dt")), F.col("qn"), F.col("dn"))
+    return both.filter(linked).select(F.col("g").alias("a"), F.col("og").alias("b"))
 
 
-def _between_groups(members: DataFrame, settings: Settings) -> DataFrame:
-    """(node, root) of the groups that are linked with others."""
-    rare = members.select("uid", "g", "n", F.explode("prefix").alias("token"))
+def _between_groups(members: DataFrame, placed: DataFrame, settings: Settings) -> DataFrame:
+    """(node, root) of the groups that are linked with others.
+
+    ``placed`` has the group of every member; the sets themselves move for candidates only.
+    """
+    rare = placed.select("uid", "g", "n", F.explode("prefix").alias("token"))
     # The matrix: a row per group and shingle. First its part of rare shingles, with the sizes of the sets behind.
     of_group = rare.groupBy("token", F.col("g").alias("og")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     shared = of_group.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("groups")).filter("groups > 1")
@@ -252,19 +262,21 @@ def _between_groups(members: DataFrame, settings: Settings) -> DataFrame:
     )
     met = materialize(met.select(F.col("uid").alias("q"), "g", "n", "og").distinct(), "met")
     # Then the unions of the groups that were met, and how much of each document they hold.
-    wanted = met.select("og").distinct()
-    union = members.join(wanted, F.col("g") == F.col("og")).select("og", F.explode("tokens").alias("token")).distinct()
-    asked = met.join(members.select(F.col("uid").alias("q"), "tokens"), "q").select("q", "g", "n", "og", F.explode("tokens").alias("token"))
-    bound = asked.join(union, ["og", "token"]).groupBy("q", "g", "n", "og").agg(F.count("*").alias("held"))
-    opened = materialize(bound.filter(F.col("held") * 100 >= F.col("n") * settings.percent).select("q", "g", "og"), "opened")
-
-    links = materialize(_links(opened.select("q", F.col("og").alias("d")), members, settings).distinct(), "links")
+    wanted = placed.join(met.select("og").distinct(), F.col("g") == F.col("og")).select("uid", "og")
+    union = members.join(wanted, "uid").select("og", F.explode("tokens").alias("token")).distinct()
+    asked = met.select("q", "og").join(members.select(F.col("uid").alias("q"), "tokens"), "q")
+    asked = asked.select("q", "og", F.explode("tokens").alias("token"))
+    bound = asked.join(union, ["og", "token"]).groupBy("q", "og").agg(F.count("*").alias("held"))
+    opened = met.join(bound, ["q", "og"]).filter(F.col("held") * 100 >= F.col("n") * settings.percent)
+    opened = materialize(opened.select("q", "g", "og"), "opened")
+
+    links = materialize(_links(opened.withColumn("d", F.col("og")), members, settings).distinct(), "links")
     tied = materialize(components(links), "tied")
     root = lambda name: tied.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     apart = opened.join(root("g"), "g", "left").join(root("og"), "og", "left")
-    apart = apart.filter(F.coalesce("g_root", "g") != F.coalesce("og_root", "og")).select("q", "og")
-    pairs = apart.join(members.filter("uid != g").select(F.col("uid").alias("d"), F.col("g").alias("og")), "og").select("q", "d")
-    more = _links(pairs, members, settings)
+    apart = apart.filter(F.coalesce("g_root", "g") != F.coalesce("og_root", "og")).select("q", "g", "og")
+    others = placed.filter("uid != g").select(F.col("uid").alias("d"), F.col("g").alias("og"))
+    more = _links(apart.join(others, "og"), members, settings)
     return materialize(components(links.unionByName(more)), "tied")
 
 
@@ -280,9 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = materialize(firsts.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.uid").alias("uid")), "firsts")
     members = _members(possible, firsts, settings, B.buckets_for(texts, 0.16))
     groups = materialize(_groups(members, settings), "groups")
-    members = materialize(members.join(groups, "leader"), "grouped")
-    tied = _between_groups(members, settings)
-    rooted = members.select("uid", "g").join(tied, F.col("g") == F.col("node"), "left").select("uid", F.coalesce("root", "g").alias("root"))
+    placed = materialize(members.select("uid", "n", "leader", "prefix").join(groups, "leader"), "grouped")
+    tied = _between_groups(members, placed, settings)
+    rooted = placed.select("uid", "g").join(tied, F.col("g") == F.col("node"), "left").select("uid", F.coalesce("root", "g").alias("root"))
     placed = firsts.join(rooted, "uid")
     least = placed.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc_id", "uid")).alias("m"))
     named = placed.join(materialize(least, "least"), F.col("root") == F.col("r"))
