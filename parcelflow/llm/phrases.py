@@ -145,34 +145,39 @@ def send_windows(number: int, places: np.ndarray, high: np.ndarray, low: np.ndar
     return pd.DataFrame(rows, columns=["bucket", "block", "windows", "places"])
 
 
+def later_places(pdf: pd.DataFrame) -> list[tuple[int, bytes]]:
+    """(block, places) of the windows of one bucket that are not the first of their kind, in order of id, block and place."""
+    out = [(b, p) for b, w, p in zip(pdf["block"], pdf["windows"], pdf["places"]) if not w]
+    own = pdf[pdf["windows"].str.len() > 0]
+    if len(own):
+        entries = [np.frombuffer(w, _WINDOW) for w in own["windows"]]
+        sizes = [len(e) for e in entries]
+        numbers = own["block"].to_numpy()
+        row = np.repeat(np.arange(len(own)), sizes)
+        where = [unpacked(p, 2) for p in own["places"]]
+        place, ids = (np.concatenate([w[k] for w in where]) for k in (0, 1))
+        flat = np.concatenate(entries)
+        order = np.argsort(flat["high"], kind="stable")
+        high = flat["high"][order]
+        equal = np.zeros(len(high) + 1, bool)
+        equal[1:-1] = high[1:] == high[:-1]
+        # Only windows with a neighbour of the same hash need an order.
+        some = order[equal[1:] | equal[:-1]]
+        some = some[np.lexsort((place[some], numbers[row[some]], ids[some], flat["low"][some], flat["high"][some]))]
+        later = np.zeros(len(some), bool)
+        later[1:] = (flat["high"][some][1:] == flat["high"][some][:-1]) & (flat["low"][some][1:] == flat["low"][some][:-1])
+        late = some[later]
+        late = late[np.lexsort((place[late], row[late]))]
+        found, starts = np.unique(row[late], return_index=True)
+        out.extend((numbers[r], packed(place[part])) for r, part in zip(found, np.split(late, starts[1:])) if len(part))
+    return out
+
+
 def repeats(sent: DataFrame) -> DataFrame:
-    """(block, places): the places of windows that are not the first of their kind, in order of id, block and place."""
+    """(block, places): the places of windows that are not the first of their kind, for all buckets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(b, p) for b, w, p in zip(pdf["block"], pdf["windows"], pdf["places"]) if not w]
-        own = pdf[pdf["windows"].str.len() > 0]
-        if len(own):
-            entries = [np.frombuffer(w, _WINDOW) for w in own["windows"]]
-            sizes = [len(e) for e in entries]
-            numbers = own["block"].to_numpy()
-            row = np.repeat(np.arange(len(own)), sizes)
-            where = [unpacked(p, 2) for p in own["places"]]
-            place, ids = (np.concatenate([w[k] for w in where]) for k in (0, 1))
-            flat = np.concatenate(entries)
-            order = np.argsort(flat["high"], kind="stable")
-            high = flat["high"][order]
-            equal = np.zeros(len(high) + 1, bool)
-            equal[1:-1] = high[1:] == high[:-1]
-            # Only windows with a neighbour of the same hash need an order.
-            some = order[equal[1:] | equal[:-1]]
-            some = some[np.lexsort((place[some], numbers[row[some]], ids[some], flat["low"][some], flat["high"][some]))]
-            later = np.zeros(len(some), bool)
-            later[1:] = (flat["high"][some][1:] == flat["high"][some][:-1]) & (flat["low"][some][1:] == flat["low"][some][:-1])
-            late = some[later]
-            late = late[np.lexsort((place[late], row[late]))]
-            found, starts = np.unique(row[late], return_index=True)
-            out.extend((numbers[r], packed(place[part])) for r, part in zip(found, np.split(late, starts[1:])) if len(part))
-        return pd.DataFrame(out, columns=["block", "places"])
+        return pd.DataFrame(later_places(pdf), columns=["block", "places"])
 
     return sent.groupBy("bucket").applyInPandas(run, "block long, places binary")
 
