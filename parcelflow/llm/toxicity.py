@@ -35,7 +35,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _QUOTES = "\"'“”„«»‘’‹›"
 # Words that introduce someone else's words.
 _REPORTING = frozenset("said says wrote writes quote quoted quoting reported sagte schrieb dit écrit dijo escribió".split())
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -157,11 +157,18 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     return materialize(texts.join(F.broadcast(known), "doc_id").select("toxic", "text"), "toxic-sample")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def _contexts(keep: frozenset[str] | None):
     """Rows (word, context) of the texts: a hash of the neighbours for every word, or for those in ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows: set[tuple[str, str]] = set()
             for text in batch.column(0).to_pylist():
                 words = [""] + [_EDGE.sub("", w) for w in (text or "").lower().split()] + [""]
@@ -196,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     draft = Lexicon(weights, frozenset(), settings)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             words = {_EDGE.sub("", w) for t in batch.column(0).to_pylist() for w in (t or "").lower().split()}
             found = [w for w in words if w and w not in draft.weights and draft.near(w) is not None]
             yield pa.RecordBatch.from_pydict({"word": found}, schema=pa.schema([("word", pa.string())]))
@@ -213,7 +220,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _Matcher(lexicon)
-        for batch in batches:
+        for batch in _slices(batches):
             scored = [score_text(t, matcher) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -250,7 +257,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _Matcher(lexicon)
-        for batch in batches:
+        for batch in _slices(batches):
             keep = [score_text(t, matcher)[0] < 0.5 for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
