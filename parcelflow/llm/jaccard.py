@@ -314,9 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The documents, with all their columns, without those that link to one that stays: the first of each component stays.
 
-    ``docs`` is a written table, read in the same order each time.
+    The rows are written with their number once: a second scan may pack its files otherwise and number other rows.
     """
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows.select(_ROW, text_col), _ROW, text_col, settings)
     stay = found.filter("first").select(F.col("doc_id").alias(_ROW))
     return rows.join(stay, _ROW, "left_semi").drop(_ROW)

@@ -64,6 +64,26 @@ def test_first_of_each_keeps_columns(spark, tmp_path):
     assert got.count() == 4
 
 
+def test_first_of_each_when_files_are_packed_anew(spark, tmp_path):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(20 + 10 * (k % 7))) for k in range(40)]
+    for k in range(8):  # files of different sizes, each with copies of texts of other files
+        own = [(100 * k + j, t) for j, t in enumerate(texts[5 * k : 5 * k + 5] + texts[: 3 * k])]
+        spark.createDataFrame(own, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2k")
+        got = jaccard.first_of_each(spark.read.parquet(str(tmp_path / "docs")))
+        spark.conf.set(key, "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        kept = [r["text"] for r in got.collect()]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(kept) == sorted(texts)
+
+
 def test_empty(spark):
     assert jaccard.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
