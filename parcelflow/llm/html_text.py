@@ -1,14 +1,16 @@
-"""Main text of web pages: structure first, then a suffix array per host for what structure leaves open.
+"""Main text of web pages: structure and a suffix array per host decide together.
 
 A page becomes a stream of text blocks.  Blocks inside menus, footers, sidebars, adverts, forms, comments and the like
-are boilerplate, the other blocks inside an article or main element are the text.  Pages without such an
-element leave their blocks open: the token streams of the open blocks of a host are concatenated and their suffixes
-sorted; stretches of ``min_tokens`` or more tokens that occur on ``min_pages`` distinct pages are
-template, and what they do not cover, the unique runs, is the text.
+are boilerplate and go.  The tokens of all other blocks of a page, joined, are its stream.  A stretch of ``min_tokens``
+tokens, or a whole block of any length, is template when it is on enough distinct pages of its host: on ``min_pages``
+pages, and on ``open_percent`` of the host's pages for tokens outside of article and main elements, on
+``main_percent`` for those inside, where structure speaks for text.  What no template covers is the text.
 
-Equal blocks of a host are one entry before sorting, so a template on millions of pages is a single entry.  Hosts with
-more than ``shard_tokens`` tokens of distinct open blocks are split by the least hash of their token windows, which
-keeps alike blocks together; all shards are sorted on their own.
+Three steps find the stretches, each counting distinct pages.  From every ``min_tokens`` tokens in a row the window of
+least hash is sampled, so pages that share a stretch share its samples; samples on too few pages leave.  Around the
+others, the streams of a host are concatenated in each task and their suffixes sorted; groups of equal stretches go by
+hash to the place where the pages of all tasks are added up.  The stretches on enough pages return to their pages.  A page
+is in one task and counts once, so results do not depend on how pages are dealt to tasks or on ``shard_tokens``.
 
 Defined results: null or empty html is the empty text; a null url is a host of its own; null ids and repeated rows are
 treated like any other row, a repeated row as another page; other columns are ignored.
@@ -22,8 +24,8 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +35,11 @@ from parcelflow.scratch import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    min_tokens: int = 4
+    min_tokens: int = 24
     min_pages: int = 3
-    shard_tokens: int = 2_000_000
+    open_percent: int = 10
+    main_percent: int = 30
+    shard_tokens: int = 2_000_000  # sorted at once; results do not depend on it
 
 
 # Elements of the HTML standard by role.
@@ -135,44 +139,41 @@ class _Reader(HTMLParser):
 
 
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
-    """(role, text) of the blocks of a page: 1 is certainly the article, 0 is open. With any of the first, the open ones go."""
+    """(role, text) of the blocks of a page that are not boilerplate: 1 is inside the article, 0 is open."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader._end_block()
-    main = [b for b in reader.blocks if b[0] == _MAIN]
-    return main or reader.blocks
+    return reader.blocks
 
 
-_PARSED = "uid long, page_id {id}, url string, host string, settled string, open array<string>"
+_PARSED = "uid long, page_id {id}, url string, host long, main array<boolean>, blocks array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Pages with their settled text (null while blocks are open) and their open blocks."""
+    """Pages with the texts of their blocks, and which of them are in the article."""
     host = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.lower(host), F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
+    number = F.xxhash64(F.coalesce(F.lower(host), F.lit("")))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), number.alias("host"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                settled, left, uids = [], [], []
-                for html in part.column(3).to_pylist():
-                    found = blocks_of(html)
-                    decided = not found or found[0][0] == _MAIN
-                    settled.append("\n\n".join(t for _, t in found) if decided else None)
-                    left.append([] if decided else [t for _, t in found])
-                    uids.append(uid)
-                    uid += 1
-                columns = [pa.array(uids, pa.int64()), *part.columns[:3], pa.array(settled, pa.string()), pa.array(left, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "page_id", "url", "host", "settled", "open"])
+                found = [blocks_of(html) for html in part.column(3).to_pylist()]
+                uids = np.arange(uid, uid + len(part))
+                uid += len(part)
+                main = pa.array([[r == _MAIN for r, _ in f] for f in found], pa.list_(pa.bool_()))
+                texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
+                columns = [pa.array(uids, pa.int64()), *part.columns[:3], main, texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "page_id", "url", "host", "main", "blocks"])
 
     return rows.mapInArrow(run, _PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Starts of all suffixes in order, by prefix doubling; with ``depth`` in the order of so many tokens at least."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     n, step = len(tokens), 1
     while True:
@@ -181,93 +182,275 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         order = np.lexsort((behind, rank))
         new = (np.diff(rank[order]) != 0) | (np.diff(behind[order]) != 0)
         rank[order] = np.concatenate([[0], np.cumsum(new)])
-        if new.all() or step >= n:
-            return order
         step *= 2
+        if new.all() or step >= n or (depth is not None and step >= depth):
+            return order
+
+
+class _Hashes(dict):
+    """Hashes of tokens, as signed numbers."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[token] = h = xxhash.xxh64_intdigest(token)
+        return h
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of ``size`` tokens."""
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h = (h ^ tokens[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _sample_size(settings: Settings) -> int:
+    return max(1, settings.min_tokens // 3)
+
+
+def samples(tokens: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the sampled windows: the least of each ``min_tokens`` tokens in a row."""
+    size = _sample_size(settings)
+    h, wide = _windows(tokens, size), settings.min_tokens - size + 1
+    if len(h) < wide:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen = np.lib.stride_tricks.sliding_window_view(h, wide)
+    at = np.unique(seen.argmin(axis=1) + np.arange(len(seen)))
+    return h[at], at
+
+
+def _stream(blocks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The tokens of a page, and the ends of its blocks."""
+    words = [b.split(" ") for b in blocks]
+    return [w for own in words for w in own], np.cumsum([len(own) for own in words], dtype=np.int64)
+
+
+def _block_keys(blocks: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b, seed=1) for b in blocks], np.uint64).view(np.int64)
+
+
+_COUNTS = "host long, key long, pages long"
+_FLUSH = 1 << 20
+
+
+def _counted(hosts: list[int], sizes: list[int], keys: list[np.ndarray], pages: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Keys of a host, with the pages they are on; each array of ``keys`` has those of one page without repeats."""
+    host, key = np.repeat(np.array(hosts, np.int64), sizes), np.concatenate(keys)
+    n = np.ones(len(key), np.int64) if pages is None else np.concatenate(pages)
+    order = np.lexsort((key, host))
+    host, key, n = host[order], key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(host) != 0)]))
+    columns = [host[starts], key[starts], np.add.reduceat(n, starts)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "key", "pages"])
+
+
+def _common(counts: DataFrame, hosts: DataFrame, settings: Settings) -> DataFrame:
+    """(host, key, outside, inside) of the keys that are template: in open blocks, and in articles."""
+    n = counts.groupBy("host", "key").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= settings.min_pages)
+    some = n.join(hosts, "host").filter(F.col("pages") * 100 >= F.col("total") * min(settings.open_percent, settings.main_percent))
+    level = lambda percent: F.col("pages") * 100 >= F.col("total") * percent
+    return some.select("host", "key", level(settings.open_percent).alias("outside"), level(settings.main_percent).alias("inside"))
+
+
+def _sampled(parsed: DataFrame, settings: Settings) -> DataFrame:
+    """Sampled windows and whole blocks with the number of pages they are on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, hosts, keys = _Hashes(), [], []
+        held = 0
+        for batch in batches:
+            for host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if blocks:
+                    tokens = hashes.of(_stream(blocks)[0])
+                    keys.append(np.unique(np.concatenate([samples(tokens, settings)[0], _block_keys(blocks)])))
+                    hosts.append(host)
+                    held += len(keys[-1])
+                    if held >= _FLUSH:
+                        yield _counted(hosts, [len(k) for k in keys], keys)
+                        hosts, keys, held = [], [], 0
+        if keys:
+            yield _counted(hosts, [len(k) for k in keys], keys)
+
+    return parsed.select("host", "blocks").mapInArrow(run, _COUNTS)
+
+
+_FOUND = "uid long, host long, key long, at int, block boolean"
 
 
-def covered(streams: list[list[str]], first: np.ndarray, last: np.ndarray, pages: np.ndarray, settings: Settings) -> list[np.ndarray]:
-    """For every stream, which of its tokens lie in a stretch that several pages share.
+def _places(parsed: DataFrame, settings: Settings) -> DataFrame:
+    """Sampled windows by their place in the page, and whole blocks by their number."""
 
-    A stream stands for ``pages`` pages, the first and last of which are given.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                rows = []
+                for uid, host, blocks in zip(*(c.to_pylist() for c in part.columns)):
+                    if blocks:
+                        h, at = samples(hashes.of(_stream(blocks)[0]), settings)
+                        key = np.concatenate([h, _block_keys(blocks)])
+                        at = np.concatenate([at, np.arange(len(blocks))])
+                        whole = np.arange(len(key)) >= len(h)
+                        rows.append((np.full(len(key), uid), np.full(len(key), host), key, at, whole))
+                if rows:
+                    uid, host, key, at, whole = (np.concatenate(c) for c in zip(*rows))
+                    columns = [pa.array(uid, pa.int64()), pa.array(host, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(whole, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["uid", "host", "key", "at", "block"])
+
+    return parsed.select("uid", "host", "blocks").mapInArrow(run, _FOUND)
+
+
+_REGIONS = "uid long, host long, start int, text string"
+
+
+def _regions(rows: DataFrame, settings: Settings) -> DataFrame:
+    """The stretches of pages (uid, host, blocks, at) that can hold a template: what lies around common samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = settings.min_tokens - _sample_size(settings)
+        for batch in batches:
+            uids, hosts, starts, texts = [], [], [], []
+            for uid, host, blocks, places in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = _stream(blocks)[0]
+                spans: list[list[int]] = []
+                for at in sorted(places):
+                    low, high = max(0, at - reach), min(len(tokens), at + settings.min_tokens)
+                    if spans and low <= spans[-1][1]:
+                        spans[-1][1] = high
+                    else:
+                        spans.append([low, high])
+                for low, high in spans:
+                    uids.append(uid)
+                    hosts.append(host)
+                    starts.append(low)
+                    texts.append(" ".join(tokens[low:high]))
+            columns = [pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "host", "start", "text"])
+
+    return rows.select("uid", "host", "blocks", "at").mapInArrow(run, _REGIONS)
+
+
+def shared(streams: list[list[str]], pages: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stream, place, distinct pages) of one of each group of equal stretches of ``size`` tokens; ``pages`` has the page of each stream."""
     sizes = np.array([len(s) for s in streams], np.int64)
     codes: dict[str, int] = {}
     flat, owner = [], np.repeat(np.arange(len(streams)), sizes + 1)
     for k, s in enumerate(streams):
         flat.extend(codes.setdefault(t, len(codes) + len(streams)) for t in s)
         flat.append(k)  # a token of its own ends every stream
-    tokens, size = np.array(flat, np.int64), settings.min_tokens
-    order = suffix_array(tokens)
-    # Neighbours in the order share min_tokens tokens, or they start different stretches.
+    tokens, begins = np.array(flat, np.int64), np.cumsum(sizes + 1) - sizes - 1
+    order = suffix_array(tokens, size)
+    place = order - begins[owner[order]]
+    order = order[place + size <= sizes[owner[order]]]
+    if not len(order):
+        return (np.zeros(0, np.int64),) * 3
+    # Neighbours in the order share ``size`` tokens, or they start different stretches.
     same = np.ones(len(order) - 1, bool)
     for k in range(size):
-        a, b = order[:-1] + k, order[1:] + k
-        inside = (a < len(tokens)) & (b < len(tokens))
-        same &= inside & (tokens[np.minimum(a, len(tokens) - 1)] == tokens[np.minimum(b, len(tokens) - 1)])
-    starts = np.flatnonzero(np.concatenate([[True], ~same]))
-    of = owner[order]
-    enough = (np.add.reduceat(pages[of], starts) >= settings.min_pages) & (
-        np.minimum.reduceat(first[of], starts) < np.maximum.reduceat(last[of], starts)
-    )
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-    hit = order[enough[group]]
-    # The end token of a stream is unique, so a stretch of several pages never runs over it; short rests are not hits.
-    change = np.zeros(len(tokens) + size + 1, np.int64)
-    ends = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1)
-    hit = hit[hit + size <= ends[hit]]
-    np.add.at(change, hit, 1)
-    np.add.at(change, hit + size, -1)
-    mask = np.cumsum(change)[: len(tokens)] > 0
-    cuts = np.cumsum(sizes + 1)
-    return [mask[e - n - 1 : e - 1] for e, n in zip(cuts.tolist(), sizes.tolist())]
-
-
-def _shard_of(texts: pd.Series, size: int) -> list[int]:
-    """Least hash of the windows of ``size`` tokens."""
-    import xxhash
-
-    out = []
-    for t in texts:
-        w = t.split(" ")
-        out.append(min(xxhash.xxh64_intdigest(" ".join(w[i : i + size])) for i in range(max(1, len(w) - size + 1))) >> 1)
-    return out
-
-
-def unique_runs(parsed: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(uid, text) of the pages with open blocks: what no stretch shared by several pages of the host covers."""
-    blocks = parsed.filter(F.size("open") > 0).select("uid", "host", F.posexplode("open").alias("place", "block"))
-    alike = blocks.groupBy("host", "block").agg(F.min("uid").alias("first"), F.max("uid").alias("last"), F.count("*").alias("pages"))
-    tokens = F.size(F.split("block", " "))
-    hosts = alike.groupBy("host").agg(F.ceil(F.sum(tokens) / settings.shard_tokens).alias("shards"))
-
-    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(low=_shard_of(pdf["block"], settings.min_tokens))
-
-    schema = "host string, block string, first long, last long, pages long"
-    placed = alike.mapInPandas(least, f"{schema}, low long").join(hosts, "host").withColumn("shard", F.col("low") % F.col("shards"))
-
-    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = [t.split(" ") for t in pdf["block"]]
-        masks = covered(streams, pdf["first"].to_numpy(), pdf["last"].to_numpy(), pdf["pages"].to_numpy(), settings)
-        # A stretch of several blocks that only repeat within one page is not shared: first and last page are the same.
-        kept = [" ".join(t for t, m in zip(s, mask) if not m) for s, mask in zip(streams, masks)]
-        return pd.DataFrame({"host": pdf["host"], "block": pdf["block"], "kept": kept})
-
-    runs = placed.groupBy("host", "shard").applyInPandas(sort, "host string, block string, kept string")
-    # Written, so that the join sees two shuffled sides and can split the pages of a hot block.
-    runs = materialize(runs, "html-runs").withColumnRenamed("host", "of_host").withColumnRenamed("block", "of_block")
-    found = blocks.join(runs, (F.col("host") == F.col("of_host")) & (F.col("block") == F.col("of_block")))
-    listed = found.filter("kept != ''").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "kept"))).alias("list"))
-    return listed.select("uid", F.array_join(F.transform("list", lambda x: x["kept"]), "\n\n").alias("runs"))
+        same &= tokens[order[:-1] + k] == tokens[order[1:] + k]
+    group = np.cumsum(np.concatenate([[True], ~same])) - 1
+    of = pages[owner[order]]
+    once = np.lexsort((of, group))
+    new = np.concatenate([[True], (np.diff(group[once]) != 0) | (np.diff(of[once]) != 0)])
+    first = order[np.flatnonzero(np.concatenate([[True], ~same]))]
+    return owner[first], first - begins[owner[first]], np.bincount(group[once][new])
+
+
+def _stretches(regions: DataFrame, settings: Settings) -> DataFrame:
+    """Stretches with the number of pages they are on, grouped by the suffix array of a host's regions in the task."""
+
+    def counted(held: list[tuple[int, int, str]], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
+        of_host: dict[int, list[tuple[int, str]]] = {}
+        for uid, host, text in held:
+            of_host.setdefault(host, []).append((uid, text))
+        for host, own in of_host.items():
+            streams = [t.split(" ") for _, t in own]
+            at, place, n = shared(streams, np.array([u for u, _ in own], np.int64), settings.min_tokens)
+            if len(at):
+                hashed = [_windows(hashes.of(s), settings.min_tokens) for s in streams]
+                ends = np.cumsum([0] + [len(h) for h in hashed])
+                keys = np.concatenate(hashed)[ends[at] + place]
+                yield _counted([host], [len(keys)], [keys], [n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, last = _Hashes(), [], 0, None
+        for batch in batches:
+            for uid, host, text in zip(*(c.to_pylist() for c in batch.columns)):
+                # The regions of a page follow each other and are counted together.
+                if size >= settings.shard_tokens and uid != last:
+                    yield from counted(held, hashes)
+                    held, size = [], 0
+                held.append((uid, host, text))
+                size, last = size + text.count(" ") + 1, uid
+        yield from counted(held, hashes)
+
+    # Counted per task, so a page must not be cut by the split of a file: pages come whole from the shuffle by page.
+    return regions.repartition("uid").sortWithinPartitions("uid").select("uid", "host", "text").mapInArrow(run, _COUNTS)
+
+
+def _region_places(regions: DataFrame, settings: Settings) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                uids, hosts, starts, texts = (c.to_pylist() for c in part.columns)
+                keys = [_windows(hashes.of(t.split(" ")), settings.min_tokens) for t in texts]
+                sizes = [len(h) for h in keys]
+                at = [np.arange(s, s + n) for s, n in zip(starts, sizes)]
+                columns = [np.repeat(np.array(c, np.int64), sizes) for c in (uids, hosts)] + [np.concatenate(keys), np.concatenate(at)] if keys else [[]] * 4
+                columns = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(columns[0]), bool))], names=["uid", "host", "key", "at", "block"])
+
+    return regions.select("uid", "host", "start", "text").mapInArrow(run, _FOUND)
+
+
+def without_template(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(page_id, url, text) of pages with the places of their templates (null where there are none)."""
+
+    def text_of(main: list[bool], blocks: list[str], marks: list[dict] | None) -> str:
+        if not marks:
+            return "\n\n".join(blocks)
+        tokens, ends = _stream(blocks)
+        inside = np.repeat(np.array(main, bool), np.diff(ends, prepend=0))
+        gone = np.zeros(len(tokens), bool)
+        for m in marks:
+            low = int(ends[m["at"] - 1]) if m["block"] and m["at"] else 0 if m["block"] else m["at"]
+            high = int(ends[m["at"]]) if m["block"] else m["at"] + settings.min_tokens
+            where = inside[low:high]
+            gone[low:high] |= (where & m["inside"]) | (~where & m["outside"])
+        kept = [" ".join(t for t, g in zip(tokens[a:b], gone[a:b]) if not g) for a, b in zip([0, *ends[:-1]], ends)]
+        return "\n\n".join(k for k in kept if k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text_of(*x) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return rows.select("page_id", "url", "main", "blocks", "marks").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     parsed = materialize(parse(pages), "html-parsed")
-    done = parsed.filter("settled is not null").select("page_id", "url", F.col("settled").alias("text"))
-    # Only pages with open blocks meet their runs.
-    left = parsed.filter("settled is null").join(unique_runs(parsed, settings), "uid", "left")
-    rest = left.select("page_id", "url", F.coalesce("runs", F.lit("")).alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    hosts = materialize(parsed.groupBy("host").agg(F.count("*").alias("total")), "html-hosts")
+    common = materialize(_common(_sampled(parsed, settings), hosts, settings), "html-common")
+    found = materialize(_places(parsed, settings).join(common, ["host", "key"]), "html-found")
+    around = found.filter("not block").groupBy("uid").agg(F.collect_list("at").alias("at"))
+    regions = materialize(_regions(parsed.join(around, "uid"), settings), "html-regions")
+    stretches = materialize(_common(_stretches(regions, settings), hosts, settings), "html-stretches")
+    marks = found.filter("block").unionByName(_region_places(regions, settings).join(stretches, ["host", "key"]))
+    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("at", "block", "outside", "inside")).alias("marks"))
+    out = without_template(parsed.join(materialize(marks, "html-marks"), "uid", "left"), settings)
+    return out.withColumn("n_chars", F.length("text").cast("long"))

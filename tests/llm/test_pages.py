@@ -88,6 +88,21 @@ def test_shards_agree(spark):
     assert all("Home" not in r["text"] and f"Story {r['page_id']} " in r["text"] for r in small)
 
 
+def texts_of(spark, rows, **settings):
+    return {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), html_text.Settings(**settings)).collect()}
+
+
+def test_articles_meet_the_suffix_array(spark):
+    """Template inside of articles goes when many pages share it; a teaser does not hide the story; copies stay."""
+    terms = " ".join(f"term{k}" for k in range(30))
+    story = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, f"http://h.x/{i}", f"<article><p>{story(i)} {terms}</p><p>Read more</p></article>") for i in range(6)]
+    rows += [(6, "http://h.x/6", f"<article>Teaser six</article><div>{story(6)}</div>")]
+    rows += [(i, f"http://h.x/{i}", f"<article>{story(7)}</article>") for i in (7, 8)]
+    got = texts_of(spark, rows)
+    assert got == {**{i: story(i) for i in range(6)}, 6: f"Teaser six\n\n{story(6)}", 7: story(7), 8: story(7)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(30):
