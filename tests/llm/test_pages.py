@@ -103,6 +103,16 @@ def test_articles_meet_the_suffix_array(spark):
     assert got == {**{i: story(i) for i in range(6)}, 6: f"Teaser six\n\n{story(6)}", 7: story(7), 8: story(7)}
 
 
+def test_common_phrases_stay_and_labels_go(spark):
+    body = lambda i: f"<div>Home</div><div>n{i} at the end of the day m{i} at the end of the day</div><div>Read more</div>"
+    got = texts_of(spark, [(i, f"http://h.x/{i}", body(i)) for i in range(9)])
+    assert got == {i: f"n{i} at the end of the day m{i} at the end of the day" for i in range(9)}
+    # Few of the host's pages, or one page several times, are no template.
+    rows = [(i, f"http://h.x/{i}", f"<div>story {i}</div>" + "<div>again</div>" * (i < 3) + "<div>own</div>" * 5 * (i == 7)) for i in range(40)]
+    got = texts_of(spark, rows)
+    assert "again" in got[0] and got[7].count("own") == 5
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(30):
