@@ -113,6 +113,50 @@ def test_common_phrases_stay_and_labels_go(spark):
     assert "again" in got[0] and got[7].count("own") == 5
 
 
+def plain(rows, settings):
+    """The definition by brute force."""
+    parsed = [(i, u.split("/")[2], html_text.blocks_of(h)) for i, u, h in rows]
+    size, out = settings.min_tokens, {}
+    keys = []
+    for _, _, blocks in parsed:
+        t = [w for _, b in blocks for w in b.split(" ")]
+        keys.append((t, [tuple(t[k : k + size]) for k in range(len(t) - size + 1)]))
+    for (name, host, blocks), (tokens, windows) in zip(parsed, keys):
+        same = [k for k, p in enumerate(parsed) if p[1] == host]
+        on = Counter(w for k in same for w in set(keys[k][1]))
+        whole = Counter(b for k in same for b in {b for _, b in parsed[k][2]})
+        often = lambda n, main: n >= settings.min_pages and n * 100 >= len(same) * (settings.main_percent if main else settings.open_percent)  # noqa: B023, E731
+        kept, start = [], 0
+        for role, b in blocks:
+            n = len(b.split(" "))
+            gone = [often(whole[b], role) or any(often(on[windows[j]], role) for j in range(max(0, k - size + 1), min(k + 1, len(windows)))) for k in range(start, start + n)]
+            kept.append(" ".join(t for t, g in zip(tokens[start : start + n], gone) if not g))
+            start += n
+        out[name] = "\n\n".join(k for k in kept if k)
+    return out
+
+
+@pytest.mark.parametrize("shard_tokens", [1, 300, 2_000_000])
+def test_stretches_against_brute_force(spark, shard_tokens):
+    """Stretches across blocks, in windows of unlike neighbours, on few and many pages; the same whatever is sorted at once."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"t{x}" for x in rng.integers(0, 60, n)]
+    common = [word(n) for n in (7, 9, 12, 15, 30)]
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.integers(1, 7)):
+            shared = common[rng.integers(0, 5)] if rng.random() < 0.5 else []
+            low = rng.integers(0, 3)
+            text = " ".join(word(rng.integers(0, 6)) + shared[low:] + word(rng.integers(0, 6)))
+            parts.append(f"<article>{text}</article>" if rng.random() < 0.4 else f"<div>{text}</div>")
+        rows.append((i, f"http://h{i % 3 if i % 2 else 0}.x/{i}", "".join(parts)))
+    settings = html_text.Settings(min_tokens=6, shard_tokens=shard_tokens)
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), settings).collect()}
+    want = plain(rows, settings)
+    assert got == want and sum(len(t) for t in want.values()) < 0.9 * sum(len(t) for t in plain(rows, html_text.Settings(min_pages=99)).values())
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(30):
