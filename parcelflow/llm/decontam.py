@@ -9,8 +9,10 @@ The benchmark is the small side: it is taken in blocks of bounded size, each blo
 documents, and the documents are read where they lie, without a shuffle.  A larger benchmark is more blocks.
 
 Words are runs of letters and digits, in lower case.  An item counts as found when the stretch has
-``min_matched`` agreeing words, or for shorter items ``short_percent`` of them.  Items under ``min_item_words``
-words are never looked for.
+``min_matched`` agreeing words, or for shorter items ``short_percent`` of them.  An item of up to ``short_words`` words
+is found as well when ``short_percent`` of all its words agree in place, wherever the others are: its words are dealt to
+one spaced seed more than words may differ, so one seed is always whole and none is missed.  Items under
+``min_item_words`` words are never looked for; with a lower setting items of 1 to 4 words are found when all words agree.
 
 Defined results: null and empty texts hold nothing; null ids are reported as null; repeated rows and items are
 reported one by one; an empty benchmark finds nothing; other columns are ignored.
@@ -38,6 +40,7 @@ class Settings:
     min_item_words: int = 5
     min_matched: int = 13
     short_percent: int = 80
+    short_words: int = 24
     mismatch_cost: int = 2
     drop: int = 8
     block_bytes: int = 4 << 20
@@ -65,6 +68,18 @@ def seeds(values: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return h
 
 
+def short_seeds(n: int, needed: int) -> list[tuple[str, int]]:
+    """(mask, position) of seeds of an item of ``n`` words, one of which is whole whenever ``needed`` words agree."""
+    if (n, needed) == (5, 4):
+        return [(mask, 0) for mask in ("10101", "11010", "01011")]  # three words each instead of two
+    step = n - needed + 1
+    mask = ("1" + "0" * (step - 1)) * (n // step - 1) + "1"
+    return [(mask, at) for at in range(step)]
+
+
+_HITS = 1 << 14
+
+
 class Finder:
     """Seeds of one block of the benchmark."""
 
@@ -78,23 +93,59 @@ class Finder:
             if len(words) >= settings.min_item_words:
                 self.names.append(name)
                 self.items.append(np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in words], np.int64))
-        span = len(settings.masks[0])
-        # Items shorter than the span are looked for as a whole.
-        self.masks = [*settings.masks, *("1" * n for n in sorted({len(i) for i in self.items if len(i) < span}))]
+        self.masks = settings.masks
         self.values = _mix(np.arange(len(self.codes) + 2, dtype=np.uint64))
         found, where = [], []
         for m, mask in enumerate(self.masks):
             for i, item in enumerate(self.items):
-                if m < len(settings.masks) or len(item) == len(mask):
-                    h = seeds(self.values[item], mask, m)
-                    found.append(h)
-                    where.append(np.column_stack([np.full(len(h), i), np.arange(len(h))]))
-        self.hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        self.where = np.concatenate(where).astype(np.int64) if where else np.zeros((0, 2), np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.where = self.hashes[order], self.where[order]
-        self.some = np.zeros(1 << self._BITS, bool)
-        self.some[self.hashes >> np.uint64(64 - self._BITS)] = True
+                h = seeds(self.values[item], mask, m)
+                found.append(h)
+                where.append(np.column_stack([np.full(len(h), i), np.arange(len(h))]))
+        self.hashes, self.where, self.some = self._table(found, where)
+        # Short items: masks shared by many lengths, and where each is laid in the item.
+        self.short_masks: dict[str, int] = {}
+        self.words = np.full((len(self.items), settings.short_words), -1, np.int64)
+        found, where = [], []
+        for i, item in enumerate(self.items):
+            if len(item) <= settings.short_words:
+                self.words[i, : len(item)] = item
+                for mask, at in short_seeds(len(item), self.whole(i)):
+                    m = self.short_masks.setdefault(mask, len(settings.masks) + len(self.short_masks))
+                    found.append(seeds(self.values[item[at : at + len(mask)]], mask, m))
+                    where.append(np.array([[i, at]]))
+        self.short_hashes, self.short_where, self.short_some = self._table(found, where)
+        self.short_needed = np.array([self.whole(i) for i in range(len(self.items))], np.int64)
+
+    def _table(self, found: list[np.ndarray], where: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, their (item, position), and which leading bits they have."""
+        hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        places = np.concatenate(where).astype(np.int64) if where else np.zeros((0, 2), np.int64)
+        order = np.argsort(hashes, kind="stable")
+        some = np.zeros(1 << self._BITS, bool)
+        some[hashes >> np.uint64(64 - self._BITS)] = True
+        return hashes[order], places[order], some
+
+    def short_hits(self, stream: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, agreeing words, words spanned, position) of the short items of which enough words agree in place."""
+        values, out = self.values[stream], []
+        for mask, m in self.short_masks.items():
+            h = seeds(values, mask, m)
+            at = np.flatnonzero(self.short_some[h >> np.uint64(64 - self._BITS)])
+            low, high = (np.searchsorted(self.short_hashes, h[at], side=s) for s in ("left", "right"))
+            ends = np.cumsum(high - low)
+            for k in range(0, int(ends[-1]) if len(ends) else 0, _HITS):
+                hit = np.arange(k, min(k + _HITS, int(ends[-1])))
+                seed = np.searchsorted(ends, hit, side="right")
+                item, offset = self.short_where[high[seed] - ends[seed] + hit].T
+                begin = at[seed] - offset
+                doc = np.searchsorted(starts, at[seed] + mask.index("1"), side="right") - 1
+                same = stream[begin[:, None] + np.arange(self.words.shape[1])] == self.words[item]
+                agree = same.sum(axis=1)
+                for j in np.flatnonzero(agree >= self.short_needed[item]).tolist():
+                    places = np.flatnonzero(same[j])
+                    first, last = int(places[0]), int(places[-1])
+                    out.append((int(doc[j]), int(item[j]), int(agree[j]), last + 1 - first, int(begin[j] + first - starts[doc[j]])))
+        return out
 
     def hits(self, codes: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, position of the item's start) of every seed that document and item share."""
@@ -128,20 +179,27 @@ class Finder:
         n = len(self.items[i])
         return min(self.settings.min_matched, -(-n * self.settings.short_percent // 100))
 
+    def whole(self, i: int) -> int:
+        """Agreeing words that a short item needs."""
+        return -(-len(self.items[i]) * self.settings.short_percent // 100)
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, position, agreeing words, words spanned): the best stretch of each item in each text."""
-        get, gap = self.codes.get, len(max(self.masks, key=len))
+        # An item laid at the edge of a text must not reach the next text.
+        get, gap = self.codes.get, max(self.settings.short_words, len(max(self.masks, key=len)))
         docs = [np.fromiter((get(w, 0) for w in _WORD.findall((t or "").lower())), np.int64) for t in texts]
         if not self.items or not docs:
             return []
         blank = np.full(gap, len(self.codes) + 1, np.int64)
-        starts = np.cumsum([0] + [len(d) + gap for d in docs[:-1]])
-        stream = np.concatenate([x for d in docs for x in (d, blank)])
+        starts = np.cumsum([gap] + [len(d) + gap for d in docs[:-1]])
+        stream = np.concatenate([blank, *(x for d in docs for x in (d, blank))])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k, i, at in self.hits(stream, starts):
             matched, span, where = self.overlap(docs[k], i, at)
             if matched >= self.needed(i):
                 best[k, i] = max(best.get((k, i), (0, 0, 0)), (matched, -span, -where))
+        for k, i, matched, span, where in self.short_hits(stream, starts):
+            best[k, i] = max(best.get((k, i), (0, 0, 0)), (matched, -span, -where))
         return [(k, i, -w, m, -s) for (k, i), (m, s, w) in sorted(best.items())]
 
 
