@@ -7,6 +7,13 @@ Equal values get equal pseudonyms in every document, different values different
 is stored.  The local part of e-mail addresses is permuted the same way, letter by letter class.
 What fails its validation stays as it is.
 
+Cards are compact, in groups of four, or 4-6-5.  Dates are year first, day first or month first; with ``/`` the month is first
+where both could be, with ``-`` and ``.`` the day, and as a date of the other order may look the same, two dates that are
+written in different orders can get one pseudonym.  Not found: dates with month names, two-digit years or spaces, with points, year
+first and one-digit parts (as versions are), and of years outside 1800 to 2199; telephone numbers without ``+`` but those of
+ten digits in groups 3-3-4 with or without a bare 1 before (so neither 00 and a country code nor a leading area zero); cards in
+other groups; IPv6; social security numbers without hyphens.
+
 Everything is built-in Column work on one row at a time: no Python on the executors, no shuffle.
 
 Defined results: null text stays null (no values); empty text stays empty; a null id or repeated rows
@@ -27,12 +34,12 @@ EXAMPLE_KEY = "example key, replace it"
 _KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "date": r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})",
+    "date": r"(?:[0-9]{4}(?:([-/])[0-9]{1,2}\1[0-9]{1,2}|\.[0-9]{2}\.[0-9]{2})|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
     r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}",
-    "card": r"[0-9]{4}(?:([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{9,15})",
+    "card": r"[0-9]{4}(?:([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|([ -])[0-9]{6}\2[0-9]{5}|[0-9]{9,15})",
 }
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])(?<![\p{N}][.,-])", r"(?![\p{L}\p{N}_])(?![.,-][\p{N}])"
 
@@ -207,15 +214,16 @@ _DAYS_A, _DAYS_B = 189, 773
 
 def _date(m: Column, key: str) -> Column:
     sep = F.regexp_extract(m, "([-/.])", 1)
-    d = _digits(m)
+    at = lambda k: F.element_at(F.split(m, "[-/.]"), k)
+    two = lambda k: F.lpad(at(k), 2, "0")
     year_first = m.rlike("^[0-9]{4}")
-    month_first = ~year_first & (sep == "/") & (F.substring(d, 1, 2) <= "12")
-    layout = F.when(year_first, "yyyyMMdd").when(month_first, "MMddyyyy").otherwise("ddMMyyyy")
+    month_first = ~year_first & (two(1) <= "12") & ((sep == "/") | (two(2) > "12"))
     iso = (
-        F.when(layout == "yyyyMMdd", d)
-        .when(layout == "MMddyyyy", F.concat(F.substring(d, 5, 4), F.substring(d, 1, 4)))
-        .otherwise(F.concat(F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2)))
+        F.when(year_first, F.concat(at(1), two(2), two(3)))
+        .when(month_first, F.concat(at(3), two(1), two(2)))
+        .otherwise(F.concat(at(3), two(2), two(1)))
     )
+    bare = F.length(m) < 10  # without leading zeros
 
     def of(day: Column) -> Column:
         made = _halves(
@@ -234,7 +242,8 @@ def _date(m: Column, key: str) -> Column:
             .when(month_first, F.concat_ws(sep_of, part("MM", x), part("dd", x), part("yyyy", x)))
             .otherwise(F.concat_ws(sep_of, part("dd", x), part("MM", x), part("yyyy", x))),
         )
-        return F.when((day >= 0) & (day < _DAYS), F.replace(text, F.lit(sep_of), sep)).otherwise(m)
+        shown = F.when(bare, F.regexp_replace(text, f"(^|{sep_of})0", "$1")).otherwise(text)
+        return F.when((day >= 0) & (day < _DAYS), F.replace(shown, F.lit(sep_of), sep)).otherwise(m)
 
     sep_of = "~"
     day = F.datediff(F.try_to_timestamp(iso, F.lit("yyyyMMdd")).cast("date"), F.lit(_FIRST_DAY).cast("date")).cast("long")
@@ -288,7 +297,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(\+1|\+[0-9]{1,3}[ .-]|\+[0-9]{2})?", 0)
+    head = F.regexp_extract(m, r"^(\+1|\+[0-9]{1,3}[ .-]|\+[0-9]{2}|1[ .-])?", 0)
 
     def of(h: Column) -> Column:
         body = F.substring(m, F.length(h) + 1, F.length(m))
@@ -310,8 +319,8 @@ def _phone(m: Column, key: str) -> Column:
                     _pad(s["l"] % 100, 2),
                 ),
             )
-            plan = (F.length(d) == 10) & d.rlike("^[2-9]..[2-9]") & h.isin("", "+1")
-            abroad = (h != "") & (F.length(d) >= 5) & (F.length(d) <= 14)
+            plan = (F.length(d) == 10) & d.rlike("^[2-9]..[2-9]") & h.isin("", "+1", "1 ", "1.", "1-")
+            abroad = h.startswith("+") & (F.length(d) >= 5) & (F.length(d) <= 14)
             return (
                 F.when(plan, F.concat(h, refill(body, planned)))
                 .when(abroad, F.concat(h, refill(body, permute_digits(d, key, "phone"))))

@@ -156,6 +156,27 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+MORE = [
+    "3782 822463 10005", "3782-822463-10005", "1-212-555-1234", "1.212.555.1234", "1 (212) 555-1234", "12-31-2020", "12.31.2020", "1/2/2020", "31.1.2020",
+    "5-6-1987", "2024-1-5", "2024/12/5", "12/5/1999",
+]
+
+
+def test_further_formats(spark):
+    rows = [(k, f"see {v}; end") for k, v in enumerate(MORE + ["212-555-1234", "378282246310005", "01/02/2020", "2020.1.5", "13.13.2020", "3782 822463 10006", "0/5/2020"])]
+    got = {r["doc_id"]: r["text"][4:-5] for r in pii.report(frame(spark, rows)).collect()}
+    new = {v[4:-5]: got[k] for k, v in rows}
+    shape = lambda v: re.sub(r"[0-9]+", lambda m: "n" if len(m[0]) < 3 else "0" * len(m[0]), v)
+    for v in MORE:
+        assert new[v] != v and shape(new[v]) == shape(v), (v, new[v])
+    digits = lambda v: re.sub(r"[^0-9]", "", new[v])
+    assert digits("3782 822463 10005") == digits("3782-822463-10005") == digits("378282246310005") and luhn(digits("3782 822463 10005"))
+    assert {digits(v) for v in MORE[2:5]} == {"1" + digits("212-555-1234")}
+    assert [int(x) for x in new["1/2/2020"].split("/")] == [int(x) for x in new["01/02/2020"].split("/")]
+    assert not re.search(r"(^|/)0", new["1/2/2020"]) and len(new["12-31-2020"]) == 10
+    assert all(new[v] == v for v in ("2020.1.5", "13.13.2020", "3782 822463 10006", "0/5/2020"))
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
