@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, jaccard, packing, phrases, pii, quality, suffixes, toxicity, warc
+from . import decontam, html_text, jaccard, packing, periodic, phrases, pii, quality, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op12_recursive_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.with_periodic_tails(_table(spark, sf_dir, "documents")))

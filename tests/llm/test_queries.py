@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) < set(__spark_entry__.queries()) and "pipeline" in __spark_entry__.queries()
 
 
