@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, jaccard, packing, periodic, phrases, pii, quality, suffixes, toxicity, warc
+from . import decontam, divergence, html_text, jaccard, packing, periodic, phrases, pii, quality, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,38 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op12_recursive_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_periodic_tails(_table(spark, sf_dir, "documents")))
+
+
+@_query(
+    r"""
+    with d as (
+        select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+        from documents),
+    w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    k as (select lang, term, count(*) as n from w group by lang, term having count(distinct r) >= 3),
+    c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+    v as (select lang, count(*) as v, sum(n) as total from k group by lang),
+    g as (select distinct lang, source from d),
+    t as (select lang, source, sum(n) as total from c group by all),
+    s as (
+        select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+            1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + v.v) as p,
+            1 + 1000000000::hugeint * (k.n + 1) // (v.total + v.v) as q
+        from g join k using (lang) join v using (lang) left join t using (lang, source) left join c using (lang, source, term)),
+    pairs as (
+        select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+        from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    parts as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+        from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+        union all
+        select lang, source, 'term', term, (p - q) * (p - q) // q from s where n > 0 and p > q)
+    select lang, source, part, item, value::bigint as value,
+        row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+    from parts qualify part = 'pair' or rank <= 200
+    """
+)
+def op13_pattern_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
