@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, divergence, html_text, jaccard, packing, periodic, phrases, pii, quality, suffixes, toxicity, warc
+from . import decontam, divergence, html_text, jaccard, packing, periodic, phrases, pii, quality, suffixes, toxicity, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +92,23 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+@_query(
+    """
+    with e as (
+        select vec_id, [floor(256 * x::double) for x in embedding] as v
+        from embeddings
+        where embedding is not null and coalesce(list_bool_and([x is not null and isfinite(x) for x in embedding]), true)),
+    s as (
+        select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+        from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+    from s qualify rank <= 5
+    """
+)
+def op11_vector_approximation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @_query()
 def op12_recursive_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_periodic_tails(_table(spark, sf_dir, "documents")))
