@@ -12,7 +12,7 @@ The sum over all terms is taken in three parts, so that no pair of sources is lo
    and a node meets each of its ancestors once, for all the terms that pass through it.
 
 Rows are dealt by range, so rows that share a path lie together; a task builds one tree per batch of rows, and trees just add up.
-Counting merges in the tasks before anything is shuffled: a hot source or word is one row per task and ``flush`` entries.  Written
+Counting merges in the tasks before anything is shuffled: a hot source or word is a few rows per task.  Written
 tables stand between the steps.  A term's row has an entry per source, and the result a row per pair of sources, so sources should be
 thousands, not millions.
 
@@ -41,7 +41,8 @@ from parcelflow.scratch import materialize
 class Settings:
     min_docs: int = 3
     top_terms: int = 200
-    flush: int = 200_000  # entries that a task merges before it sends them
+    flush: int = 400_000  # entries that a task merges before it sends them
+    often: int = 16  # documents of a term that stays with the task when others are sent
     combinations: int = 1 << 20  # of nodes and ancestors looked at together
 
 
@@ -56,45 +57,63 @@ def terms_of(text: bytes) -> list[bytes]:
 _COUNTED = "lang string, source string, term string, n long, docs long"
 
 
-def _counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, settings: Settings) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term; a null term for the group itself."""
+class Merged:
+    """Counts of a task: occurrences and documents of the terms of each group."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple, tuple[Counter, Counter]] = {}
+        self.held = 0
+
+    def add(self, group: tuple, text: bytes) -> None:
+        if group not in self.groups:
+            self.groups[group] = Counter(), Counter()
+        n, docs = self.groups[group]
+        terms, before = terms_of(text), len(n)
+        n.update(terms)
+        docs.update(set(terms))
+        self.held += len(n) - before
+
+    def sent(self, often: int | None = None) -> pa.RecordBatch:
+        """The counts, which are forgotten; with ``often`` terms of so many documents stay."""
+        columns: list[list] = [[], [], [], [], []]
+        self.held = 0
+        for (lang, source), (n, docs) in list(self.groups.items()):
+            gone = [t for t, d in docs.items() if often is None or d < often]
+            for c, values in zip(columns, ([lang] * len(gone), [source] * len(gone), [t.decode() for t in gone], [n[t] for t in gone], [docs[t] for t in gone])):
+                c += values
+            if len(gone) == len(n):
+                del self.groups[lang, source]
+            else:
+                left = [t for t, d in docs.items() if d >= often]
+                self.groups[lang, source] = Counter({t: n[t] for t in left}), Counter({t: docs[t] for t in left})
+                self.held += len(left)
+        kinds = [pa.string()] * 3 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "term", "n", "docs"])
+
+
+def _term_rows(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(lang, term, lang_n, row) of the kept terms of (lang, source, text): all occurrences, and the number in each source that has any.
+
+    Counts go to the place of their term once; there sources are merged and put beside each other.  A task keeps its
+    frequent terms to the end, so that they come once from each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, dict[bytes, list[int]]] = {}
-        held = 0
-
-        def merged() -> pa.RecordBatch:
-            rows = [(*group, None, 0, 0) for group in groups]
-            rows += [(*group, t.decode(), *e) for group, own in groups.items() for t, e in own.items()]
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.string()] * 3 + [pa.int64()] * 2)]
-            groups.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-
+        merged = Merged()
         for batch in batches:
-            for k in range(len(batch)):
-                group = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                own = groups.get(group)
-                if own is None:
-                    own, held = groups.setdefault(group, {}), held + 1
-                before = len(own)
-                for t, n in Counter(terms_of(batch.column(2)[k].as_py())).items():
-                    entry = own.get(t)
-                    if entry is None:
-                        own[t] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                held += len(own) - before
-                if held >= settings.flush:
-                    yield merged()
-                    held = 0
-        if groups:
-            yield merged()
-
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
-    sent = rows.mapInArrow(run, _COUNTED)
-    return sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            for k in range(0, len(batch), 256):
+                for lang, source, text in zip(*(c.slice(k, 256).to_pylist() for c in batch.columns)):
+                    merged.add((lang, source), text)
+                    if merged.held >= settings.flush:
+                        yield merged.sent(settings.often)
+                        if 2 * merged.held >= settings.flush:
+                            yield merged.sent()
+        yield merged.sent()
+
+    held = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(run, _COUNTED).repartition("lang", "term")
+    held = held.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).groupBy("lang", "term")
+    held = held.agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("row"))
+    return materialize(held.filter(F.col("docs") >= settings.min_docs).drop("docs"), "kept-terms")
 
 
 def _share(count: str, total: str, kept: str) -> Column:
@@ -187,14 +206,13 @@ def _corrections(rows: DataFrame, settings: Settings) -> DataFrame:
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", settings: Settings = Settings()) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has all other sources of the language, part ``term`` the terms
     that the source has more of than its language, the ``top_terms`` furthest ones."""
-    counts = materialize(_counts(docs, text_col, lang_col, source_col, settings), "term-counts")
-    held = counts.filter("term is not null").groupBy("lang", "term")
-    held = held.agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("row"))
-    held = materialize(held.filter(F.col("docs") >= settings.min_docs).drop("docs"), "kept-terms")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    docs = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
+    held = _term_rows(docs, settings)
     kept = held.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     held = held.select("lang", "term", "lang_n", F.explode("row").alias("e")).select("lang", "term", "lang_n", "e.source", "e.n")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
+    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
     groups = groups.na.fill(0, ["total", "kept", "lang_total"]).withColumn("p0", _share("0", "total", "kept"))
     groups = materialize(groups, "groups")
 

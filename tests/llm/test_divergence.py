@@ -64,7 +64,7 @@ def frame(spark, rows):
     return df.repartition(5)
 
 
-@pytest.mark.parametrize("changes", [{}, {"flush": 5, "combinations": 3, "top_terms": 4}, {"min_docs": 1}])
+@pytest.mark.parametrize("changes", [{}, {"flush": 5, "combinations": 3, "top_terms": 4}, {"flush": 30, "often": 2}, {"min_docs": 1}])
 def test_audit(spark, changes):
     limits = divergence.Settings(**changes)
     got = divergence.audit(frame(spark, rows()), settings=limits)
