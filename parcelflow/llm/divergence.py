@@ -11,7 +11,7 @@ The sum over all terms is taken in three parts, so that no pair of sources is lo
    sources; equal rows are one with a multiplicity.  Sorted rows are inserted into a tree, where rows with the same beginning share a path,
    and a node meets each of its ancestors once, for all the terms that pass through it.
 
-Rows are dealt by range, so rows that share a path lie together; a task builds one tree per batch of rows, and trees just add up.
+Rows are dealt by ranges of their beginnings, so rows that share a path lie together; a task builds one tree per batch of rows, and trees just add up.
 Counting merges in the tasks before anything is shuffled: a hot source or word is a few rows per task.  Written
 tables stand between the steps.  A term's row has an entry per source, and the result a row per pair of sources, so sources should be
 thousands, not millions.
@@ -232,7 +232,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # Part 3.
     rows = entries.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("row"))
     rows = materialize(rows.filter(F.size("row") > 1).groupBy("lang", "row").agg(F.count("*").alias("times")), "term-rows")
-    both = _corrections(rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row"), settings)
+    # By hashes of beginnings, as the driver sees a sample of what ranges are made of; the last parts rows that begin alike.
+    begins = [F.xxhash64(F.slice("row", 1, n)) for n in (1, 2, 4)]
+    both = _corrections(rows.repartitionByRange("lang", *begins, F.xxhash64("row")).sortWithinPartitions("lang", "row"), settings)
 
     pairs = none.unionByName(left).unionByName(right).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
