@@ -1,7 +1,8 @@
 """Distance joins between located rows: count within a radius, and nearest.
 
-Coordinates are planar (metres). Sources are points (``x, y``) or polygons (``edges``). A task
-compares at most ``pair_limit`` targets and sources of one pair of cells, see ``cells``.
+Coordinates are planar (metres). Sources are points (``x, y``) or polygons (``edges``). Both sides are written pyramids of
+cells, see ``pyramid``; pairs of cells are found by equal cells, and of those that cannot be settled as a whole at most ``pair_limit``
+targets and sources are compared.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..scratch import materialize
-from .cells import BOX, SPLIT_BITS, Grid, box_gap, box_span, member_pairs, nodes, split_pairs, with_cells
+from .pyramid import BOX, STEP, Pyramid, around, box_gap, box_span, build, members, split
 
 
-def target_sites(points: DataFrame) -> DataFrame:
-    """Distinct locations of the points, written once: copies at one place are handled together.
+def target_sites(points: DataFrame) -> Pyramid | None:
+    """Distinct locations of the points and the cells over them, written once: copies at one place are handled together.
 
-    The result can be passed as ``sites`` to several joins over the same points.
+    The result can be passed as ``sites`` to several joins over the same points; there is none without a located point.
     """
     located = points.filter(geo.is_located(F.col("x"), F.col("y")))
     sites = located.groupBy(F.col("x").alias("mx"), F.col("y").alias("my")).agg(F.count("*").alias("weight"))
-    return materialize(sites, "targets")
+    return build(materialize(sites, "targets"))
 
 
 def _located(sources: DataFrame) -> DataFrame:
@@ -55,7 +56,18 @@ def _counted(sources: DataFrame, category: str, wanted: list) -> DataFrame:
     """Sources of the wanted categories; equal shapes of one category become one with a weight."""
     shaped = _located(sources.filter(F.col(category).isin(wanted)).withColumn("cat", F.col(category)))
     merged = shaped.groupBy("cat", *_shape(shaped)).agg(F.count("*").alias("weight"))
-    return materialize(merged.withColumn("source", F.monotonically_increasing_id()), "sources")
+    return materialize(_sized(merged).withColumn("source", F.monotonically_increasing_id()), "sources")
+
+
+_POINT = -(1 << 20)  # the size of sources without an extent
+
+
+def _sized(sources: DataFrame) -> DataFrame:
+    """Add ``_extent``, by which large areas are kept apart from small ones: its power of two is half their width at least."""
+    if "xmin" not in sources.columns:
+        return sources.withColumn("_extent", F.lit(_POINT))
+    half = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / 2
+    return sources.withColumn("_extent", F.coalesce(F.ceil(F.log2(half) / STEP).cast("int") * STEP, F.lit(_POINT)))
 
 
 def _states(pairs: DataFrame) -> dict[str, tuple[int, int]]:
@@ -82,7 +94,7 @@ def count_within(
     keys: dict[str, str],
     category: str = "key",
     pair_limit: int = 1 << 14,
-    sites: DataFrame | None = None,
+    sites: Pyramid | None = None,
 ) -> DataFrame:
     """Count POIs of each key within ``radius`` of each point; every point is kept.
 
@@ -92,21 +104,29 @@ def count_within(
     """
     targets = target_sites(points) if sites is None else sites
     columns = [category, *(["edges"] if "edges" in pois.columns else ["x", "y"])]
-    sources = _counted(pois.select(*columns), category, list(keys))
-    grid = Grid(0.0, 0.0, float(radius), depth=20)
-
-    # A counted source has its middle at most one radius away on each axis: the 3 x 3 cells around.
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = (
-        nodes(sources, grid, 0, "s", ["cat"])
-        .withColumn("step", F.explode(steps))
-        .withColumns({"tx": F.col("sx") + F.col("step.i"), "ty": F.col("sy") + F.col("step.j")})
-    )
-    pairs = around.join(nodes(targets, grid, 0, "t", []), on=["tx", "ty"])
+    sources = targets and build(_counted(pois.select(*columns), category, list(keys)), ("cat",), targets)
+    found = _counts(targets, sources, float(radius), pair_limit) if sources else []
+    outputs = list(keys.values())
+    if not found:
+        return points.withColumns({c: F.lit(0).cast("bigint") for c in outputs})
+    per_site = _union(found).groupBy("x", "y", "cat").agg(F.sum("n").alias("n"))
+    per_key = [F.sum(F.when(F.col("cat") == F.lit(k), F.col("n"))).alias(out) for k, out in keys.items()]
+    counts = per_site.groupBy("x", "y").agg(*per_key)
+    return points.join(counts, on=["x", "y"], how="left").fillna(0, subset=outputs)
+
 
+def _counts(targets: Pyramid, sources: Pyramid, radius: float, pair_limit: int) -> list[DataFrame]:
+    """(x, y, cat, n) of the sources within the radius, in parts that add up."""
+    level = max(targets.finest, sources.finest)
+    while level + STEP <= sources.top and 2.0**level < radius:
+        level += STEP
+    # A counted source has its middle at most one radius away on each axis.
+    xs, ys = around(F.lit(radius), level)
+    reached = targets.at(level, "t").withColumn("sx", F.explode(xs)).withColumn("sy", F.explode(ys))
+    pairs = reached.join(sources.at(level, "s"), ["sx", "sy"])
     found = []
-    for level in range(grid.depth + 1):
-        crowded = F.col("tn") * F.col("sn") > pair_limit if level < grid.depth else F.lit(False)
+    while True:
+        crowded = F.col("tn") * F.col("sn") > pair_limit if level > targets.deepest else F.lit(False)
         state = F.when(box_span() <= radius, "inside").when(crowded, "split").otherwise("compare")
         pairs = materialize(
             pairs.filter(box_gap() <= radius).select("cat", "tx", "ty", "sx", "sy", "sw", *BOX, _size(), state.alias("state")),
@@ -115,26 +135,26 @@ def count_within(
         states = _states(pairs)
         if "inside" in states:
             whole = pairs.filter("state = 'inside'").groupBy("cat", "tx", "ty").agg(F.sum("sw").alias("n"))
-            at = with_cells(targets, grid, level, "t").select("tx", "ty", "mx", "my")
-            found.append(whole.join(at, on=["tx", "ty"]).select(F.col("mx").alias("x"), F.col("my").alias("y"), "cat", "n"))
+            at = targets.placed(level, "t").select("tx", "ty", "mx", "my")
+            found.append(whole.join(at, ["tx", "ty"]).select(F.col("mx").alias("x"), F.col("my").alias("y"), "cat", "n"))
         if "compare" in states:
-            small = pairs.filter("state = 'compare'")
-            members = member_pairs(small, targets, sources, grid, level, states["compare"][1])
-            found.append(
-                _within(members, radius).select(F.col("tmx").alias("x"), F.col("tmy").alias("y"), "cat", F.col("weight").alias("n"))
-            )
+            held = members(pairs.filter("state = 'compare'"), targets, sources, level, level, states["compare"][1])
+            found.append(_within(held, radius).select(F.col("tmx").alias("x"), F.col("tmy").alias("y"), "cat", F.col("weight").alias("n")))
         if "split" not in states:
-            break
+            return found
         crowd = pairs.filter("state = 'split'")
-        pairs = split_pairs(crowd, targets, sources, grid, level, F.lit(radius), states["split"][0], [])
+        targets, sources = _below(targets, sources, crowd, level, level)
+        pairs = split(crowd, targets, sources, level, level, F.lit(radius), [])
+        level -= STEP
 
-    outputs = list(keys.values())
-    if not found:
-        return points.withColumns({c: F.lit(0).cast("bigint") for c in outputs})
-    per_site = _union(found).groupBy("x", "y", "cat").agg(F.sum("n").alias("n"))
-    per_key = [F.sum(F.when(F.col("cat") == F.lit(k), F.col("n"))).alias(out) for k, out in keys.items()]
-    counts = per_site.groupBy("x", "y").agg(*per_key)
-    return points.join(counts, on=["x", "y"], how="left").fillna(0, subset=outputs)
+
+def _below(targets: Pyramid, sources: Pyramid, crowd: DataFrame, t_level: int, s_level: int) -> tuple[Pyramid, Pyramid]:
+    """Both sides, ready for the level below: as they are within the pyramid, and further down the open cells' sites only."""
+    if t_level <= targets.finest:
+        targets = targets.opened(crowd, t_level, "t")
+    if s_level <= sources.finest:
+        sources = sources.opened(crowd, s_level, "s")
+    return targets, sources
 
 
 def _within(members: DataFrame, radius: float) -> DataFrame:
@@ -163,56 +183,71 @@ def _first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return ranked.filter("_rn = 1").drop("_rn")
 
 
-def _root_grid(targets: DataFrame, sources: DataFrame) -> Grid | None:
-    """One square around all targets and sources, or nothing when either side is empty."""
-    box = [F.min("mx"), F.min("my"), F.max("mx"), F.max("my")]
-    t, s = targets.agg(*box).first(), sources.agg(*box).first()
-    if t[0] is None or s[0] is None:
-        return None
-    x0, y0 = min(t[0], s[0]), min(t[1], s[1])
-    extent = max(max(t[2], s[2]) - x0, max(t[3], s[3]) - y0)
-    return Grid(x0, y0, extent * 1.001 + 1e-9, depth=25)
+def _bounded(targets: Pyramid, sources: Pyramid, levels: list[int]) -> DataFrame:
+    """The finest cells of the targets, each with every category and size of sources, and the distance within which all its
+    targets have a source of the category: a source cell at any level that the cell's surroundings hold tells one."""
+    t = targets.at(targets.finest, "t").drop("tpx", "tpy", "tw")
+    near = t.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    for a in "xy":
+        up = F.expr(f"shiftright(t{a}, level - ({targets.finest}))")
+        near = near.withColumn(f"s{a}", F.explode(F.sequence(up - 1, up + 1)))
+    held = sources.cells.filter(F.col("level").isin(levels))
+    held = held.select("level", "cat", "_extent", *[F.col(c).alias(f"s{c}") for c in held.columns if c not in ("level", "cat", "_extent")])
+    same = t.columns
+    found = near.join(held, ["level", "sx", "sy"]).groupBy(*same, "cat").agg(
+        F.min(box_span(sure=sources.extended)).alias("bound"), F.collect_set("_extent").alias("extents")
+    )
+    return found.withColumn("bound", F.col("bound") * F.lit(1 + 1e-9)).withColumn("_extent", F.explode("extents")).drop("extents")
 
 
-_START = 2  # 16 x 16 cells: even all their pairs are few, so the search starts there
+def _near_cells(targets: Pyramid, sources: Pyramid) -> DataFrame:
+    """Pairs of finest cells that can hold a nearest pair: (cat, _extent, tx, ty, sx, sy, bound, the target's box, tn, sn)."""
+    lowest = max(targets.finest, sources.finest)
+    levels = list(range(lowest, sources.top + 1, STEP))
+    bounded = _bounded(targets, sources, levels)
+    # A level whose cells are as wide as the bound, and as the sources: a few of them cover what is in reach.
+    wide = F.greatest(F.coalesce(F.ceil(F.log2(F.col("bound")) / STEP).cast("int") * STEP, F.lit(lowest)), F.lit(lowest), F.col("_extent"))
+    bounded = bounded.withColumn("level", F.least(wide, F.lit(sources.top)))
+    xs, ys = around(F.col("bound") + F.when(F.col("_extent") > _POINT, F.pow(F.lit(2.0), "_extent")).otherwise(0.0), F.col("level"))
+    reached = bounded.withColumn("lx", F.explode(xs)).withColumn("ly", F.explode(ys))
+    fine = sources.at(sources.finest, "s").drop("spx", "spy", "sw").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    fine = fine.withColumns({f"l{a}": F.expr(f"shiftright(s{a}, level - ({sources.finest}))") for a in "xy"})
+    return reached.join(fine, ["cat", "_extent", "level", "lx", "ly"]).filter(box_gap() <= F.col("bound"))
 
 
-def _nearest_candidates(targets: DataFrame, sources: DataFrame, payload: list[str], pair_limit: int) -> DataFrame | None:
+def _nearest_candidates(points: Pyramid | None, found: DataFrame, payload: list[str], pair_limit: int) -> DataFrame | None:
     """Pairs of target sites and sources that include every nearest pair, with their distance."""
-    grid = _root_grid(targets, sources)
-    if grid is None:
+    targets, sources = points, points and build(found, ("cat", "_extent"), points)
+    if sources is None:
         return None
-    polygons = "edges" in sources.columns
-    shape = _shape(sources) if polygons else ["mx", "my"]
-    root = F.shiftright("sx", SPLIT_BITS * _START) == F.shiftright("tx", SPLIT_BITS * _START)
-    pairs = (
-        nodes(sources, grid, _START, "s", ["cat"])
-        .join(nodes(targets, grid, _START, "t", []), root)
-        .withColumn("bound", F.lit(None).cast("double"))
-    )
-    found = []
-    for level in range(_START, grid.depth + 1):
+    polygons = sources.extended
+    shape = _shape(found) if polygons else ["mx", "my"]
+    candidates = []
+    t_level, s_level = targets.finest, sources.finest
+    pairs = _near_cells(targets, sources)
+    while True:
         # No target of this cell can be farther from its nearest source than `bound`.
-        cell = Window.partitionBy("tpx", "tpy", "tx", "ty", "cat")
-        bound = F.least(F.min(box_span(sure=polygons)).over(cell), F.col("bound")) * F.lit(1 + 1e-9)
-        crowded = F.col("tn") * F.col("sn") > pair_limit if level < grid.depth else F.lit(False)
+        own = Window.partitionBy("tx", "ty", "cat")
+        bound = F.least(F.min(box_span(sure=polygons)).over(own) * F.lit(1 + 1e-9), F.col("bound"))
+        crowded = F.col("tn") * F.col("sn") > pair_limit if t_level > targets.deepest else F.lit(False)
         state = F.when(crowded, "split").otherwise("compare")
         pairs = materialize(
             pairs.withColumn("bound", bound)
             .filter(box_gap() <= F.col("bound"))
-            .select("cat", "tx", "ty", "sx", "sy", "bound", *BOX, _size(), state.alias("state")),
+            .select("cat", "_extent", "tx", "ty", "sx", "sy", "bound", *BOX, _size(), state.alias("state")),
             "pairs",
         )
         states = _states(pairs)
         if "compare" in states:
-            small = pairs.filter("state = 'compare'")
-            members = member_pairs(small, targets, sources, grid, level, states["compare"][1], ["bound"])
-            found.append(members.select("cat", "tmx", "tmy", "bound", *payload, *shape))
+            held = members(pairs.filter("state = 'compare'"), targets, sources, t_level, s_level, states["compare"][1], ["bound"])
+            candidates.append(held.select("cat", "tmx", "tmy", "bound", *payload, *shape))
         if "split" not in states:
             break
         crowd = pairs.filter("state = 'split'")
-        pairs = split_pairs(crowd, targets, sources, grid, level, F.col("bound"), states["split"][0], ["bound"])
-    candidates = _union(found)
+        targets, sources = _below(targets, sources, crowd, t_level, s_level)
+        pairs = split(crowd, targets, sources, t_level, s_level, F.col("bound"), ["bound"])
+        t_level, s_level = t_level - STEP, s_level - STEP
+    candidates = _union(candidates)
     if not polygons:
         return candidates.withColumn("distance", _point_gap()).filter(F.col("distance") <= F.col("bound"))
     by = ["cat", "tmx", "tmy", *payload]
@@ -238,14 +273,14 @@ def _polygon_distances(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nearest_sites(
-    sites: DataFrame,
+    sites: Pyramid | None,
     sources: DataFrame,
     source_id: str,
     ties: str | None = None,
     ascending: bool = True,
     columns: list[str] | None = None,
     category: str | None = None,
-    pair_limit: int = 1 << 10,
+    pair_limit: int = 1 << 13,
 ) -> DataFrame | None:
     """The nearest source of each site, per category: ``x, y, cat``, the columns and ``distance``.
 
@@ -260,7 +295,7 @@ def nearest_sites(
     # Of several sources of a category at one place only the best can win.
     shaped = _first(shaped, ["cat", *_shape(shaped)], order).withColumn("weight", F.lit(1))
     # Polygons that agree in all columns are still different shapes.
-    numbered = materialize(shaped.withColumn("_shape", F.monotonically_increasing_id()), "sources")
+    numbered = materialize(_sized(shaped).withColumn("_shape", F.monotonically_increasing_id()), "sources")
     candidates = _nearest_candidates(sites, numbered, [*payload, "_shape"], pair_limit)
     if candidates is None:
         return None
@@ -275,8 +310,8 @@ def nearest(
     ties: str | None = None,
     ascending: bool = True,
     columns: list[str] | None = None,
-    pair_limit: int = 1 << 10,
-    sites: DataFrame | None = None,
+    pair_limit: int = 1 << 13,
+    sites: Pyramid | None = None,
 ) -> DataFrame:
     """The nearest source of each point: ``columns`` of the source and ``distance``.
 
@@ -297,8 +332,8 @@ def nearest_by_type(
     pois: DataFrame,
     types: dict[str, str],
     category: str = "value",
-    pair_limit: int = 1 << 10,
-    sites: DataFrame | None = None,
+    pair_limit: int = 1 << 13,
+    sites: Pyramid | None = None,
 ) -> DataFrame:
     """Distance to the nearest POI of each type, one column per type found in the data.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators.polygons import area_density, points_in_polygons
 from ..operators.proximity import count_within, nearest_by_type, nearest_sites, target_sites
+from ..operators.pyramid import Pyramid
 from ..operators.raster import raster_lookup
 from ..operators.relational import align, first_per_key
 from ..scratch import materialize
@@ -81,7 +82,7 @@ def city_features(
     cities: DataFrame,
     big_city: float,
     key: str = "parcelid",
-    sites: DataFrame | None = None,
+    sites: Pyramid | None = None,
 ) -> DataFrame:
     """Name, population and distance of the nearest city and of the nearest big city.
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geo
 from parcelflow.operators import hull as H
 from parcelflow.operators.polygons import points_in_polygons
-from parcelflow.operators.proximity import count_within, nearest, nearest_by_type
+from parcelflow.operators import proximity, pyramid
+from parcelflow.operators.proximity import count_within, nearest, nearest_by_type, target_sites
 from parcelflow.operators.raster import merge_tiles, raster_lookup
+from parcelflow.scratch import materialize
 
 
 def crowded(rng, n, copies=0.3, spot=0.4, extent=20000.0):
@@ -270,6 +273,69 @@ def test_no_all_pairs_join_in_the_plan(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_written_rounds_join_by_cells(spark, monkeypatch):
+    """No round pairs everything with everything; rounds within the pyramid read no sites, further down only open cells' ones."""
+    written = []
+
+    def recorded(df, label="table"):
+        read = {re.search(r"/([a-z-]+)-[0-9a-f]{32}/", f)[1] for f in df.inputFiles() if "parcelflow-" in f}
+        written.append((label, df._jdf.queryExecution().executedPlan().toString(), read))
+        return materialize(df, label)
+
+    monkeypatch.setattr(proximity, "materialize", recorded)
+    monkeypatch.setattr(pyramid, "materialize", recorded)
+    rng = random.Random(8)
+    points = frame(spark, [(i, x, y) for i, (x, y) in enumerate(crowded(rng, 3000))], "id long, x double, y double")
+    pois = frame(spark, [(rng.choice("ab"), x, y) for x, y in crowded(rng, 3000)], "key string, x double, y double")
+    targets = target_sites(points)
+    count_within(points, pois, 500, {"a": "n", "b": "m"}, pair_limit=64, sites=targets)
+    nearest_by_type(points, pois, {"a": "a", "b": "b"}, category="key", pair_limit=64, sites=targets)
+    labels = [w[0] for w in written]
+    assert labels.count("targets") == 1 and labels.count("pairs") > 4 and "open-sites" in labels
+    rounds = [w[1:] for w in written if w[0] == "pairs"]
+    for plan, read in rounds:
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        keys = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", plan)
+        assert keys and all(re.search(r"\b(sx|spx|tpx|lx)#", k) for k in keys)
+        assert read <= {"cells", "pairs", "open-sites"}
+    assert rounds[0][1] == {"cells"}
+
+
+def test_pyramid_levels_agree(spark):
+    rng = random.Random(9)
+    rows = [(round(x - 9000, 2), round(y - 9000, 2), rng.randint(1, 3)) for x, y in {p for p in crowded(rng, 500)}]
+    made = pyramid.build(frame(spark, rows, "mx double, my double, weight long"))
+    for level in range(made.finest - 2 * pyramid.STEP, made.top + 2 * pyramid.STEP + 1, pyramid.STEP):
+        want = {}
+        for x, y, w in rows:
+            want.setdefault((math.floor(x / 2.0**level), math.floor(y / 2.0**level)), []).append((x, y, w))
+        got = {(r["tx"], r["ty"]): r for r in made.at(level, "t").collect()}
+        assert got.keys() == want.keys()
+        for key, held in want.items():
+            xs, ys, ws = zip(*held)
+            r = got[key]
+            assert (r["tn"], r["tw"]) == (len(held), sum(ws))
+            assert (r["tx1"], r["tx2"], r["ty1"], r["ty2"]) == (min(xs), max(xs), min(ys), max(ys))
+            assert (r["tpx"], r["tpy"]) == (key[0] >> 2, key[1] >> 2)
+    assert pyramid.build(frame(spark, rows, "mx double, my double, weight long").limit(0)) is None
+
+
+def test_nearest_of_areas_of_all_sizes(spark):
+    """A few huge areas among many small ones, far from and over the points."""
+    rng = random.Random(10)
+    points = [(i, rng.random() * 3000, rng.random() * 3000) for i in range(80)]
+    shapes = [(f"p{i:03}", rng.random() * 4000, rng.random() * 4000, 2.0 ** rng.randint(-3, 6)) for i in range(150)]
+    shapes += [("big", 60_000.0, 0.0, 56_900.0), ("bigger", -900_000.0, 5e5, 899_000.0), ("dot", 1500.0, 1500.0, 0.0)]
+    have = nearest(
+        frame(spark, points, "id long, x double, y double"), polygons(spark, [(n, square(x, y, h)) for n, x, y, h in shapes], "name string"), "name", pair_limit=20
+    )
+    got = {r["id"]: (r["name"], r["distance"]) for r in have.collect()}
+    for i, x, y in points:
+        gap = lambda s: math.hypot(max(abs(x - s[1]) - s[3], 0), max(abs(y - s[2]) - s[3], 0))
+        best = min(shapes, key=lambda s: (gap(s), s[0]))
+        assert got[i][1] == pytest.approx(gap(best), abs=1e-6) and (got[i][0] == best[0] or gap(best) == pytest.approx(got[i][1], abs=1e-6))
+
+
 def test_scalar_geo_functions(spark):
     row = (
         spark.range(1)
