@@ -6,12 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 
 from ..plans import fixed_values as V
 from .group_imputer import GroupImputer
 from .random_grid import RandomGridBuilder
-from .write_once import WriteOnce
+from .search import PrefixSearch
 
 
 def suffixed(columns: list[str], suffix: str) -> list[str]:
@@ -56,24 +55,26 @@ def build_pipeline(
     raw = [c for c in V.ONE_HOT if compact_ids and not c.endswith("_indexed")]
     categories = [f"{c}_slot" if c in raw else c for c in V.ONE_HOT]
     left = unfilled(columns)
+    # A text that is only hashed as a category needs no number.
+    hashed = [c.removesuffix("_indexed") if hash_categorical and c not in V.ONE_HOT else c for c in V.HASHED]
+    indexed = [c for c in V.INDEXED if c not in hashed]
     stages = [
         GroupImputer(inputCol=V.GROUP_IMPUTED, outputCol=imputed, groupCol=V.GROUP, stochastic=stochastic, seed=V.SEED),
         Imputer(inputCols=V.MEAN_IMPUTED, outputCols=V.MEAN_IMPUTED, strategy="mean"),
         Imputer(inputCols=left, outputCols=left, strategy="mean"),
         StringIndexer(
-            inputCols=[*V.INDEXED, *raw],
-            outputCols=[*suffixed(V.INDEXED, "_indexed"), *suffixed(raw, "_slot")],
+            inputCols=[*indexed, *raw],
+            outputCols=[*suffixed(indexed, "_indexed"), *suffixed(raw, "_slot")],
             handleInvalid="keep",
         ),
         OneHotEncoder(inputCols=categories, outputCols=suffixed(V.ONE_HOT, "_onehot"), handleInvalid="keep"),
         FeatureHasher(
-            inputCols=V.HASHED,
+            inputCols=hashed,
             outputCol=V.HASH_OUTPUT,
             numFeatures=hash_features,
-            categoricalCols=V.HASHED if hash_categorical else [],
+            categoricalCols=hashed if hash_categorical else [],
         ),
         VectorAssembler(inputCols=feature_columns(columns), outputCol=V.FEATURES, handleInvalid="keep"),
-        WriteOnce(inputCols=[V.LABEL, V.FEATURES]),
         GBTRegressor(
             featuresCol=V.FEATURES, labelCol=V.LABEL, predictionCol=V.PREDICTION, seed=V.SEED, **boosting
         ),
@@ -104,14 +105,16 @@ def evaluator(metric: str = "mae") -> RegressionEvaluator:
     return RegressionEvaluator(predictionCol=V.PREDICTION, labelCol=V.LABEL, metricName=metric)
 
 
-def cross_validator(pipeline: Pipeline, maps: list[dict], folds: int = V.FOLDS, parallelism: int = 4, seed: int = V.SEED):
-    """k-fold search; ``parallelism`` fits share the cluster."""
-    return CrossValidator(
+def cross_validator(
+    pipeline: Pipeline, maps: list[dict], folds: int = V.FOLDS, parallelism: int = 4, seed: int = V.SEED, fold_col: str = ""
+) -> PrefixSearch:
+    """k-fold search; ``parallelism`` fits share the cluster, draws with the same features share those."""
+    return PrefixSearch(
         estimator=pipeline,
         estimatorParamMaps=maps,
         evaluator=evaluator(),
         numFolds=folds,
         parallelism=parallelism,
         seed=seed,
+        foldCol=fold_col,
     )
-

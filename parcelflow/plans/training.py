@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +46,20 @@ def train(
     tags: dict[str, str] | None = None,
     **boosting,
 ) -> Training:
-    """Preprocess, split, search, evaluate on the held-out part, and log.
+    """Split, preprocess, search, evaluate on the held-out part, and log.
 
-    ``maps`` replaces the random search space by parameter maps for the given pipeline.
+    ``maps`` replaces the random search space by parameter maps for the given pipeline.  What preprocessing learns comes from the training
+    part, and the best model holds it as its first stage: a saved model scores raw rows.
     """
-    prepared = Preprocess(mode=mode).fit(df).transform(df)
-    train_part, test_part = train_test(prepared)
-    pipeline = build_pipeline(prepared.columns, **boosting)
+    train_part, test_part = train_test(df)
+    rules = Preprocess(mode=mode).fit(train_part)
+    # Written once with its folds, for all fits of the search.
+    prepared = rules.transform(train_part).withColumn("_fold", F.floor(F.rand(V.SEED + 1) * V.FOLDS).cast("int"))
+    prepared = materialize(prepared, "folds")
+    pipeline = build_pipeline([c for c in prepared.columns if c != "_fold"], **boosting)
     draws = maps(pipeline) if maps else search_space(pipeline, iterations)
-    model = cross_validator(pipeline, draws).fit(train_part)
+    model = cross_validator(pipeline, draws, fold_col="_fold").fit(prepared)
+    model.bestModel = PipelineModel([rules, *model.bestModel.stages])
     run = log_run(df.sparkSession, model, log_folder, experiment, tags) if log_folder else None
     predictions = model.transform(test_part).select(V.LABEL, V.PREDICTION)
     return Training(model, predictions, mean_absolute_error(predictions, V.LABEL, V.PREDICTION), run)

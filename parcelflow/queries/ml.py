@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ml.group_imputer import GroupImputer, group_statistics
 from ..ml.pipeline import build_pipeline, evaluator, search_space
 from ..ml.preprocess import preprocess
-from ..ml.run_log import read_log
+from ..ml.run_log import log_run, read_log
+from ..ml.search import fit_pipeline
 from ..plans import fixed_values as V
-from ..plans.training import train, train_test
+from ..plans.training import Training, train, train_test
 from ..scratch import scratch_path
 from .registry import query
 from .standins import cte, standin, table, wide
@@ -145,49 +149,94 @@ def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS without_prediction, true AS error_is_finite FROM orders")
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS without_prediction, true AS learnt, true AS holds FROM orders")
 def fit_predict_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of the pipeline with its own settings over the full-width table: what must hold of the predictions of both parts."""
+    """All stages of the pipeline with its own settings over the full-width table, against always guessing the training mean:
+    what was learnt has the smaller squared error on the training part, and at most half as much again on the other."""
     train_part, test_part = train_test(preprocess(wide(spark, sf_dir)))
-    model = build_pipeline(train_part.columns).fit(train_part)
-    predicted = model.transform(train_part).unionByName(model.transform(test_part)).select(V.LABEL, V.PREDICTION)
-    error = F.avg(F.abs(F.col(V.LABEL) - F.col(V.PREDICTION)))
+    model = fit_pipeline(build_pipeline(train_part.columns), train_part)
+    parts = [model.transform(p).select(V.LABEL, V.PREDICTION, F.lit(n).alias("part")) for n, p in enumerate((train_part, test_part))]
+    predicted = parts[0].unionByName(parts[1])
+    mean = F.lit(train_part.agg(F.avg(V.LABEL)).first()[0])
+    of = lambda n, guess: F.avg(F.when(F.col("part") == n, (F.col(V.LABEL) - guess) ** 2))
     return predicted.agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col(V.PREDICTION).isNull(), 1)).alias("without_prediction"),
-        F.coalesce(error < 1e9, F.lit(False)).alias("error_is_finite"),
+        (of(0, F.col(V.PREDICTION)) < of(0, mean)).alias("learnt"),
+        (of(1, F.col(V.PREDICTION)) < 1.5 * of(1, mean)).alias("holds"),
     )
 
 
-@query()
+_SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
+_DRAWS = 2
+
+
+def _drawn() -> list[dict]:
+    """What the search draws, by the rule of the parameter maps: draw n has a generator of its own."""
+    out = []
+    for n in range(_DRAWS):
+        rng = np.random.default_rng(V.SEED + n)
+        drawn = {name: values[int(rng.integers(len(values)))] for name, values in V.SEARCH_SPACE.items()}
+        out.append({k: v for k, v in drawn.items() if k not in _SMALL_TREES})
+    return out
+
+
+_MAPS = " UNION ALL ".join(
+    f"SELECT {n} AS run, "
+    + ", ".join(f"{float(v)}e0 AS {k}" for k, v in drawn.items())
+    + ", true AS averages_folds, true AS error_of_average"
+    for n, drawn in enumerate(_drawn())
+)
+
+
+@query(_MAPS)
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random search with cross validation, logged as tables; one row per parameter map."""
-    return _search(spark, sf_dir, "results")
+    """Random search with cross validation, logged as tables; one row per parameter map with what was drawn."""
+    folder = scratch_path(spark, "runs")
+    _search(spark, sf_dir, folder)
+    results = read_log(spark, folder, "results", "houses")
+    numbers = [F.col("parameters")[name].cast("double").alias(name) for name in _drawn()[0]]
+    return results.select(
+        "run",
+        *numbers,
+        ((F.col("average") > 0) & (F.col("stddev") >= 0) & (F.col("stddev") < F.col("average") * V.FOLDS)).alias("averages_folds"),
+        (F.abs(F.col("standard_error") - F.col("stddev") / math.sqrt(V.FOLDS)) < 1e-12).alias("error_of_average"),
+    )
 
 
-@query()
+@query(
+    "SELECT CAST(n AS INT) AS n, CAST(n AS VARCHAR) AS tag, 'mae' AS metric, true AS is_least, true AS same_results, "
+    f"CAST({_DRAWS} AS BIGINT) AS results, CAST(9 AS BIGINT) AS stages FROM range(1, 3) r(n)"
+)
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best run of a search, read back from the log."""
-    return _search(spark, sf_dir, "runs")
+    """The best run of a search, read back from the log, and the same model logged again: a second run of the experiment."""
+    folder = scratch_path(spark, "runs")
+    trained = _search(spark, sf_dir, folder)
+    again = log_run(spark, trained.model, folder, "houses", {"tag": "2"})
+    runs, results, stages = (read_log(spark, folder, t, "houses") for t in ("runs", "results", "stages"))
+    numbered = runs.withColumn("n", F.when(F.col("run_name") == trained.run_name, 1).when(F.col("run_name") == again, 2))
+    alike = F.size(F.collect_set(F.struct("average", "stddev")).over(Window.partitionBy("run"))) == 1
+    least = results.withColumn("alike", alike).groupBy("run_name")
+    least = least.agg(F.min("average").alias("least"), F.count("*").alias("results"), F.every("alike").alias("same_results"))
+    joined = numbered.join(least, "run_name").join(stages.groupBy("run_name").agg(F.count("*").alias("stages")), "run_name")
+    return joined.select(
+        "n",
+        F.col("tags")["tag"].alias("tag"),
+        "metric",
+        (F.col("average") == F.col("least")).alias("is_least"),
+        "same_results",
+        "results",
+        "stages",
+    )
+
 
+def _search(spark: SparkSession, sf_dir: str, folder: str) -> Training:
+    """A search of the plan with its own settings but for the tree sizes, which are held small."""
 
-def _search(spark: SparkSession, sf_dir: str, log_table: str) -> DataFrame:
     def maps(pipeline: Pipeline) -> list[dict]:
-        # Two draws of the search space with the tree sizes held small.
-        fixed = {"maxDepth", "maxIter"}
-        return [{p: v for p, v in m.items() if p.name not in fixed} for m in search_space(pipeline, iterations=2)]
+        return [{p: v for p, v in m.items() if p.name not in _SMALL_TREES} for m in search_space(pipeline, iterations=_DRAWS)]
 
-    folder = scratch_path(spark, "runs")
-    train(
-        wide(spark, sf_dir),
-        maps=maps,
-        log_folder=folder,
-        experiment="houses",
-        tags={"source": "orders"},
-        stochastic=False,
-        **_SMALL_TREES,
-    )
-    return read_log(spark, folder, log_table, "houses")
+    return train(wide(spark, sf_dir), maps=maps, log_folder=folder, experiment="houses", tags={"tag": "1"}, **_SMALL_TREES)
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM orders")

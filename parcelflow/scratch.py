@@ -49,3 +49,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more."""
+    files = written.inputFiles()
+    if files:
+        spark = written.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,14 +5,19 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import FeatureHasher, Imputer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+from parcelflow.ml import search
 from parcelflow.ml.group_imputer import GroupImputer, GroupImputerModel
 from parcelflow.ml.pipeline import feature_columns, search_space, build_pipeline
 from parcelflow.ml.random_grid import RandomGridBuilder
 from parcelflow.ml.run_log import best_result
 from parcelflow.plans import fixed_values as V
+from parcelflow.scratch import materialize
 
 ROWS = [("a", 2.0, 1), ("a", 4.0, 4), ("a", 9.0, 4), ("a", None, None), ("b", 7.0, 3), ("b", None, None), ("c", None, None), (None, None, 1)]
 
@@ -123,6 +128,61 @@ def test_search_space(spark):
     assert len(maps) == 4 and {p.name for p in maps[0]} == set(V.SEARCH_SPACE)
 
 
+def searched(spark, kind, maps_of):
+    """A pipeline with an estimator, a hasher and a regression, searched by the given kind of validator."""
+    rows = spark.range(600).selectExpr(
+        "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 13 AS STRING) AS s", "CASE WHEN id % 5 > 0 THEN CAST(id % 11 AS DOUBLE) END AS m",
+        "CAST(id % 7 * 2 + id % 13 AS DOUBLE) AS label", "CAST(id * 31 % 3 AS INT) AS part",
+    )
+    imputer = Imputer(inputCols=["m"], outputCols=["m"])
+    hasher = FeatureHasher(inputCols=["s"], outputCol="h", numFeatures=8)
+    last = LinearRegression(featuresCol="f", labelCol="label", maxIter=5)
+    pipeline = Pipeline(stages=[imputer, hasher, VectorAssembler(inputCols=["a", "m", "h"], outputCol="f"), last])
+    judge = RegressionEvaluator(labelCol="label", metricName="mae")
+    maps = maps_of(imputer, hasher, last)
+    return kind(estimator=pipeline, estimatorParamMaps=maps, evaluator=judge, numFolds=3, foldCol="part").fit(rows), rows
+
+
+def test_prefix_search_equals_cross_validator(spark, monkeypatch):
+    def maps_of(imputer, hasher, last):
+        return [
+            {hasher.numFeatures: n, last.regParam: r, imputer.strategy: s}
+            for n, r, s in ((4, 0.0, "mean"), (16, 0.1, "mean"), (4, 0.5, "mean"), (16, 0.1, "median"), (16, 0.1, "mean"))
+        ]
+
+    want, rows = searched(spark, CrossValidator, maps_of)
+    written, fitted = [], []
+    monkeypatch.setattr(search, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    fit = Imputer.fit
+    monkeypatch.setattr(Imputer, "fit", lambda self, df, params=None: fitted.append(1) or fit(self, df, params))
+    got, _ = searched(spark, search.PrefixSearch, maps_of)
+    assert written == ["features"] * (3 * 3 + 1)  # folds x distinct prefixes, and the best one again
+    assert len(fitted) == 3 * 2 + 1  # folds x distinct settings of the imputer
+    assert got.avgMetrics == pytest.approx(want.avgMetrics, rel=1e-3) and got.stdMetrics == pytest.approx(want.stdMetrics, rel=0.02, abs=1e-3)
+    assert got.avgMetrics[1] == got.avgMetrics[4] and len(got.bestModel.stages) == 4
+    weights = [m.bestModel.stages[-1].coefficients.toArray() for m in (got, want)]
+    assert weights[0] == pytest.approx(weights[1], abs=0.02)
+
+
+def test_prefix_search_draws_folds(spark):
+    def maps_of(imputer, hasher, last):
+        return [{last.regParam: 0.0}, {last.regParam: 9.0}]
+
+    class Drawn(search.PrefixSearch):
+        def __init__(self, foldCol=None, **kw):
+            super().__init__(seed=3, **kw)
+
+    got, _ = searched(spark, Drawn, maps_of)
+    assert got.avgMetrics[0] < got.avgMetrics[1] and not got.bestModel.stages[-1].getRegParam()
+
+
+def test_fit_pipeline_equals_fit(spark):
+    model, rows = searched(spark, search.PrefixSearch, lambda i, h, last: [{last.regParam: 0.0}])
+    pipeline = Pipeline(stages=[model.getEstimator().getStages()[k] for k in range(4)])
+    a, b = search.fit_pipeline(pipeline, rows), pipeline.fit(rows)
+    assert a.stages[-1].coefficients.toArray() == pytest.approx(b.stages[-1].coefficients.toArray(), abs=0.02)
+
+
 def test_best_result(spark):
     rows = [(0, 2.0, 0.1, 0.05, {}), (1, 1.0, 0.1, 0.05, {}), (2, 1.0, 0.1, 0.05, {})]
     results = spark.createDataFrame(rows, "run int, average double, stddev double, standard_error double, parameters map<string,string>")

@@ -33,7 +33,3 @@ def test_query_equals_sql(spark, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
-
-@pytest.mark.parametrize("name", ["cross_validate"])
-def test_query_without_sql_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
