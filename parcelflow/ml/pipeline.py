@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 
 from ..plans import fixed_values as V
+from .boosting import HistogramBoosting
 from .group_imputer import GroupImputer
 from .random_grid import RandomGridBuilder
 from .search import PrefixSearch
@@ -28,13 +28,6 @@ def feature_columns(columns: list[str]) -> list[str]:
     return [*[c for c in columns if c not in consumed], f"{V.GROUP_IMPUTED}_imputed", *encoded, V.HASH_OUTPUT]
 
 
-def unfilled(columns: list[str]) -> list[str]:
-    """Numeric inputs that neither a fill rule nor the mean imputer covers."""
-    covered = {*V.FILL, *V.MEAN_IMPUTED, "taxdelinquencyflag"}
-    derived = ("transaction_", *suffixed(V.ONE_HOT, "_onehot"), V.HASH_OUTPUT)
-    return [c for c in feature_columns(columns) if c not in covered and not c.startswith(derived) and not c.endswith("_bin")]
-
-
 def build_pipeline(
     columns: list[str],
     stochastic: bool = True,
@@ -49,19 +42,17 @@ def build_pipeline(
     ``compact_ids`` numbers the raw ids before one-hot encoding: an id of 6111 then needs no 6111
     slots. Slots that never occur cannot be split on, so the trees stay the same, but every
     aggregation of split statistics shrinks by the unused slots.
-    The trees take no missing values, so a second mean imputer covers what is left.
+    What no rule fills stays missing; the trees learn where missing values go.
     """
     imputed = f"{V.GROUP_IMPUTED}_imputed"
     raw = [c for c in V.ONE_HOT if compact_ids and not c.endswith("_indexed")]
     categories = [f"{c}_slot" if c in raw else c for c in V.ONE_HOT]
-    left = unfilled(columns)
     # A text that is only hashed as a category needs no number.
     hashed = [c.removesuffix("_indexed") if hash_categorical and c not in V.ONE_HOT else c for c in V.HASHED]
     indexed = [c for c in V.INDEXED if c not in hashed]
     stages = [
         GroupImputer(inputCol=V.GROUP_IMPUTED, outputCol=imputed, groupCol=V.GROUP, stochastic=stochastic, seed=V.SEED),
         Imputer(inputCols=V.MEAN_IMPUTED, outputCols=V.MEAN_IMPUTED, strategy="mean"),
-        Imputer(inputCols=left, outputCols=left, strategy="mean"),
         StringIndexer(
             inputCols=[*indexed, *raw],
             outputCols=[*suffixed(indexed, "_indexed"), *suffixed(raw, "_slot")],
@@ -75,7 +66,7 @@ def build_pipeline(
             categoricalCols=hashed if hash_categorical else [],
         ),
         VectorAssembler(inputCols=feature_columns(columns), outputCol=V.FEATURES, handleInvalid="keep"),
-        GBTRegressor(
+        HistogramBoosting(
             featuresCol=V.FEATURES, labelCol=V.LABEL, predictionCol=V.PREDICTION, seed=V.SEED, **boosting
         ),
     ]
@@ -88,9 +79,9 @@ def stage_of(pipeline: Pipeline, kind: type):
 
 def search_space(pipeline: Pipeline, iterations: int = V.SEARCH_ITERATIONS, seed: int | None = V.SEED) -> list[dict]:
     """Random parameter maps over the hasher and the boosted trees."""
-    hasher, trees = stage_of(pipeline, FeatureHasher), stage_of(pipeline, GBTRegressor)
+    hasher, trees = stage_of(pipeline, FeatureHasher), stage_of(pipeline, HistogramBoosting)
     owner = {"numFeatures": hasher}
-    convert = {"featureSubsetStrategy": str, "minInfoGain": float}
+    convert = {"minSplitLoss": float}
     grid = RandomGridBuilder(iterations, seed)
     for name, values in V.SEARCH_SPACE.items():
         kind = convert.get(name, lambda v: v)

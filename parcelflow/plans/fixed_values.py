@@ -120,9 +120,11 @@ SEARCH_ITERATIONS = 1000
 SEARCH_SPACE = {
     "maxDepth": [5, 10, 15, 20, 25, 30],
     "maxIter": [16, 32, 64, 128, 256],
+    "regLambda": [float(f"{10 ** (-6 + k / 4):.8e}") for k in range(40)],
     "stepSize": [0.001, 0.002, 0.004, 0.008, 0.01, 0.02, 0.04, 0.08, 0.1],
-    "minInfoGain": [0, 1e-3, 5e-3, 1e-2],
-    "featureSubsetStrategy": [1.0, 0.75, 0.5, 0.25, 0.1],
+    "minSplitLoss": [0, 1e-3, 5e-3, 1e-2],
+    "featureFraction": [1.0, 0.75, 0.5, 0.25, 0.1],
+    "maxLeaves": [100, 200, 400, 800, 1000, 2000, 4000, 10000],
     "subsamplingRate": [1.0, 0.9, 0.8, 0.7],
     "numFeatures": [32, 64, 128, 256],
 }
