@@ -11,8 +11,8 @@ documents, and the documents are read where they lie, without a shuffle.  A larg
 Words are runs of letters and digits, in lower case.  An item counts as found when the stretch has
 ``min_matched`` agreeing words, or for shorter items ``short_percent`` of them.  An item of up to ``short_words`` words
 is found as well when ``short_percent`` of all its words agree in place, wherever the others are: its words are dealt to
-one spaced seed more than words may differ, so one seed is always whole and none is missed.  Items under
-``min_item_words`` words are never looked for; with a lower setting items of 1 to 4 words are found when all words agree.
+one spaced seed more than words may differ, so one seed is always whole and none is missed.  Items of 1 to 4
+words are found when all their words agree; ``min_item_words`` leaves out shorter items where a caller asks for that.
 
 Defined results: null and empty texts hold nothing; null ids are reported as null; repeated rows and items are
 reported one by one; an empty benchmark finds nothing; other columns are ignored.
@@ -37,7 +37,7 @@ class Settings:
     """Masks of one span; a 1 is a position that counts."""
 
     masks: tuple[str, ...] = ("111101111000", "110110101101", "101011011011", "111111110000")
-    min_item_words: int = 5
+    min_item_words: int = 1
     min_matched: int = 13
     short_percent: int = 80
     short_words: int = 24

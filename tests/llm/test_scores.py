@@ -111,7 +111,7 @@ def test_short_items_with_changed_words():
             assert finder.search([" ".join("other" if k in gone else x for k, x in enumerate(w))]) == []
     tail = [" ".join(items[15][:8]), " ".join(items[15][8:])]
     assert finder.search(tail) == []  # two texts are not one
-    tiny = decontam.Finder([(k, " ".join("abcd"[:k])) for k in range(1, 5)], decontam.Settings(min_item_words=1))
+    tiny = decontam.Finder([(k, " ".join("abcd"[:k])) for k in range(1, 5)], decontam.Settings())
     assert [tiny.names[f[1]] for f in tiny.search(["x a b c y"])] == [1, 2, 3]
 
 
