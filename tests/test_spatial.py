@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import geo
 from parcelflow.operators import hull as H
+from parcelflow.operators import polygons as P
 from parcelflow.operators.polygons import points_in_polygons
 from parcelflow.operators import proximity, pyramid
 from parcelflow.operators.proximity import count_within, nearest, nearest_by_type, target_sites
@@ -172,6 +173,65 @@ def test_concave_polygon(spark):
     assert got == {"notch": None, "left": 1, "tip": 1}
 
 
+def in_rings(x, y, rings):
+    """Inside or on the boundary, by all edges."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            crossed = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            if crossed == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def star(rng, x, y, radius, n, jag, whole=False):
+    out = []
+    for i in range(n):
+        r = radius * (1 - jag * rng.random())
+        p = (x + r * math.cos(2 * math.pi * i / n), y + r * math.sin(2 * math.pi * i / n))
+        out.append((float(round(p[0])), float(round(p[1]))) if whole else p)
+    return out
+
+
+@pytest.mark.parametrize("edges_per_cell", [1, 16, 10000])
+def test_quad_tree_of_a_polygon_against_all_edges(spark, edges_per_cell):
+    """Jagged outlines with a hole, repeated and level vertices, teeth across the whole shape, a box on cell borders; many points on boundaries."""
+    rng = random.Random(5)
+    teeth = [(float(i), 50.0 if i % 2 else -50.0) for i in range(-60, 60)] + [(60.0, -70.0), (-60.0, -70.0)]
+    shapes = [
+        [star(rng, 0, 0, 100, 900, 0.3), star(rng, 0, 0, 30, 200, 0.5)],
+        [star(rng, 7, -3, 64, 300, 0.0, whole=True)],
+        [star(rng, 90, 90, 5, 1500, 0.9)],
+        [teeth],
+        [[(0.0, 0.0), (64.0, 0.0), (64.0, 64.0), (0.0, 64.0)]],
+    ]
+    points = [(rng.uniform(-110, 110), rng.uniform(-110, 110)) for _ in range(800)]
+    points += [(90 + rng.uniform(-5, 5), 90 + rng.uniform(-5, 5)) for _ in range(200)]
+    points += [(float(rng.randint(-70, 70)), float(rng.randint(-70, 70))) for _ in range(800)]
+    points += [p for s in shapes for ring in s for p in rng.sample(ring, min(30, len(ring)))]
+    rows = [(k, [[{"x": x, "y": y} for x, y in ring] for ring in s]) for k, s in enumerate(shapes)]
+    polys = spark.createDataFrame(rows, "t int, rings array<array<struct<x:double,y:double>>>")
+    sites = frame(spark, [(i, x, y) for i, (x, y) in enumerate(points)], "id long, x double, y double")
+    held = points_in_polygons(sites, polys, ["t"], "t", edges_per_cell=edges_per_cell)
+    got = sorted((r["id"], r["t"]) for r in held.filter("t is not null").select("id", "t").distinct().collect())
+    assert got == [(i, k) for i, (x, y) in enumerate(points) for k, s in enumerate(shapes) if in_rings(x, y, s)]
+
+
+def test_polygon_of_many_edges(spark):
+    """No cell of a long outline holds more than a few of its edges, and the cells are far fewer than a full grid's."""
+    ring = star(random.Random(2), 0, 0, 100, 20000, 0.01)
+    shapes = spark.createDataFrame([(1, ring_edges_of(ring))], "_polygon_row long, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    cells = P._cells(shapes.withColumns(P._levels(16)))
+    most, count, inner = cells.selectExpr("max(size(edges))", "count(*)", "count_if(edges is null)").first()
+    assert most < 200 and count < 20000 and 0 < inner < count
+
+
+def ring_edges_of(ring):
+    return [{"x1": a, "y1": b, "x2": c, "y2": d} for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1])]
+
+
 def test_polygons_that_share_an_id(spark):
     """Two overlapping rows of one id and equal values are two polygons, not an even number of crossings."""
     square = [{"x": float(a), "y": float(b)} for a, b in ((0, 0), (4, 0), (4, 4), (0, 4))]
