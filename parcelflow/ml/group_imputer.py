@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.draws import normal, row_key
 from ..functions.scalars import nan_to_null
 from ..scratch import materialize
 
@@ -29,6 +30,10 @@ class _GroupImputerParams(HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
     stochastic = Param(
         Params._dummy(), "stochastic", "add normal noise scaled by the group's deviation", TypeConverters.toBoolean
     )
+    keyCols = Param(
+        Params._dummy(), "keyCols", "columns that name a row; noise belongs to them (default: all of the row)", TypeConverters.toListString
+    )
+
     def __init__(self, *args):
         super().__init__(*args)
         self._setDefault(stochastic=False, seed=42)
@@ -45,6 +50,12 @@ class _GroupImputerParams(HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
     def setStochastic(self, value: bool):
         return self._set(stochastic=value)
 
+    def getKeyCols(self) -> list[str] | None:
+        return self.getOrDefault(self.keyCols) if self.isDefined(self.keyCols) else None
+
+    def setKeyCols(self, value: list[str]):
+        return self._set(keyCols=value)
+
     def setInputCol(self, value: str):
         return self._set(inputCol=value)
 
@@ -104,6 +115,7 @@ class GroupImputer(Estimator, _GroupImputerParams, DefaultParamsReadable, Defaul
         groupCol: str | None = None,
         stochastic: bool = False,
         seed: int = 42,
+        keyCols: list[str] | None = None,
     ):
         super().__init__()
         self._set(**self._input_kwargs)
@@ -119,6 +131,7 @@ class GroupImputer(Estimator, _GroupImputerParams, DefaultParamsReadable, Defaul
         groupCol: str | None = None,
         stochastic: bool = False,
         seed: int = 42,
+        keyCols: list[str] | None = None,
     ) -> GroupImputer:
         return self._set(**self._input_kwargs)
 
@@ -148,6 +161,8 @@ class _StatisticsReader(DefaultParamsReader):
 class GroupImputerModel(Model, _GroupImputerParams, MLReadable, MLWritable):
     """Fills nulls from a table of statistics: ``group``, then ``<column>_mean`` and ``<column>_std`` per input column.
 
+    Noise is drawn from the row's key and the column's name, so partitions and retries do not change it.
+
     A saved model holds the table; nothing outside its folder is needed to load it.
     """
 
@@ -168,11 +183,12 @@ class GroupImputerModel(Model, _GroupImputerParams, MLReadable, MLWritable):
         stats = self.statistics
         stats = stats.select(*[F.col(c).alias(f"_imputer_{c}") for c in stats.columns])
         matched = dataset.join(stats, dataset[self.getGroupCol()] == F.col("_imputer_group"), how="left")
+        key = row_key(dataset, self.getKeyCols()) if self.getStochastic() else []
         imputed = {}
-        for i, (c, out) in enumerate(zip(inputs, outputs)):
+        for c, out in zip(inputs, outputs):
             value = F.col(f"_imputer_{c}_mean")
             if self.getStochastic():
-                value = value + F.randn(self.getSeed() + i) * F.col(f"_imputer_{c}_std")
+                value = value + normal(key, self.getSeed(), c) * F.col(f"_imputer_{c}_std")
             imputed[out] = F.coalesce(F.col(c), value).cast(dataset.schema[c].dataType)
         return matched.withColumns(imputed).drop(*stats.columns)
 

@@ -10,9 +10,11 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import row_key, uniform
 from ..ml.pipeline import build_pipeline, cross_validator, search_space
 from ..ml.preprocess import Preprocess
 from ..ml.run_log import log_run
+from ..operators.sampling import split
 from ..operators.statistics import mean_absolute_error
 from ..scratch import materialize
 from . import fixed_values as V
@@ -26,14 +28,15 @@ class Training:
     run_name: str | None
 
 
-def train_test(df: DataFrame, ratio: float = V.TRAIN_RATIO, seed: int = V.SEED) -> tuple[DataFrame, DataFrame]:
-    """Random train and test parts of one written table.
+def train_test(
+    df: DataFrame, ratio: float = V.TRAIN_RATIO, seed: int = V.SEED, key: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Random train and test parts of one written table; rows with equal keys (by default, equal rows) go to one part.
 
-    The rows are written where they lie, with their random draw: the many passes of the fits neither repeat the ingest
-    nor draw again, and nothing is shuffled.
+    The rows are written where they lie: the many passes of the fits do not repeat the ingest, and nothing is shuffled.
     """
-    drawn = materialize(df.withColumn("_draw", F.rand(seed)), "prepared")
-    return drawn.filter(F.col("_draw") < ratio).drop("_draw"), drawn.filter(F.col("_draw") >= ratio).drop("_draw")
+    train_part, test_part = split(materialize(df, "prepared"), [ratio, 1 - ratio], key, seed)
+    return train_part, test_part
 
 
 def train(
@@ -54,7 +57,9 @@ def train(
     train_part, test_part = train_test(df)
     rules = Preprocess(mode=mode).fit(train_part)
     # Written once with its folds, for all fits of the search.
-    prepared = rules.transform(train_part).withColumn("_fold", F.floor(F.rand(V.SEED + 1) * V.FOLDS).cast("int"))
+    prepared = rules.transform(train_part)
+    fold = F.floor(uniform(row_key(prepared), V.SEED, "fold") * V.FOLDS).cast("int")
+    prepared = prepared.withColumn("_fold", fold)
     prepared = materialize(prepared, "folds")
     pipeline = build_pipeline([c for c in prepared.columns if c != "_fold"], **boosting)
     draws = maps(pipeline) if maps else search_space(pipeline, iterations)

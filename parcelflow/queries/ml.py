@@ -20,6 +20,7 @@ from ..plans import fixed_values as V
 from ..plans.training import Training, train, train_test
 from ..scratch import scratch_path
 from .registry import query
+from .statistics import draw_sql
 from .standins import cte, standin, table, wide
 
 _STATS = (
@@ -58,21 +59,22 @@ def group_impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("parcelid", F.round("area_imputed", 6).alias("area_imputed"), "garage_imputed")
 
 
+_NOISE = (
+    f"sqrt(-2e0 * ln({draw_sql('area', 'parcelid')})) * cos(2e0 * pi() * {draw_sql('area', 'parcelid', start=14)})"
+)
+
+
 @query(
     cte("props")
-    + " SELECT count(*) AS n, count(area) AS kept, count(*) - count(area) AS filled, CAST(0 AS BIGINT) AS still_null FROM props"
+    + ", s AS (SELECT zoning, avg(area) AS mean, coalesce(stddev_samp(area), 0e0) AS std FROM props GROUP BY zoning)"
+    + f" SELECT p.parcelid, round(coalesce(p.area, s.mean + {_NOISE} * s.std), 6) AS filled_area"
+    + " FROM props p LEFT JOIN s ON p.zoning = s.zoning"
 )
 def group_impute_stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold with noise: values stay as they are, every null is filled."""
+    """Nulls become the group's mean and noise that belongs to the row."""
     props = standin(spark, sf_dir, "props")
-    imputer = GroupImputer(inputCol="area", outputCol="filled_area", groupCol="zoning", stochastic=True)
-    done = imputer.fit(props).transform(props)
-    return done.agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col("area") == F.col("filled_area"), 1)).alias("kept"),
-        F.count(F.when(F.col("area").isNull() & F.col("filled_area").isNotNull(), 1)).alias("filled"),
-        F.count(F.when(F.col("filled_area").isNull(), 1)).alias("still_null"),
-    )
+    imputer = GroupImputer(inputCol="area", outputCol="filled_area", groupCol="zoning", stochastic=True, keyCols=["parcelid"])
+    return imputer.fit(props).transform(props).select("parcelid", F.round("filled_area", 6).alias("filled_area"))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import statistics as S
 from ..operators.correlations import correlation
 from ..operators.correlations import top_correlations as strongest
+from ..operators.sampling import sample
 from ..plans.training import train_test
 from .registry import query
 from .standins import cte, standin, standin_sql, table
@@ -203,30 +204,26 @@ def mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.mean_absolute_error(line, "l_extendedprice", "guess"), 6, "mae")
 
 
-@query("SELECT count(*) AS n, true AS subset, true AS near_fraction FROM lineitem")
+def draw_sql(stream: str, *key: str, start: int = 1) -> str:
+    """The draw of ``functions.draws`` in SQL."""
+    parts = "".join(f" || chr(10) || coalesce('=' || {c}, '?')" for c in key)
+    return f"((('0x' || substr(md5('42/{stream}'{parts}), {start}, 13))::BIGINT + 0.5e0) / 4503599627370496e0)"
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE "
+    + draw_sql("sample", "l_orderkey", "l_linenumber")
+    + " < 0.2e0"
+)
 def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of a 20 % sample: rows come from the table and are about that many."""
+    """A 20 % sample, drawn by the rows' keys."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    keys = line.columns
-    taken = line.sample(0.2, seed=42).groupBy(*keys).agg(F.count("*").alias("taken"))
-    every = line.groupBy(*keys).agg(F.count("*").alias("have"))
-    both = every.join(taken, on=keys, how="full").fillna(0, subset=["have", "taken"])
-    return both.agg(
-        F.sum("have").alias("n"),
-        F.min(F.col("taken") <= F.col("have")).alias("subset"),
-        (F.sum("taken") / F.sum("have")).between(0.17, 0.23).alias("near_fraction"),
-    )
+    return sample(line, 0.2, ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS lost FROM orders")
+@query(f"SELECT o_orderkey, {draw_sql('split', 'o_orderkey')} < 0.75e0 AS train FROM orders")
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and test parts are disjoint and together the whole table."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    train, test = train_test(orders, 0.75)
-    parts = train.withColumn("train", F.lit(1)).join(test.withColumn("test", F.lit(1)), on="o_orderkey", how="full")
-    both = orders.join(parts, on="o_orderkey", how="left")
-    return both.agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col("train").isNotNull() & F.col("test").isNotNull(), 1)).alias("shared"),
-        F.count(F.when(F.col("train").isNull() & F.col("test").isNull(), 1)).alias("lost"),
-    )
+    train, test = train_test(orders, 0.75, seed=42)
+    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))

@@ -11,11 +11,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+from parcelflow.functions.draws import normal, row_key, uniform
 from parcelflow.ml import search
 from parcelflow.ml.group_imputer import GroupImputer, GroupImputerModel
 from parcelflow.ml.pipeline import feature_columns, search_space, build_pipeline
 from parcelflow.ml.random_grid import RandomGridBuilder
 from parcelflow.ml.run_log import best_result
+from parcelflow.operators.sampling import sample, split
 from parcelflow.plans import fixed_values as V
 from parcelflow.scratch import materialize
 
@@ -47,6 +49,36 @@ def test_noise_keeps_values_and_single_groups(grouped):
     assert filled["b"] == 7.0 and filled["a"] is not None and filled["c"] is None and filled[None] is None
 
 
+def test_draws_do_not_depend_on_place(spark):
+    """Split, sample and noise are the same for one, three and seventeen partitions and any order; equal keys draw alike, streams differ."""
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN CAST(id % 97 AS DOUBLE) END AS v", "id % 5 AS g")
+    imputer = GroupImputer(inputCol="v", outputCol="out", groupCol="g", stochastic=True, keyCols=["id"])
+    model = imputer.fit(df)
+    seen = []
+    for parts in (1, 3, 17):
+        laid = df.orderBy(F.rand(parts)).repartition(parts)
+        noise = {r["id"]: r["out"] for r in model.transform(laid).collect()}
+        sets = [{r["id"] for r in p.collect()} for p in (sample(laid, 0.1, ["id"]), sample(laid, 0.3, ["id"]), *split(laid, [3, 1, 0], ["id"]))]
+        seen.append((noise, sets))
+    assert seen[0] == seen[1] == seen[2]
+    small, large, one, two, none = seen[0][1]
+    assert small < large and 1800 < len(small) < 2200 and 5700 < len(large) < 6300
+    assert not one & two and len(one | two) == 20_000 and 14_700 < len(one) < 15_300 and not none
+
+
+def test_draws_are_normal_and_tell_nulls_from_texts(spark):
+    df = spark.createDataFrame([("a", None), ("a", "?"), ("a", "="), (None, None), ("a", None)], "k string, m string")
+    got = [r[0] for r in df.select(uniform(row_key(df), 1)).collect()]
+    assert got[0] == got[4] and len(set(got)) == 4
+    many = spark.range(100_000).withColumn("z", normal([F.col("id")], 7)).withColumn("y", normal([F.col("id")], 7, "other"))
+    mean, std, below, both = many.selectExpr("avg(z)", "stddev(z)", "avg(CAST(z < -1.96 AS INT))", "corr(z, y)").first()
+    assert abs(mean) < 0.015 and abs(std - 1) < 0.01 and abs(below - 0.025) < 0.003 and abs(both) < 0.015
+    with pytest.raises(ValueError):
+        row_key(df, ["absent"])
+    with pytest.raises(ValueError):
+        sample(df, 1.5)
+
+
 def test_unseen_group_and_persistence(spark, grouped, tmp_path):
     imputer = GroupImputer(inputCol="v", outputCol="out", groupCol="g")
     model = Pipeline(stages=[imputer]).fit(grouped)
