@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ml.group_imputer import GroupImputer, group_statistics
+from ..ml.label_index import LabelIndexer
 from ..ml.pipeline import build_pipeline, evaluator, search_space
 from ..ml.preprocess import preprocess
 from ..ml.run_log import log_run, read_log
@@ -89,16 +90,21 @@ def impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("parcelid", *[F.round(c, 6).alias(c) for c in columns])
 
 
+def _numbers_sql(label: str) -> str:
+    return f"SELECT {label} AS label, row_number() OVER (ORDER BY count(*) DESC, {label}) - 1 AS i FROM orders GROUP BY {label}"
+
+
 @query(
-    """
-    SELECT o.o_orderkey, CAST(r.i AS DOUBLE) AS priority_indexed FROM orders o JOIN (
-      SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS i
-      FROM orders GROUP BY o_orderpriority) r ON o.o_orderpriority = r.o_orderpriority"""
+    f"""
+    WITH r AS ({_numbers_sql("o_orderpriority")}), k AS ({_numbers_sql("CAST(o_orderkey AS VARCHAR)")})
+    SELECT o.o_orderkey, CAST(r.i AS DOUBLE) AS priority_indexed, CAST(k.i AS DOUBLE) AS key_indexed
+    FROM orders o JOIN r ON o.o_orderpriority = r.label JOIN k ON CAST(o_orderkey AS VARCHAR) = k.label"""
 )
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    indexer = StringIndexer(inputCols=["o_orderpriority"], outputCols=["priority_indexed"], handleInvalid="keep")
-    return indexer.fit(orders).transform(orders).select("o_orderkey", "priority_indexed")
+    """A column of few labels, and one with a label per row."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderkey").cast("string").alias("key"))
+    indexer = LabelIndexer(inputCols=["o_orderpriority", "key"], outputCols=["priority_indexed", "key_indexed"], handleInvalid="keep")
+    return indexer.fit(orders).transform(orders).select("o_orderkey", "priority_indexed", "key_indexed")
 
 
 @query(
@@ -136,22 +142,47 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SLOTS = 4
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The published 32-bit hash, signed; for the SQL, beside the hasher's own."""
+    word, mask = 0xFFFFFFFF, seed
+    turned = lambda v, by: ((v << by) | (v >> (32 - by))) & word
+    whole = len(data) // 4 * 4
+    tail = data[whole:]
+    for i in range(0, whole, 4):
+        k = turned(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & word, 15) * 0x1B873593 & word
+        mask = (turned(mask ^ k, 13) * 5 + 0xE6546B64) & word
+    if tail:
+        mask ^= turned(int.from_bytes(tail, "little") * 0xCC9E2D51 & word, 15) * 0x1B873593 & word
+    mask ^= len(data)
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        mask = (mask ^ (mask >> by)) * factor & word
+    return mask - (1 << 32) if mask >> 31 else mask
+
+
+def _slot(term: str) -> int:
+    return murmur3(term.encode()) % _SLOTS
+
+
 @query(
-    "SELECT o_orderkey, 64 AS size, 1e0 + round(o_totalprice, 4) AS total FROM orders"
+    f"""
+    WITH s AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {_slot('o_orderpriority=' + p)})" for p in _PRIORITIES)}) t(priority, slot))
+    SELECT o_orderkey, CAST(n.slot AS INT) AS slot, round(CASE WHEN s.slot = n.slot THEN 1e0 ELSE 0e0 END
+      + CASE WHEN n.slot = {_slot("o_totalprice")} THEN o_totalprice ELSE 0e0 END, 4) AS value
+    FROM orders JOIN s ON o_orderpriority = s.priority, range({_SLOTS}) n(slot)"""
 )
 def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A category adds 1 to its slot, a number adds its value; the sum does not depend on the hash."""
+    """Every slot of every row: a category adds 1 to the slot of its hash, a number its value; few slots, so that some are shared."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    hasher = FeatureHasher(inputCols=["o_orderpriority", "o_totalprice"], outputCol="v", numFeatures=64)
+    hasher = FeatureHasher(inputCols=["o_orderpriority", "o_totalprice"], outputCol="v", numFeatures=_SLOTS)
     vectors = hasher.transform(orders).select("o_orderkey", vector_to_array("v").alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return vectors.select("o_orderkey", F.size("v").alias("size"), F.round(total, 4).alias("total"))
-
-
-_SMALL_TREES = {"maxIter": 3, "maxDepth": 4}
+    slots = vectors.select("o_orderkey", F.posexplode("v").alias("slot", "value"))
+    return slots.select("o_orderkey", "slot", F.round("value", 4).alias("value"))
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS without_prediction, true AS learnt, true AS holds FROM orders")
 def fit_predict_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline with its own settings over the full-width table, against always guessing the training mean:
     what was learnt has the smaller squared error on the training part, and at most half as much again on the other."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, Imputer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions.draws import normal, row_key, uniform
 from parcelflow.ml import search
 from parcelflow.ml.group_imputer import GroupImputer, GroupImputerModel
+from parcelflow.ml.label_index import LabelIndexer, LabelIndexModel
 from parcelflow.ml.pipeline import feature_columns, search_space, build_pipeline
 from parcelflow.ml.random_grid import RandomGridBuilder
 from parcelflow.ml.run_log import best_result
@@ -79,6 +80,28 @@ def test_draws_are_normal_and_tell_nulls_from_texts(spark):
         sample(df, 1.5)
 
 
+def test_label_index_is_spark_s_and_saved_as_a_table(spark, tmp_path):
+    """Counts, ties, nulls, unseen labels, two columns at once, numbers as labels; the loaded model reads nothing outside its folder."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", "dd", "", None]), rng.randint(0, 400)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t string, k int")
+    names = {"inputCols": ["t", "k"], "outputCols": ["ti", "ki"], "handleInvalid": "keep"}
+    other = df.unionByName(spark.createDataFrame([(-1, "new", 999), (-2, None, None)], df.schema))
+    want = {r["id"]: (r["ti"], r["ki"]) for r in StringIndexer(**names).fit(df).transform(other).collect()}
+    model = LabelIndexer(**names).fit(df)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    for m in (model, LabelIndexModel.load(str(tmp_path / "model"))):
+        done = m.transform(other)
+        assert {r["id"]: (r["ti"], r["ki"]) for r in done.collect()} == want and done.count() == 3002
+        assert done.schema["ti"].metadata["ml_attr"]["num_vals"] == 6
+    assert model.copy({model.handleInvalid: "skip"}).transform(other).count() == sum(t is not None for _, t, _ in rows)
+    with pytest.raises(Exception, match="no number for a label"):
+        model.copy({model.handleInvalid: "error"}).transform(other).collect()
+    wide = OneHotEncoder(inputCols=["ti"], outputCols=["o"], handleInvalid="keep").fit(done).transform(done)
+    assert wide.select("o").first()[0].size == 6
+    assert LabelIndexer(**names).fit(df.limit(0)).transform(df).agg(F.sum("ti"), F.sum("ki")).first()[:] == (0.0, 0.0)
+
+
 def test_unseen_group_and_persistence(spark, grouped, tmp_path):
     imputer = GroupImputer(inputCol="v", outputCol="out", groupCol="g")
     model = Pipeline(stages=[imputer]).fit(grouped)
