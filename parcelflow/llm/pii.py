@@ -296,8 +296,13 @@ def _ssn(m: Column, key: str) -> Column:
     return _let(_digits(m), of)
 
 
+# Calling codes of one and two digits; all others have three.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(\+1|\+[0-9]{1,3}[ .-]|\+[0-9]{2}|1[ .-])?", 0)
+    """The calling code stays, read from the digits alone: a number gets the same digits however it is spaced."""
+    head = F.regexp_extract(m, rf"^(\+(?:{_COUNTRY})|1[ .-])?", 0)
 
     def of(h: Column) -> Column:
         body = F.substring(m, F.length(h) + 1, F.length(m))

@@ -162,6 +162,21 @@ MORE = [
 ]
 
 
+def test_calling_codes(spark):
+    """Compact, spaced and dashed forms of a number get the same digits, and keep a calling code of one, two or three digits."""
+    numbers = {"7": ["916", "123", "45", "67"], "1": ["389", "555", "5010"], "49": ["30", "123", "4567"], "353": ["86", "123", "4567"], "971": ["50", "1234567"]}
+    forms = [(code, by.join([f"+{code}", *parts])) for code, parts in numbers.items() for by in ("", " ", "-")]
+    forms += [(code, f"+{code}{parts[0]} {''.join(parts[1:])}") for code, parts in numbers.items() if code != "1"]
+    got = pii.report(frame(spark, [(k, f"call {form} now") for k, (_, form) in enumerate(forms)]))
+    text = {r["doc_id"]: r["text"] for r in got.collect()}
+    made: dict = {}
+    for k, (code, form) in enumerate(forms):
+        new = re.fullmatch(r"call (.+) now", text[k])[1]
+        assert new != form and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", form), (form, new)
+        made.setdefault(code, set()).add(re.sub(r"[^0-9]", "", new))
+    assert all(len(v) == 1 and next(iter(v)).startswith(code) for code, v in made.items()), made
+
+
 def test_further_formats(spark):
     rows = [(k, f"see {v}; end") for k, v in enumerate(MORE + ["212-555-1234", "378282246310005", "01/02/2020", "2020.1.5", "13.13.2020", "3782 822463 10006", "0/5/2020"])]
     got = {r["doc_id"]: r["text"][4:-5] for r in pii.report(frame(spark, rows)).collect()}
