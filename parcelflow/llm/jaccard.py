@@ -6,16 +6,16 @@ A document is the set of its shingles of ``shingle`` words, as 64-bit hashes; tw
 1. A document with a link shares part of its prefix (the shingles with the least hashes, half of them) with another one's.  Documents whose
    prefix does not recur often enough in all documents (``blocks.recurring``) have no link and leave.
 2. Documents with equal sets are one.
-3. Similar documents are partitioned into groups: documents with an equal least hash are compared with the first such, first within
-   their block, then across blocks, and join its group when they link.  Groups are connected inside.
-4. The token-group matrix holds the shingles of every group, the union of its members'.  A document meets other groups by
-   its rarest shingles, one of which a link must share; the count of its shingles in the union bounds every overlap with a
-   member, and only groups where it suffices are opened.
-5. An opened group is compared by its first member, and if that does not connect both groups, by all members.
-6. Links between groups give components, in alternating stars.
+3. Similar documents are partitioned into groups: those whose recurring shingles have the same least hash, dealt by hash to
+   several groups where they hold more than ``group_shingles``.
+4. The token-group matrix holds the rare shingles of every group, the union of its members', with their sizes.  Groups
+   of different least hashes meet where they share one, which a link must; groups of one least hash always meet.
+5. Where two groups meet, the union of all shingles of one bounds the overlap of every document of the other with its members;
+   the group is opened for those where that suffices, and for none that is connected with all of it already.
+6. Links give components, in alternating stars.
 
-Prefixes for step 4 take the rarest shingles first, so a passage in a third of all documents brings no candidates;
-copies are one document, near copies one group, and no pairs within a group are listed.
+Prefixes for step 4 take the rarest shingles first, so a passage in a third of all documents brings no candidates.
+Copies are one document; documents alike, linked or not, meet as groups, so joins hold pairs of groups and not of documents.
 
 Defined results: a null text, or one without words, is an empty set and links with nothing, not even another such; with fewer than
 ``shingle`` words the words are one shingle; a null id is never the smallest unless there is no other; repeated rows are
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.scratch import materialize
@@ -43,11 +43,11 @@ from .phrases import Words
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent`` is at least 50; ``tries`` is the number of least hashes that lead to a group within a block."""
+    """``percent`` is at least 50; ``group_shingles`` bounds what a task compares at once, results do not depend on it."""
 
     shingle: int = 5
     percent: int = 75
-    tries: int = 3
+    group_shingles: int = 200_000
     block_bytes: int = B.BLOCK_BYTES
 
     def overlap(self, n):
@@ -140,46 +140,18 @@ def _recurring_tokens(sets: DataFrame, buckets: int, settings: Settings) -> Data
     return B.counted(sent)
 
 
-_MASKS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def least_hashes(tokens: np.ndarray, tries: int) -> list[int]:
-    """Least hash of a set under several orders."""
+def least_hash(tokens: np.ndarray) -> int:
+    """The shingle that comes first in a mixed order, as a signed number."""
     with np.errstate(over="ignore"):
-        mixed = [(tokens ^ m) * np.uint64(0xD6E8FEB86659FD93) for m in _MASKS[:tries]]
-    return [int((m ^ (m >> np.uint64(32))).min()) for m in mixed]
-
-
-class Leaders:
-    """First documents of groups, by least hash; bounded by the documents looked at."""
-
-    _EACH = 32  # leaders that one hash leads to; groups that are missed here are found by step 4
-
-    def __init__(self, settings: Settings) -> None:
-        self.settings, self.by_hash = settings, {}
-
-    def join(self, uid: int, tokens: np.ndarray, hashes: list[int]) -> int:
-        """The leader that the document links to, or itself, which then leads."""
-        seen = set()
-        for k, h in enumerate(hashes):
-            for leader, other in self.by_hash.get((k, h), ()):
-                if leader not in seen:
-                    seen.add(leader)
-                    common = len(np.intersect1d(tokens, other, assume_unique=True))
-                    if self.settings.linked(common, len(tokens), len(other)):
-                        return leader
-        for k, h in enumerate(hashes):
-            own = self.by_hash.setdefault((k, h), [])
-            if len(own) < self._EACH:
-                own.append((uid, tokens))
-        return uid
+        mixed = tokens * np.uint64(0xD6E8FEB86659FD93)
+    return int((mixed ^ (mixed >> np.uint64(32))).min()) - (1 << 63)
 
 
-_MEMBER = "uid long, n long, leader long, least long, prefix array<long>, tokens array<long>"
+_MEMBER = "uid long, n long, least long, prefix array<long>, tokens array<long>"
 
 
 def _members(sets: DataFrame, firsts: DataFrame, settings: Settings, buckets: int) -> DataFrame:
-    """The distinct sets with their local leader and their prefix of rare shingles.
+    """The distinct sets with the least hash of their recurring shingles and their prefix of rare shingles.
 
     A set of which fewer shingles recur than any link needs leaves.
     """
@@ -191,7 +163,7 @@ def _members(sets: DataFrame, firsts: DataFrame, settings: Settings, buckets: in
         first = set(right["uid"].dropna().astype("int64"))
         left = left[left["uid"].isin(first)].sort_values("uid")
         back_rows = right[right["keys"].notna()].astype({"bucket": "int64"})
-        leaders, rows = Leaders(settings), []
+        rows = []
         sizes = [len(t) for t in left["tokens"]]
         if sizes:
             flat = np.concatenate([np.asarray(t) for t in left["tokens"]]).view(np.uint64)
@@ -202,82 +174,101 @@ def _members(sets: DataFrame, firsts: DataFrame, settings: Settings, buckets: in
                     continue
                 # Rarest first, in steps of doubling; the tokens are in order of their hashes.
                 prefix = tokens[np.argsort(size, kind="stable")][: n - settings.overlap(n) + 1]
-                hashes = least_hashes(tokens, settings.tries)
-                leader = leaders.join(uid, tokens, hashes)
-                rows.append((uid, n, leader, hashes[0] - (1 << 63), prefix.view(np.int64), tokens.view(np.int64)))
-        return pd.DataFrame(rows, columns=["uid", "n", "leader", "least", "prefix", "tokens"])
+                # Shingles of one text alone would part it from texts alike.
+                rows.append((uid, n, least_hash(tokens[size >= 0]), prefix.view(np.int64), tokens.view(np.int64)))
+        return pd.DataFrame(rows, columns=["uid", "n", "least", "prefix", "tokens"])
 
     held = sets.select(F.shiftright("uid", 16).alias("block"), "uid", "tokens")
     made = held.groupBy("block").cogroup(back.unionByName(own).groupBy("block")).applyInPandas(run, _MEMBER)
     return materialize(made, "members")
 
 
-def _groups(members: DataFrame, settings: Settings) -> DataFrame:
-    """(leader, g): the leaders of all blocks joined to the first leader of their least hash that they link to."""
+def _groups(members: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The groups: (uid, n, least, g, prefix) of the members, and the pairs (g, og) of groups of one least hash."""
+    one = members.groupBy("least").agg(F.sum("n").alias("size"), F.count("*").alias("members"))
+    one = one.filter("members > 1").withColumn("parts", F.ceil(F.col("size") / settings.group_shingles).cast("long"))
+    one = materialize(one.select(F.col("least").alias("of"), "parts"), "families")
+    name = lambda least, part: F.xxhash64(least, part)
+    part = F.coalesce(F.pmod(F.xxhash64("uid"), "parts"), F.lit(0).cast("long"))
+    placed = members.select("uid", "n", "least", "prefix").join(one, F.col("least") == F.col("of"), "left")
+    placed = materialize(placed.select("uid", "n", "least", name(F.col("least"), part).alias("g"), "prefix"), "grouped")
+    low = one.select("of", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("a"))
+    both = low.select("of", "a", F.explode(F.sequence("a", F.col("parts") - 1)).alias("b"))
+    return placed, both.select(name(F.col("of"), F.col("a")).alias("g"), name(F.col("of"), F.col("b")).alias("og"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders, last = Leaders(settings), None
-        for batch in batches:
-            uids, joined = batch.column(0).to_pylist(), []
-            lists = batch.column(2)
-            flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            for i, (uid, least) in enumerate(zip(uids, batch.column(1).to_pylist())):
-                if least != last:
-                    leaders, last = Leaders(settings), least
-                joined.append(leaders.join(uid, flat[offsets[i] : offsets[i + 1]].copy(), [least]))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(joined, pa.int64())], names=["leader", "g"])
 
-    # A block sends one leader of a kind at most, so no least hash is hot.
-    own = members.filter("uid = leader").select("uid", "least", "tokens")
-    return own.repartition("least").sortWithinPartitions("least", "uid").mapInArrow(run, "leader long, g long")
+def _met(placed: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (g, og) of groups of different least hashes that share a rare shingle of sets of fitting sizes."""
+    rare = placed.select("g", "least", "n", F.explode("prefix").alias("token"))
+    # The matrix, a row per group and rare shingle, with the sizes of the sets behind.
+    matrix = rare.groupBy("token", "g", "least").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = matrix.groupBy(F.col("token").alias("t")).agg(F.count_distinct("least").alias("groups")).filter("groups > 1")
+    matrix = materialize(matrix.join(shared.select("t"), F.col("token") == F.col("t")).drop("t"), "matrix")
+    other = matrix.select("token", *[F.col(c).alias(f"o{c}") for c in ("g", "least", "low", "high")])
+    fits = (F.col("high") * 100 >= F.col("olow") * settings.percent) & (F.col("ohigh") * 100 >= F.col("low") * settings.percent)
+    met = matrix.join(other, "token").filter((F.col("least") != F.col("oleast")) & (F.col("g") < F.col("og")) & fits)
+    return met.select("g", "og").distinct()
 
 
-def _common(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
 
 
-def _links(pairs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): groups g and og of the pairs (q, d, g, og) whose documents link."""
-    one = members.select(F.col("uid").alias("q"), F.col("n").alias("qn"), F.col("tokens").alias("qt"))
-    two = members.select(F.col("uid").alias("d"), F.col("n").alias("dn"), F.col("tokens").alias("dt"))
-    both = pairs.join(one, "q").join(two, "d")
-    linked = settings.linked(_common(F.col("qt"), F.col("dt")), F.col("qn"), F.col("dn"))
-    return both.filter(linked).select(F.col("g").alias("a"), F.col("og").alias("b"))
+def links_of(uids: np.ndarray, sets: list[np.ndarray], first: int, settings: Settings) -> list[tuple[int, int]]:
+    """Links that connect what is linked: of the sets from ``first`` on with those before, or of all if ``first`` is 0.
 
-
-def _between_groups(members: DataFrame, placed: DataFrame, settings: Settings) -> DataFrame:
-    """(node, root) of the groups that are linked with others.
-
-    ``placed`` has the group of every member; the sets themselves move for candidates only.
+    The union of the group asked bounds the overlap of every set with any of its members; only sets for which it
+    suffices are compared, and those that are connected with all of the group already are not.
     """
-    rare = placed.select("uid", "g", "n", F.explode("prefix").alias("token"))
-    # The matrix: a row per group and shingle. First its part of rare shingles, with the sizes of the sets behind.
-    of_group = rare.groupBy("token", F.col("g").alias("og")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = of_group.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("groups")).filter("groups > 1")
-    of_group = materialize(of_group.join(shared.select("t"), F.col("token") == F.col("t")).drop("t"), "group-prefixes")
-    met = rare.join(of_group, "token").filter(
-        (F.col("g") > F.col("og"))
-        & (F.col("high") * 100 >= F.col("n") * settings.percent)
-        & (F.col("n") * 100 >= F.col("low") * settings.percent)
-    )
-    met = materialize(met.select(F.col("uid").alias("q"), "g", "n", "og").distinct(), "met")
-    # Then the unions of the groups that were met, and how much of each document they hold.
-    wanted = placed.join(met.select("og").distinct(), F.col("g") == F.col("og")).select("uid", "og")
-    union = members.join(wanted, "uid").select("og", F.explode("tokens").alias("token")).distinct()
-    asked = met.select("q", "og").join(members.select(F.col("uid").alias("q"), "tokens"), "q")
-    asked = asked.select("q", "og", F.explode("tokens").alias("token"))
-    bound = asked.join(union, ["og", "token"]).groupBy("q", "og").agg(F.count("*").alias("held"))
-    opened = met.join(bound, ["q", "og"]).filter(F.col("held") * 100 >= F.col("n") * settings.percent)
-    opened = materialize(opened.select("q", "g", "og"), "opened")
-
-    links = materialize(_links(opened.withColumn("d", F.col("og")), members, settings).distinct(), "links")
-    tied = materialize(components(links), "tied")
-    root = lambda name: tied.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    apart = opened.join(root("g"), "g", "left").join(root("og"), "og", "left")
-    apart = apart.filter(F.coalesce("g_root", "g") != F.coalesce("og_root", "og")).select("q", "g", "og")
-    others = placed.filter("uid != g").select(F.col("uid").alias("d"), F.col("g").alias("og"))
-    more = _links(apart.join(others, "og"), members, settings)
-    return materialize(components(links.unionByName(more)), "tied")
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    asked, asking = (sets[:first], sets[first:]) if first else (sets, sets)
+    if not asked or not asking:
+        return []
+    flat, owner = _flat(asked)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sizes = np.array([len(t) for t in asked])
+    words, of = _flat(asking)
+    low = np.searchsorted(flat, words, "left")
+    many = np.searchsorted(flat, words, "right") - low
+    held = np.bincount(of[many > (0 if first else 1)], minlength=len(asking))  # within a group a set holds its own
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in asking])])
+    found = []
+    for k in np.flatnonzero(held >= [settings.overlap(len(t)) for t in asking]).tolist():
+        mine = find(first + k)
+        if all(find(i) == mine for i in range(len(asked))):
+            continue
+        a, m = low[ends[k] : ends[k + 1]], many[ends[k] : ends[k + 1]]
+        at = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
+        common = np.bincount(owner[at], minlength=len(asked))
+        for i in np.flatnonzero(settings.linked(common, ends[k + 1] - ends[k], sizes)).tolist():
+            if find(i) != find(first + k):
+                root[find(i)] = find(first + k)
+                found.append((int(uids[first + k]), int(uids[i])))
+    return found
+
+
+def _linked(pairs: DataFrame, placed: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links between members of the pairs (g, og) of groups, enough to connect all that are linked."""
+    ends = pairs.select("g", "og", F.explode(F.when(F.col("g") == F.col("og"), F.array("g")).otherwise(F.array("g", "og"))).alias("end"))
+    named = placed.select("uid", F.col("g").alias("end"))
+    sent = materialize(named.join(ends, "end").select("uid", "g", "og", (F.col("end") != F.col("g")).alias("right")), "opened")
+    held = sent.join(members.select("uid", "tokens"), "uid")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["right", "uid"])
+        sets = [np.asarray(t, np.int64) for t in rows["tokens"]]
+        first = int((~rows["right"]).sum()) if rows["right"].any() else 0
+        return pd.DataFrame(links_of(rows["uid"].to_numpy(), sets, first, settings), columns=["a", "b"]).astype("int64")
+
+    return held.groupBy("g", "og").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -291,10 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = possible.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "uid")).alias("m"))
     firsts = materialize(firsts.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.uid").alias("uid")), "firsts")
     members = _members(possible, firsts, settings, B.buckets_for(texts, 0.16))
-    groups = materialize(_groups(members, settings), "groups")
-    placed = materialize(members.select("uid", "n", "leader", "prefix").join(groups, "leader"), "grouped")
-    tied = _between_groups(members, placed, settings)
-    rooted = placed.select("uid", "g").join(tied, F.col("g") == F.col("node"), "left").select("uid", F.coalesce("root", "g").alias("root"))
+    placed, own = _groups(members, settings)
+    pairs = own.unionByName(_met(placed, settings)).distinct()
+    tied = materialize(components(_linked(pairs, placed, members, settings)), "tied")
+    rooted = placed.select("uid").join(tied, F.col("uid") == F.col("node"), "left").select("uid", F.coalesce("root", "uid").alias("root"))
     placed = firsts.join(rooted, "uid")
     least = placed.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc_id", "uid")).alias("m"))
     named = placed.join(materialize(least, "least"), F.col("root") == F.col("r"))

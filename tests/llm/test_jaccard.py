@@ -47,12 +47,53 @@ def test_near_duplicates(spark):
         base[rng.randrange(len(base))] = f"drift{k}"
         rows.append((1000 + k, " ".join(base)))
     want, n = brute(rows)
-    for block_bytes in (4_000, 1 << 20):
-        got = jaccard.near_duplicates(frame(spark, rows), settings=jaccard.Settings(block_bytes=block_bytes)).collect()
+    for block_bytes, group_shingles in ((4_000, 300), (1 << 20, 200_000)):
+        settings = jaccard.Settings(block_bytes=block_bytes, group_shingles=group_shingles)
+        got = jaccard.near_duplicates(frame(spark, rows), settings=settings).collect()
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
         assert sum(r["first"] for r in got) == n
 
 
+def test_texts_alike_that_are_not_all_linked(spark):
+    rng = random.Random(8)
+    base = [f"word{k}" for k in range(120)]
+    rows = []
+    for k in range(500):
+        own = list(base)
+        for _ in range(2 + k % 4):  # every change takes five shingles, so similarities lie on both sides of 0.75
+            own[rng.randrange(len(own))] = f"new{k}x{rng.randrange(9)}"
+        rows.append((k, " ".join(own)))
+    want, n = brute(rows)
+    assert 20 < n < 480
+    for group_shingles in (2_000, 200_000):
+        settings = jaccard.Settings(block_bytes=20_000, group_shingles=group_shingles)
+        got = jaccard.near_duplicates(frame(spark, rows), settings=settings).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_links_of_connects_what_is_linked():
+    rng = random.Random(4)
+    settings = jaccard.Settings()
+    for split in (0, 0, 9, 21):
+        sets = []
+        for k in range(30):
+            kept = [t for t in range(40) if rng.random() < 0.9]
+            sets.append(sorted(kept + [1000 + 50 * k + j for j in range(rng.randrange(6))]))
+        sets[3] = list(sets[2])
+        pairs = [(i, j) for i in range(30) for j in range(i) if not split or j < split <= i]
+        linked = [(i, j) for i, j in pairs if settings.linked(len(set(sets[i]) & set(sets[j])), len(sets[i]), len(sets[j]))]
+
+        def classes(edges):
+            root = list(range(30))
+            for a, b in edges:
+                root = [root[a] if r == root[b] else r for r in root]
+            return {frozenset(i for i in range(30) if root[i] == r) for r in root}
+
+        got = jaccard.links_of(range(30), [jaccard.np.array(t) for t in sets], split, settings)
+        assert set(got) <= set(linked) | {(j, i) for i, j in linked}
+        assert len(got) < 30 and classes(got) == classes(linked) and 0 < len(linked)
+
+
 def test_first_of_each_keeps_columns(spark, tmp_path):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, ""), (4, None), (None, "q r s t u v")]
     frame(spark, rows).write.parquet(str(tmp_path / "docs"))
