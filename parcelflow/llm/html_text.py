@@ -1,7 +1,7 @@
 """Main text of web pages: structure and a suffix array per host decide together.
 
 A page becomes a stream of text blocks.  Blocks inside menus, footers, sidebars, adverts, forms, comments and the like
-are boilerplate and go.  The tokens of all other blocks of a page, joined, are its stream.  A stretch of ``min_tokens``
+are boilerplate and go; names of classes and ids say so of parts of a page, rarely of elements of text (``_marked``).  The tokens of all other blocks of a page, joined, are its stream.  A stretch of ``min_tokens``
 tokens, or a whole block of any length, is template when it is on enough distinct pages of its host: on ``min_pages``
 pages, and on ``open_percent`` of the host's pages for tokens outside of article and main elements, on
 ``main_percent`` for those inside, where structure speaks for text.  What no template covers is the text.
@@ -11,9 +11,11 @@ least hash is sampled, so pages that share a stretch share its samples; samples
 others, the streams of a host are concatenated in each task and their suffixes sorted; groups of equal stretches go by
 hash to the place where the pages of all tasks are added up.  The stretches on enough pages return to their pages.  A page
 is in one task and counts once, so results do not depend on how pages are dealt to tasks or on ``shard_tokens``.
+Pages of a host with equal streams count as one page: copies of an article say nothing about templates.
 
 Defined results: null or empty html is the empty text; a null url is a host of its own; null ids and repeated rows are
-treated like any other row, a repeated row as another page; other columns are ignored.
+treated like any other row, and repeated rows each have their row; other columns are ignored.  Whole texts of any length
+are read; a stretch on exactly the least number or share of pages is template; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,6 +61,10 @@ _NAMES = frozenset(
     "subscribe signup login share sharing social related recommended comment comments commentlist disqus reply replies respond widget "
     "pagination pager toolbar skip".split()
 )
+# Words that mark an article element as a reader's comment; elements that hold text rather than parts of a page; lists.
+_COMMENT = frozenset("comment comments commentlist reply replies respond disqus".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th".split())
+_LISTS = frozenset("ul ol dl table".split())
 _LAYOUT = frozenset("with has no without layout".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _OPEN, _MAIN = 0, 1
@@ -70,27 +76,53 @@ def _names(attribute: str) -> set[str]:
     return {w for own in words if own.isdisjoint(_LAYOUT) for w in own}
 
 
+def _marked(tag: str, attribute: str, main: bool) -> bool:
+    """Whether the names of an element mark it as boilerplate.
+
+    Any word marks a part of a page; an element of text needs a name made of such words alone, an ``article`` one that
+    begins with a word for comments; a list inside the article may be called a menu.
+    """
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return any(_SPLIT.split(name)[0] in _COMMENT for name in attribute.lower().split())
+    if tag in _TEXT:
+        return any(words and words <= _NAMES for words in ({w for w in _SPLIT.split(name) if w} for name in attribute.lower().split()))
+    names = _names(attribute) & _NAMES
+    return bool(names - {"menu"} if main and tag in _LISTS else names)
+
+
 class _Reader(HTMLParser):
-    """Collects (role, text) of the blocks of a page that are not boilerplate."""
+    """Collects (role, text) of the blocks of a page that are not boilerplate.
+
+    An open element holds which of the three states it begins: boilerplate, the article, or an inline element whose names
+    mark it, in which text stays but blocks do not.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside the article
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.begun = [0, 0, 0]  # open elements that begin each state
+        self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.blocks: list[tuple[int, str]] = []
 
-    def _state(self) -> tuple[bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False)
-
     def _end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((_MAIN if self._state()[1] else _OPEN, text))
+                self.blocks.append((_MAIN if self.begun[1] else _OPEN, text))
             self.parts = []
 
+    def _count(self, elements: list[tuple[str, bool, bool, bool]], by: int) -> None:
+        for tag, *states in elements:
+            self.open[tag] = self.open.get(tag, 0) + by
+            for k, state in enumerate(states):
+                self.begun[k] += by * state
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _BLOCK:
+        block = tag in _BLOCK
+        if block:
             self._end_block()
             if tag in _PARAGRAPH_END:
                 self._close_paragraph()
@@ -98,29 +130,35 @@ class _Reader(HTMLParser):
             self.parts.append(" ")
         if tag in _VOID:
             return
-        off, main = self._state()
-        named = dict(attrs)
-        if not off:
-            names = _names(f"{named.get('class') or ''} {named.get('id') or ''}")
-            role = (named.get("role") or "").lower()
-            off = (
-                tag in _NEVER
-                or tag in _AROUND
-                or (tag == "header" and not main)
-                or role in _ROLES
-                or "hidden" in named
-                or named.get("aria-hidden") == "true"
-                or (tag not in ("html", "body", "main") and not names.isdisjoint(_NAMES))
-                or bool(re.search(r"display\s*:\s*none", named.get("style") or ""))
-            )
-            main = main or tag in ("article", "main") or role == "main"
-        self.stack.append((tag, off, main))
+        off = main = soft = False
+        if not self.begun[0]:
+            inside, role = self.begun[1] > 0, ""
+            off = tag in _NEVER or tag in _AROUND or (tag == "header" and not inside) or (block and self.begun[2] > 0)
+            if attrs:
+                named = dict(attrs)
+                role = (named.get("role") or "").lower()
+                off = (
+                    off
+                    or role in _ROLES
+                    or "hidden" in named
+                    or named.get("aria-hidden") == "true"
+                    or bool(re.search(r"display\s*:\s*none", named.get("style") or ""))
+                )
+                marked = _marked(tag, f"{named.get('class') or ''} {named.get('id') or ''}", inside)
+                off, soft = off or (marked and (block or tag in _TEXT)), marked and not block and tag not in _TEXT
+            main = tag in ("article", "main") or role == "main"
+        self.stack.append((tag, off, main, soft))
+        self._count(self.stack[-1:], 1)
 
     def _close_paragraph(self) -> None:
-        """A block ends an open paragraph, as in the standard."""
+        """A block ends an open paragraph, as in the standard; boilerplate that began inside the paragraph goes on to its own end."""
+        if not self.open.get("p"):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == "p":
-                del self.stack[k:]
+                goes_on = next((j for j in range(k + 1, len(self.stack)) if self.stack[j][1] or self.stack[j][3]), len(self.stack))
+                self._count(self.stack[k:goes_on], -1)
+                del self.stack[k:goes_on]
                 return
             if self.stack[k][0] in _BLOCK:
                 return
@@ -128,13 +166,16 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self._end_block()
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                self._count(self.stack[k:], -1)
                 del self.stack[k:]
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
+        if not self.begun[0]:
             self.parts.append(data)
 
 
@@ -147,7 +188,7 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     return reader.blocks
 
 
-_PARSED = "uid long, page_id {id}, url string, host long, main array<boolean>, blocks array<string>"
+_PARSED = "uid long, page_id {id}, url string, host long, stream long, main array<boolean>, blocks array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -166,12 +207,19 @@ def parse(pages: DataFrame) -> DataFrame:
                 uid += len(part)
                 main = pa.array([[r == _MAIN for r, _ in f] for f in found], pa.list_(pa.bool_()))
                 texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
-                columns = [pa.array(uids, pa.int64()), *part.columns[:3], main, texts]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "page_id", "url", "host", "main", "blocks"])
+                streams = np.array([xxhash.xxh64_intdigest("\n".join(t for _, t in f)) for f in found], np.uint64).view(np.int64)
+                columns = [pa.array(uids, pa.int64()), *part.columns[:3], pa.array(streams), main, texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "page_id", "url", "host", "stream", "main", "blocks"])
 
     return rows.mapInArrow(run, _PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))
 
 
+def _copies(parsed: DataFrame) -> DataFrame:
+    """Pages (copy) with the stream of a page of their host that comes before."""
+    many = parsed.groupBy("host", "stream").agg(F.min("uid").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return parsed.select("uid", "host", "stream").join(many, ["host", "stream"]).filter("uid > kept").select(F.col("uid").alias("copy"))
+
+
 def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Starts of all suffixes in order, by prefix doubling; with ``depth`` in the order of so many tokens at least."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -444,12 +492,14 @@ def without_template(rows: DataFrame, settings: Settings) -> DataFrame:
 def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     parsed = materialize(parse(pages), "html-parsed")
-    hosts = materialize(parsed.groupBy("host").agg(F.count("*").alias("total")), "html-hosts")
-    common = materialize(_common(_sampled(parsed, settings), hosts, settings), "html-common")
+    copies = materialize(_copies(parsed), "html-copies")
+    once = lambda rows: rows.join(copies, F.col("uid") == F.col("copy"), "left_anti")
+    hosts = materialize(once(parsed.select("uid", "host")).groupBy("host").agg(F.count("*").alias("total")), "html-hosts")
+    common = materialize(_common(_sampled(once(parsed.select("uid", "host", "blocks")), settings), hosts, settings), "html-common")
     found = materialize(_places(parsed, settings).join(common, ["host", "key"]), "html-found")
     around = found.filter("not block").groupBy("uid").agg(F.collect_list("at").alias("at"))
     regions = materialize(_regions(parsed.join(around, "uid"), settings), "html-regions")
-    stretches = materialize(_common(_stretches(regions, settings), hosts, settings), "html-stretches")
+    stretches = materialize(_common(_stretches(once(regions), settings), hosts, settings), "html-stretches")
     marks = found.filter("block").unionByName(_region_places(regions, settings).join(stretches, ["host", "key"]))
     marks = marks.groupBy("uid").agg(F.collect_list(F.struct("at", "block", "outside", "inside")).alias("marks"))
     out = without_template(parsed.join(materialize(marks, "html-marks"), "uid", "left"), settings)

@@ -1,6 +1,7 @@
 """Web archives and main text on hand-made pages."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -69,6 +70,50 @@ def test_structure():
     assert [t for _, t in html_text.blocks_of(ARTICLE)] == ["Head & line", "One <two> three four", "Five six", "seven", "eight"]
 
 
+def test_class_words_do_not_hide_the_article():
+    """Names mark parts of a page; an article, a sentence or a menu of dishes with such a name stays."""
+    for html in (
+        '<article class="post widget"><p>kept</p></article>',
+        '<p class="comment-on-law">kept</p>',
+        '<p>kept <span class="ad">with</span> all</p>',
+        '<article><ul class="menu"><li>kept</ul></article>',
+        '<article><h2 class="social-history">kept</h2></article>',
+    ):
+        assert html_text.blocks_of(html)[0][1].startswith("kept"), html
+    assert html_text.blocks_of('<p>kept <span class="ad">with</span> all</p>') == [(0, "kept with all")]
+    for html in ('<article class="comment-body"><p>r</p></article>', '<div class="site-footer">f</div>', '<p class="cookie-notice">c</p>', '<ul class="menu"><li>m</ul>'):
+        assert html_text.blocks_of(html) == [], html
+
+
+def test_no_part_inside_a_paragraph_comes_out():
+    for html, want in (
+        ("<p>see <select><option>o</option></select> end</p>", ["see", "end"]),
+        ("<p>text <button><div>Buy now</div></button>", ["text"]),
+        ("<p>text <button><p>Buy</p><p>now</p></button> end", ["text", "end"]),
+        ("<p>text <noscript><div>n</div></noscript> end</p>", ["text", "end"]),
+        ("<p>text <span class='share'><ul><li>tweet</ul></span> end</p>", ["text", "end"]),
+        ("<p>one <b>two<div>three</div><p>four", ["one two", "three", "four"]),
+    ):
+        assert [t for _, t in html_text.blocks_of(html)] == want, html
+
+
+def test_a_page_of_unmatched_tags_takes_time_in_proportion():
+    took = []
+    for n in (20_000, 100_000):
+        start = time.process_time()
+        assert html_text.blocks_of("<b>" * n + "</i>" * n + "end") == [(0, "end")]
+        took.append(time.process_time() - start)
+    assert took[1] < 15 * took[0]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(i, f"http://h.x/{i}", f"<article><p>{long}</p></article>") for i in range(4)]
+    rows += [(10 + i, f"http://k.x/{i}", "<p>It rained.") for i in range(5)]
+    got = texts_of(spark, rows)
+    assert got == {**{i: long for i in range(4)}, **{10 + i: "It rained." for i in range(5)}}
+
+
 def test_main_text(spark):
     body = lambda i: f"<body><div>Home and News and Sport today</div><div>Story {i} about thing {i * 7}</div><div>All rights reserved by us for ever</div>"
     rows = [(i, f"http://h.x/{i}", body(i)) for i in range(5)]
@@ -122,7 +167,8 @@ def plain(rows, settings):
         t = [w for _, b in blocks for w in b.split(" ")]
         keys.append((t, [tuple(t[k : k + size]) for k in range(len(t) - size + 1)]))
     for (name, host, blocks), (tokens, windows) in zip(parsed, keys):
-        same = [k for k, p in enumerate(parsed) if p[1] == host]
+        # Pages of equal streams are one.
+        same = list({tuple(b for _, b in p[2]): k for k, p in enumerate(parsed) if p[1] == host}.values())
         on = Counter(w for k in same for w in set(keys[k][1]))
         whole = Counter(b for k in same for b in {b for _, b in parsed[k][2]})
         often = lambda n, main: n >= settings.min_pages and n * 100 >= len(same) * (settings.main_percent if main else settings.open_percent)  # noqa: B023, E731
@@ -151,6 +197,7 @@ def test_stretches_against_brute_force(spark, shard_tokens):
             text = " ".join(word(rng.integers(0, 6)) + shared[low:] + word(rng.integers(0, 6)))
             parts.append(f"<article>{text}</article>" if rng.random() < 0.4 else f"<div>{text}</div>")
         rows.append((i, f"http://h{i % 3 if i % 2 else 0}.x/{i}", "".join(parts)))
+    rows += [(100 + k, rows[k % 9][1], rows[k % 9][2]) for k in range(30)]
     settings = html_text.Settings(min_tokens=6, shard_tokens=shard_tokens)
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), settings).collect()}
     want = plain(rows, settings)
