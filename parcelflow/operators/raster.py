@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Where cells lie: cell (row, col) spans from ``(x0 + col * dx, y0 + row * dy)``; a negative ``dy`` counts rows downwards."""
+
+    x0: float
+    y0: float
+    dx: float
+    dy: float
+
+
+def _centres(index: str, start: float, step: float, to_start: float, to_step: float) -> Column:
+    """Indices of the target cells whose centres lie in a cell, its lower edge included; an empty array if there are none."""
+    edge = lambda k: F.lit(float(start)) + k * F.lit(float(step))
+    at = lambda e: (e - F.lit(float(to_start))) / F.lit(float(to_step)) - F.lit(0.5)
+    sides = [at(edge(F.col(index))), at(edge(F.col(index) + 1))]
+    # Counted towards larger coordinates, the lower edge belongs to the cell; where target indices fall with them, it is the upper index.
+    if to_step > 0:
+        low, high = (F.ceil(f(*sides)).cast("bigint") for f in (F.least, F.greatest))
+    else:
+        low, high = ((F.floor(f(*sides)) + 1).cast("bigint") for f in (F.least, F.greatest))
+    return F.when(low < high, F.sequence(low, high - 1))
+
+
+def align_tile(cells: DataFrame, grid: Grid, target: Grid) -> DataFrame:
+    """The ``(row, col, value)`` cells of a tile on another grid: each target cell takes the value at its centre.
+
+    A coarse cell gives many target cells, a fine one none or one; no two cells of a tile give the same.
+    """
+    cols = _centres("col", grid.x0, grid.dx, target.x0, target.dx)
+    rows = _centres("row", grid.y0, grid.dy, target.y0, target.dy)
+    found = cells.select(rows.alias("rows"), cols.alias("cols"), "value").select("rows", F.explode("cols").alias("col"), "value")
+    return found.select(F.explode("rows").alias("row"), "col", "value")
+
+
+def merge_georeferenced(tiles: list[tuple[DataFrame, Grid]], target: Grid | None = None) -> DataFrame:
+    """One raster on ``target`` (the first tile's grid by default) from tiles with grids of their own; the first value wins."""
+    target = target or tiles[0][1]
+    return merge_tiles([align_tile(cells, grid, target) for cells, grid in tiles])
+
+
 def merge_tiles(tiles: list[DataFrame]) -> DataFrame:
     """One raster from several ``(row, col, value)`` tiles; where they overlap, the first with a value wins.
 

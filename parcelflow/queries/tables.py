@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.raster import merge_tiles
+from ..operators.raster import Grid, merge_georeferenced, merge_tiles
 from ..operators.relational import first_per_key, merge_suffixed
 from ..scratch import scratch_path
 from ..sources.places import append_areas, attach_population, clean_places, select_areas
@@ -136,6 +136,31 @@ def raster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_tiles([first, second])
 
 
+@query(
+    """
+    WITH dem AS (SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS r, p_partkey % 40 AS c, p_size AS value FROM part),
+    coarse AS (
+      SELECT value, CAST(ceil((35 + c * 25) / 10.0 - 0.5) AS BIGINT) AS c0, CAST(ceil((60 + c * 25) / 10.0 - 0.5) AS BIGINT) AS c1,
+        CAST(ceil((975 - r * 25) / 10.0 - 0.5) AS BIGINT) AS r0, CAST(ceil((1000 - r * 25) / 10.0 - 0.5) AS BIGINT) AS r1
+      FROM dem),
+    wide AS (SELECT value, r0, r1, unnest(range(c0, c1)) AS col FROM coarse),
+    cells AS (
+      SELECT r AS "row", c AS col, CASE WHEN value % 5 > 0 THEN value END AS value, 0 AS tile FROM dem
+      UNION ALL
+      SELECT unnest(range(r0, r1)) AS "row", col, CASE WHEN value % 7 > 0 THEN -value END AS value, 1 AS tile FROM wide)
+    SELECT "row", col, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY value IS NULL, tile) AS rn FROM cells) c
+    WHERE rn = 1"""
+)
+def raster_georeferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile of 10 units and one of 25 with another origin and rows counted downwards, on the first one's grid."""
+    dem = standin(spark, sf_dir, "dem")
+    value = F.col("value")
+    fine = dem.withColumn("value", F.when(value % 5 > 0, value))
+    coarse = dem.withColumn("value", F.when(value % 7 > 0, -value))
+    return merge_georeferenced([(fine, Grid(0, 0, 10, 10)), (coarse, Grid(35, 1000, 25, -25))])
+
+
 @query(
     """
     SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority FROM (

@@ -13,7 +13,7 @@ from parcelflow.operators import polygons as P
 from parcelflow.operators.polygons import points_in_polygons
 from parcelflow.operators import proximity, pyramid
 from parcelflow.operators.proximity import count_within, nearest, nearest_by_type, target_sites
-from parcelflow.operators.raster import merge_tiles, raster_lookup
+from parcelflow.operators.raster import Grid, align_tile, merge_tiles, raster_lookup
 from parcelflow.scratch import materialize
 
 
@@ -311,6 +311,23 @@ def test_raster(spark):
     assert got == {1: 5, 2: 6, 3: None}
 
 
+@pytest.mark.parametrize("grid", [Grid(0, 0, 10, 10), Grid(35, 400, 25, -25), Grid(-8, 3, 4, 3), Grid(5, 5, 10, 10), Grid(300, -20, -7, 20)])
+@pytest.mark.parametrize("target", [Grid(0, 0, 10, 10), Grid(2, 300, 10, -5)])
+def test_aligned_tiles_hold_the_value_at_every_centre(spark, grid, target):
+    cells = {(r, c): 100 * r + c for r in range(12) for c in range(9) if (r + c) % 5}
+    tile = frame(spark, [(r, c, v) for (r, c), v in cells.items()], "row long, col long, value int")
+    got = align_tile(tile, grid, target).collect()
+    spans = {k: [sorted((s + i * d, s + (i + 1) * d)) for i, s, d in ((k[1], grid.x0, grid.dx), (k[0], grid.y0, grid.dy))] for k in cells}
+    want = {}
+    for row in range(-60, 130):
+        for col in range(-30, 60):
+            x, y = target.x0 + (col + 0.5) * target.dx, target.y0 + (row + 0.5) * target.dy
+            for k, ((x_low, x_high), (y_low, y_high)) in spans.items():
+                if x_low <= x < x_high and y_low <= y < y_high:
+                    want[row, col] = cells[k]
+    assert {(r["row"], r["col"]): r["value"] for r in got} == want and len(got) == len(want)
+
+
 def test_hull_and_buffer(spark):
     rng = random.Random(5)
     inner = [(rng.uniform(1, 9), rng.uniform(1, 9)) for _ in range(500)]
