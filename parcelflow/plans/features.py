@@ -11,7 +11,7 @@ from ..functions import geo
 from ..operators.polygons import area_density, points_in_polygons
 from ..operators.proximity import count_within, nearest_by_type, nearest_sites, target_sites
 from ..operators.pyramid import Pyramid
-from ..operators.raster import raster_lookup
+from ..operators.raster import Grid, merge_georeferenced, raster_lookup
 from ..operators.relational import align, first_per_key
 from ..scratch import materialize
 from . import fixed_values as V
@@ -22,14 +22,14 @@ class FeatureSources:
     """Tables around the properties.
 
     ``pois``: key, value, latitude, longitude. ``raster``: row, col, value on a degree grid from
-    ``(raster_lon, raster_lat)`` with ``raster_step``. ``tracts``: id, variables, Mercator ``ring`` or ``rings``.
+    ``(raster_lon, raster_lat)`` with ``raster_step``, or a list of ``(cells, Grid)`` tiles, which are merged on that grid. ``tracts``: id, variables, Mercator ``ring`` or ``rings``.
     ``cities``: name, population, latitude, longitude. POIs and cities may be areas instead: with a column ``rings``
     (parts and holes, x = longitude, y = latitude; null for a point) distances are 0 inside, and only POIs wholly
     within the radius count.
     """
 
     pois: DataFrame
-    raster: DataFrame
+    raster: DataFrame | list[tuple[DataFrame, Grid]]
     tracts: DataFrame
     cities: DataFrame
     raster_lon: float
@@ -116,7 +116,10 @@ def geo_features(df: DataFrame, sources: FeatureSources, key: str = "parcelid")
     cities = _placed(sources.cities, ["name", "population"])
     tracts = _tract_degrees(area_density(sources.tracts, sources.variables))
 
-    elevation = raster_lookup(degrees, sources.raster, sources.raster_lon, sources.raster_lat, sources.raster_step)
+    raster = sources.raster
+    if isinstance(raster, list):
+        raster = merge_georeferenced(raster, Grid(sources.raster_lon, sources.raster_lat, sources.raster_step, sources.raster_step))
+    elevation = raster_lookup(degrees, raster, sources.raster_lon, sources.raster_lat, sources.raster_step)
     sites = target_sites(metres)
     counts = count_within(metres, pois, sources.radius, sources.keys, sites=sites)
     census = points_in_polygons(degrees, tracts, sources.variables, sources.tract_id, dedupe="first", digits=9)

@@ -14,6 +14,7 @@ from parcelflow.operators.polygons import points_in_polygons
 from parcelflow.operators import proximity, pyramid
 from parcelflow.operators.proximity import count_within, nearest, nearest_by_type, target_sites
 from parcelflow.operators.raster import Grid, align_tile, merge_tiles, raster_lookup
+from parcelflow.plans.features import FeatureSources, geo_features
 from parcelflow.scratch import materialize
 
 
@@ -328,6 +329,23 @@ def test_aligned_tiles_hold_the_value_at_every_centre(spark, grid, target):
     assert {(r["row"], r["col"]): r["value"] for r in got} == want and len(got) == len(want)
 
 
+def test_feature_table_takes_tiles(spark):
+    """Elevation from two tiles of different origins, one of coarse cells with rows downwards; the first one's values win."""
+    homes = frame(spark, [(1, 34_005_000, -118_005_000), (2, 34_025_000, -118_005_000), (3, 34_045_000, -118_025_000), (4, 35_000_000, -118_005_000)], "parcelid long, latitude long, longitude long")
+    low = frame(spark, [(r, c, 10 * r + c) for r in range(2) for c in range(5)], "row long, col long, value int")
+    high = frame(spark, [(0, 0, 700), (0, 1, 701), (1, 0, 710), (1, 1, 711)], "row long, col long, value int")
+    square = [[(-2e7, 3e6), (2e7, 3e6), (2e7, 5e6), (-2e7, 5e6)]]
+    sources = FeatureSources(
+        pois=frame(spark, [("amenity", "school", 34.0, -118.0)], "key string, value string, latitude double, longitude double"),
+        raster=[(low, Grid(-118.05, 34.0, 0.01, 0.01)), (high, Grid(-118.05, 34.06, 0.03, -0.03))],
+        tracts=frame(spark, [(1, 5.0, square)], "tract long, people double, rings array<array<struct<x:double,y:double>>>"),
+        cities=frame(spark, [("town", 10, 34.0, -118.0)], "name string, population int, latitude double, longitude double"),
+        raster_lon=-118.05, raster_lat=34.0, raster_step=0.01, variables=["people"], keys={"amenity": "amenity"}, types={"school": "near_school"}, drop=[],
+    )
+    got = {r["parcelid"]: r["elevation"] for r in geo_features(homes, sources).collect()}
+    assert got == {1: 4, 2: 711, 3: 700, 4: None}
+
+
 def test_hull_and_buffer(spark):
     rng = random.Random(5)
     inner = [(rng.uniform(1, 9), rng.uniform(1, 9)) for _ in range(500)]
