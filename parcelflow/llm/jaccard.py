@@ -19,7 +19,8 @@ Copies are one document; documents alike, linked or not, meet as groups, so join
 
 Defined results: a null text, or one without words, is an empty set and links with nothing, not even another such; with fewer than
 ``shingle`` words the words are one shingle; a null id is never the smallest unless there is no other; repeated rows are
-documents like any other, equal sets always link; other columns are ignored.
+documents like any other, equal sets always link; a similarity of exactly ``percent`` links; texts of any length are read whole,
+and one with more than ``group_shingles`` shingles makes its group larger; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
