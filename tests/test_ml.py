@@ -243,3 +243,12 @@ def test_best_result(spark):
     results = spark.createDataFrame(rows, "run int, average double, stddev double, standard_error double, parameters map<string,string>")
     assert best_result(results).first()["run"] == 1
     assert best_result(results, larger_is_better=True).first()["run"] == 0
+
+
+def test_model_roundtrip_runs_on_its_own_orders(spark, tmp_path):
+    from parcelflow.queries import QUERIES
+
+    rows = [(k, p, float(k) * 10) for k, p in enumerate(["1-URGENT", "2-HIGH", None, "2-HIGH", "5-LOW"] * 4, start=1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["model_roundtrip"](spark, str(tmp_path)).first()
+    assert (got["n"], got["different"]) == (20, 0)
