@@ -51,25 +51,43 @@ class Settings:
     window: int = 8
 
 
+def _deletions(word: str) -> set[str]:
+    """The word and every string that one deleted letter leaves of it."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _edits(a: str, b: str) -> int:
+    """Levenshtein distance if it is 0 or 1, else 2."""
+    if a == b:
+        return 0
+    if len(a) == len(b):
+        return 1 if sum(x != y for x, y in zip(a, b)) == 1 else 2
+    short, long = (a, b) if len(a) < len(b) else (b, a)
+    if len(long) - len(short) != 1:
+        return 2
+    i = 0
+    while i < len(short) and short[i] == long[i]:
+        i += 1
+    return 1 if short[i:] == long[i + 1 :] else 2
+
+
 @dataclass
 class Lexicon:
-    """Terms with their weights, words known to be clean, and the trie over the terms."""
+    """Terms with their weights, words known to be clean, and the fuzzy terms by themselves and their one-letter deletions."""
 
     weights: dict[str, float]
     clean: frozenset[str] = frozenset()
     settings: Settings = Settings()
-    trie: dict = field(init=False, repr=False)
+    variants: dict = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.trie = {}
+        self.variants = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
         for term in self.weights:
-            node = self.trie
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node[""] = term
             if len(term) >= self.settings.min_fuzzy_letters:
+                for key in _deletions(term):
+                    self.variants.setdefault(key, []).append(term)
                 half = min(3, len(term) // 2)
                 self.heads.add(term[:half])
                 self.tails.add(term[-half:])
@@ -82,20 +100,13 @@ class Lexicon:
             word[:2] in self.heads or word[:3] in self.heads or word[-2:] in self.tails or word[-3:] in self.tails
         ):
             return None
+        # Within one edit, the word and the term are equal, or equal after one deletion from one of them or from both.
         found: list[tuple[int, float, str]] = []
-        stack = [(self.trie, list(range(n + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    if row[n] <= 1 and len(child) >= self.settings.min_fuzzy_letters:
-                        found.append((row[n], -self.weights[child], child))
-                    continue
-                below = [row[0] + 1]
-                for i in range(1, n + 1):
-                    below.append(min(below[-1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != letter)))
-                if min(below) <= 1:
-                    stack.append((child, below))
+        for key in _deletions(word):
+            for term in self.variants.get(key, ()):
+                d = _edits(word, term)
+                if d <= 1:
+                    found.append((d, -self.weights[term], term))
         return min(found)[2] if found else None
 
 

@@ -39,6 +39,15 @@ def test_levenshtein_trie():
                     assert (lex.near(word) is not None) == (min(distance(word, t) for t in ("moron", "worthless")) <= 1)
 
 
+
+def test_near_looks_up_deletions_and_keeps_the_tie_order():
+    lex = toxicity.Lexicon({"moron": 0.5, "moran": 0.9, "morons": 0.9, "worthless": 0.98, "ass": 0.97})
+    # Each fuzzy term is found under itself and its one-letter deletions, not by a walk over all terms.
+    assert lex.variants["moon"] == ["moron"] and sorted(lex.variants["moron"]) == ["moron", "morons"] and "ass" not in lex.variants
+    assert lex.near("morn") == "moran"  # both within one edit: the greater weight
+    assert lex.near("moronn") == "morons" and lex.near("moron") == "moron"  # fewer edits first
+    assert lex.near("mroon") is None  # a swap is two edits
+
 def test_quotation_scores_less():
     matcher = toxicity._Matcher(lexicon())
     score = lambda t: toxicity.score_text(t, matcher)[0]
