@@ -57,7 +57,8 @@ def merge_tiles(tiles: list[DataFrame]) -> DataFrame:
     A cell that no tile has a value for (null or NaN) is null.
     """
     ranked = [t.select("row", "col", "value", F.lit(i).alias("tile_order")) for i, t in enumerate(tiles)]
-    cells = reduce(DataFrame.unionByName, ranked)
+    # Cells of a tile hardly share a key, so combining them before the shuffle only holds a whole input split in one task.
+    cells = reduce(DataFrame.unionByName, ranked).repartition("row", "col")
     valued = cells.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     order = F.when(F.col("value").isNotNull(), F.col("tile_order"))
     return valued.groupBy("row", "col").agg(F.min_by("value", order).alias("value"))

@@ -285,6 +285,18 @@ def test_merged_tiles_take_the_first_value(spark):
     assert {r["col"]: r["value"] for r in merge_tiles([tile, other]).collect()} == {0: 7.0, 1: 8.0, 2: 1.0, 3: None}
 
 
+def test_merged_tiles_combine_after_the_shuffle(spark):
+    """No aggregate before the exchange: it would hold all cells of an input split in one task."""
+    tile = frame(spark, [(0, c, float(c)) for c in range(8)], "row long, col long, value double")
+    other = frame(spark, [(0, c, -float(c)) for c in range(4, 12)], "row long, col long, value double")
+    merged = merge_tiles([tile, other])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") > 0
+    below = plan[plan.index("Exchange") :]
+    assert "Aggregate" not in below
+    assert {r["col"]: r["value"] for r in merged.collect()} == {c: float(c) if c < 8 else -float(c) for c in range(12)}
+
+
 def test_geohash_limits(spark):
     at = lambda lat, lon: geo.coordinates(F.lit(lat), F.lit(lon))
     row = spark.range(1).select(
