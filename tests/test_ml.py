@@ -252,3 +252,22 @@ def test_model_roundtrip_runs_on_its_own_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     got = QUERIES["model_roundtrip"](spark, str(tmp_path)).first()
     assert (got["n"], got["different"]) == (20, 0)
+
+
+def test_model_roundtrip_depends_on_the_loaded_imputer(spark, tmp_path, monkeypatch):
+    """Were the statistics lost on the way, the rows with a filled price would differ."""
+    from parcelflow.ml import group_imputer
+    from parcelflow.queries import QUERIES
+
+    rows = [(k, "2-HIGH", float(k) * 10) for k in range(1, 101)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    whole = group_imputer._StatisticsReader.load
+
+    def emptied(self, path):
+        model = whole(self, path)
+        model.statistics = model.statistics.limit(0)
+        return model
+
+    monkeypatch.setattr(group_imputer._StatisticsReader, "load", emptied)
+    got = QUERIES["model_roundtrip"](spark, str(tmp_path)).first()
+    assert (got["n"], got["different"]) == (100, 11)
