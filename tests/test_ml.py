@@ -1,6 +1,8 @@
 """Group imputer, random grid, pipeline and run log."""
 
 import random
+import threading
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -20,6 +22,8 @@ from parcelflow.ml.random_grid import RandomGridBuilder
 from parcelflow.ml.run_log import best_result
 from parcelflow.operators.sampling import sample, split
 from parcelflow.plans import fixed_values as V
+from parcelflow.plans.training import train_test
+from parcelflow.queries import standins
 from parcelflow.scratch import materialize
 
 ROWS = [("a", 2.0, 1), ("a", 4.0, 4), ("a", 9.0, 4), ("a", None, None), ("b", 7.0, 3), ("b", None, None), ("c", None, None), (None, None, 1)]
@@ -271,3 +275,44 @@ def test_model_roundtrip_depends_on_the_loaded_imputer(spark, tmp_path, monkeypa
     monkeypatch.setattr(group_imputer._StatisticsReader, "load", emptied)
     got = QUERIES["model_roundtrip"](spark, str(tmp_path)).first()
     assert (got["n"], got["different"]) == (100, 11)
+
+
+def test_prefixes_of_different_folds_share_the_cluster(spark, monkeypatch):
+    """The fits of three folds are under way at the same time: each waits for the others."""
+    meeting = threading.Barrier(3, timeout=60)
+    fit = LinearRegression.fit
+    held = [0]
+
+    def waits(self, df, params=None):
+        if held[0] < 3:
+            held[0] += 1
+            meeting.wait()
+        return fit(self, df, params)
+
+    monkeypatch.setattr(LinearRegression, "fit", waits)
+
+    class Three(search.PrefixSearch):
+        def __init__(self, **kw):
+            super().__init__(parallelism=3, **kw)
+
+    got, _ = searched(spark, Three, lambda i, h, last: [{last.regParam: 0.0}])
+    assert held == [3] and len(got.avgMetrics) == 1
+
+
+def test_parts_read_their_draw(spark):
+    """The hash of whole rows is written with them: the parts are those of ``split``, and reading one hashes nothing."""
+    df = spark.range(2_000).selectExpr("id", "CAST(id % 97 AS DOUBLE) AS v", "CASE WHEN id % 5 > 0 THEN CAST(id AS STRING) END AS s")
+    got, want = train_test(df), split(df, [V.TRAIN_RATIO, 1 - V.TRAIN_RATIO])
+    assert [p.columns for p in got] == [df.columns] * 2
+    assert [sorted(p.collect(), key=lambda r: r['id']) for p in got] == [sorted(p.collect(), key=lambda r: r['id']) for p in want]
+    assert "md5" in want[0]._jdf.queryExecution().toString() and "md5" not in got[0]._jdf.queryExecution().toString()
+
+
+def test_wide_rows_of_one_row_group_are_spread(spark, tmp_path):
+    rows = [(k, k % 50, datetime(1995, 1, 1 + k % 28)) for k in range(1_000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    laid, spread = (standins.wide(spark, str(tmp_path), **kw) for kw in ({}, {"spread": True}))
+    filled = [r["p"] for r in spread.select(F.spark_partition_id().alias("p")).distinct().collect()]
+    assert len(filled) >= spark.sparkContext.defaultParallelism
+    assert laid.exceptAll(spread).count() == spread.exceptAll(laid).count() == 0
