@@ -2,11 +2,13 @@
 
 Coordinates are planar (metres). Sources are points (``x, y``) or polygons (``edges``). Both sides are written pyramids of
 cells, see ``pyramid``; pairs of cells are found by equal cells, and of those that cannot be settled as a whole at most ``pair_limit``
-targets and sources are compared.
+targets and sources are compared.  Where areas overlap, a cell of targets that lies wholly inside one is at distance 0 from it, and only areas
+that are ranked before the best of these are compared there.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..scratch import materialize
-from .pyramid import BOX, STEP, Pyramid, around, box_gap, box_span, build, members, split
+from .pyramid import BOX, STEP, Pyramid, around, box_gap, box_span, build, cell, members, split
 
 
 def target_sites(points: DataFrame) -> Pyramid | None:
@@ -200,11 +202,16 @@ def _bounded(targets: Pyramid, sources: Pyramid, levels: list[int]) -> DataFrame
     return found.withColumn("bound", F.col("bound") * F.lit(1 + 1e-9)).withColumn("_extent", F.explode("extents")).drop("extents")
 
 
-def _near_cells(targets: Pyramid, sources: Pyramid) -> DataFrame:
-    """Pairs of finest cells that can hold a nearest pair: (cat, _extent, tx, ty, sx, sy, bound, the target's box, tn, sn)."""
+def _near_cells(targets: Pyramid, sources: Pyramid, standing: Standing) -> DataFrame:
+    """Pairs of finest cells that can hold a nearest pair: (cat, _extent, tx, ty, sx, sy, bound, the target's box, tn, sn), and with areas
+    the best standing of those that cover the target's cell: there the distance is 0, and worse areas have lost."""
     lowest = max(targets.finest, sources.finest)
     levels = list(range(lowest, sources.top + 1, STEP))
     bounded = _bounded(targets, sources, levels)
+    if sources.extended:
+        covered = materialize(_covers(targets, sources.sites, standing), "covers")
+        bounded = bounded.join(covered, ["cat", "tx", "ty"], "left")
+        bounded = bounded.withColumn("bound", F.when(F.col("_covered"), F.lit(0.0)).otherwise(F.col("bound"))).drop("_covered")
     # A level whose cells are as wide as the bound, and as the sources: a few of them cover what is in reach.
     wide = F.greatest(F.coalesce(F.ceil(F.log2(F.col("bound")) / STEP).cast("int") * STEP, F.lit(lowest)), F.lit(lowest), F.col("_extent"))
     bounded = bounded.withColumn("level", F.least(wide, F.lit(sources.top)))
@@ -212,19 +219,85 @@ def _near_cells(targets: Pyramid, sources: Pyramid) -> DataFrame:
     reached = bounded.withColumn("lx", F.explode(xs)).withColumn("ly", F.explode(ys))
     fine = sources.at(sources.finest, "s").drop("spx", "spy", "sw").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     fine = fine.withColumns({f"l{a}": F.expr(f"shiftright(s{a}, level - ({sources.finest}))") for a in "xy"})
-    return reached.join(fine, ["cat", "_extent", "level", "lx", "ly"]).filter(box_gap() <= F.col("bound"))
+    if sources.extended:
+        own = sources.placed(sources.finest, "s").groupBy("cat", "_extent", "sx", "sy")
+        # Without a null among them the best of a cell stands for all its areas.
+        first = F.when(F.count(standing.column) == F.count("*"), standing.best(standing.column))
+        leads = own.agg(first.alias("_lead"))
+        fine = fine.join(leads, ["cat", "_extent", "sx", "sy"])
+    near = reached.join(fine, ["cat", "_extent", "level", "lx", "ly"]).filter(box_gap() <= F.col("bound"))
+    if not sources.extended:
+        return near
+    return near.filter(F.col("_lead").isNull() | standing.holds(F.col("_lead"), F.col("_best"))).drop("_lead")
 
 
-def _nearest_candidates(points: Pyramid | None, found: DataFrame, payload: list[str], pair_limit: int) -> DataFrame | None:
+@dataclass(frozen=True)
+class Standing:
+    """The column by which areas of equal distance are ranked; what an area that covers a cell beats there need not be compared."""
+
+    column: str
+    ascending: bool
+    nulls_last: bool = True
+
+    def best(self, name: str) -> Column:
+        return (F.min if self.ascending else F.max)(name)
+
+    def holds(self, own: Column, best: Column) -> Column:
+        """Not behind the best, as far as that is known."""
+        ahead = own <= best if self.ascending else own >= best
+        return best.isNull() | F.coalesce(ahead, F.lit(not self.nulls_last))
+
+
+_COVER_EDGES = 64  # areas of more edges are compared, but cover nothing
+_COVER_CELLS = 8  # least cells along the longer side of an area
+
+
+def _covers(targets: Pyramid, areas: DataFrame, standing: Standing) -> DataFrame:
+    """(cat, tx, ty, _best, _covered): finest cells of the targets that lie wholly inside an area, and the best standing of such areas.
+
+    An area is cut into cells by its size, so that it makes a bounded number of them; a cell knows those of all cells around it.
+    No edge touches a cell inside, so all its places have the parity of its middle. Boxes are grown beyond rounding.
+    """
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.floor(F.log2(wide / _COVER_CELLS) / STEP).cast("int") * STEP, F.lit(targets.finest))
+    cut = areas.select("cat", "edges", "xmin", "xmax", "ymin", "ymax", F.col(standing.column).alias("_standing"))
+    cut = cut.filter((wide > 0) & (F.size("edges") <= _COVER_EDGES)).withColumn("level", F.least(level, F.lit(targets.top)))
+    cut = cut.withColumn("side", F.pow(F.lit(2.0), F.col("level")))
+    for a in "xy":
+        low, high = cell(f"{a}min", F.col("level")) + 1, cell(f"{a}max", F.col("level")) - 1
+        cut = cut.withColumns({f"{a}low": low, f"{a}high": high}).filter(F.col(f"{a}low") <= F.col(f"{a}high"))
+        cut = cut.withColumn(f"c{a}", F.explode(F.sequence(f"{a}low", f"{a}high")))
+    rim = F.lit(1e-9) * F.greatest(F.lit(1.0), *[F.abs(F.col(f"{a}{end}")) for a in "xy" for end in ("min", "max")])
+    cut = cut.withColumns({f"{a}{n}": (F.col(f"c{a}") + n - 1) * F.col("side") + (2 * n - 3) * rim for a in "xy" for n in (1, 2)})
+    middle = [(F.col(f"c{a}") + 0.5) * F.col("side") for a in "xy"]
+
+    def clear(e: Column) -> Column:
+        beside = [
+            (F.greatest(e[f"{a}1"], e[f"{a}2"]) < F.col(f"{a}1")) | (F.least(e[f"{a}1"], e[f"{a}2"]) > F.col(f"{a}2")) for a in "xy"
+        ]
+        sides = [(e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) - (e["y2"] - e["y1"]) * (F.col(x) - e["x1"]) for x in ("x1", "x2") for y in ("y1", "y2")]
+        return beside[0] | beside[1] | (F.least(*sides) > 0) | (F.greatest(*sides) < 0)
+
+    crossings = F.aggregate("edges", F.lit(0), lambda n, e: n + geo.edge_crossing(middle[0], middle[1], e))
+    cut = cut.filter(F.forall("edges", clear) & (crossings % 2 == 1))
+    inside = cut.groupBy("cat", "level", "cx", "cy").agg(standing.best("_standing").alias("_best"))
+    levels = F.sequence(F.lit(targets.finest), F.lit(targets.top), F.lit(STEP))
+    own = targets.at(targets.finest, "t").select("tx", "ty", F.explode(levels).alias("level"))
+    own = own.withColumns({f"c{a}": F.expr(f"shiftright(t{a}, level - ({targets.finest}))") for a in "xy"})
+    return own.join(inside, ["level", "cx", "cy"]).groupBy("cat", "tx", "ty").agg(standing.best("_best").alias("_best"), F.lit(True).alias("_covered"))
+
+
+def _nearest_candidates(points: Pyramid | None, found: DataFrame, payload: list[str], pair_limit: int, standing: Standing) -> DataFrame | None:
     """Pairs of target sites and sources that include every nearest pair, with their distance."""
     targets, sources = points, points and build(found, ("cat", "_extent"), points)
     if sources is None:
         return None
     polygons = sources.extended
     shape = _shape(found) if polygons else ["mx", "my"]
+    kept = ["bound", "_best"] if polygons else ["bound"]
     candidates = []
     t_level, s_level = targets.finest, sources.finest
-    pairs = _near_cells(targets, sources)
+    pairs = _near_cells(targets, sources, standing)
     while True:
         # No target of this cell can be farther from its nearest source than `bound`.
         own = Window.partitionBy("tx", "ty", "cat")
@@ -234,18 +307,20 @@ def _nearest_candidates(points: Pyramid | None, found: DataFrame, payload: list[
         pairs = materialize(
             pairs.withColumn("bound", bound)
             .filter(box_gap() <= F.col("bound"))
-            .select("cat", "_extent", "tx", "ty", "sx", "sy", "bound", *BOX, _size(), state.alias("state")),
+            .select("cat", "_extent", "tx", "ty", "sx", "sy", *kept, *BOX, _size(), state.alias("state")),
             "pairs",
         )
         states = _states(pairs)
         if "compare" in states:
-            held = members(pairs.filter("state = 'compare'"), targets, sources, t_level, s_level, states["compare"][1], ["bound"])
+            worth = (_area_gap() <= F.col("bound")) & standing.holds(F.col(standing.column), F.col("_best")) if polygons else None
+            meet = pairs.filter("state = 'compare'")
+            held = members(meet, targets, sources, t_level, s_level, states["compare"][1], [*kept, *(BOX if polygons else [])], worth)
             candidates.append(held.select("cat", "tmx", "tmy", "bound", *payload, *shape))
         if "split" not in states:
             break
         crowd = pairs.filter("state = 'split'")
         targets, sources = _below(targets, sources, crowd, t_level, s_level)
-        pairs = split(crowd, targets, sources, t_level, s_level, F.col("bound"), ["bound"])
+        pairs = split(crowd, targets, sources, t_level, s_level, F.col("bound"), kept)
         t_level, s_level = t_level - STEP, s_level - STEP
     candidates = _union(candidates)
     if not polygons:
@@ -255,6 +330,13 @@ def _nearest_candidates(points: Pyramid | None, found: DataFrame, payload: list[
     return _polygon_distances(near.select(*by, F.explode("edges").alias("e")), by)
 
 
+def _area_gap() -> Column:
+    """Least distance between a target cell's box and the box of an area."""
+    dx = F.greatest(F.lit(0.0), F.col("xmin") - F.col("tx2"), F.col("tx1") - F.col("xmax"))
+    dy = F.greatest(F.lit(0.0), F.col("ymin") - F.col("ty2"), F.col("ty1") - F.col("ymax"))
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def _point_box_gap() -> Column:
     dx = F.greatest(F.lit(0.0), F.col("xmin") - F.col("tmx"), F.col("tmx") - F.col("xmax"))
     dy = F.greatest(F.lit(0.0), F.col("ymin") - F.col("tmy"), F.col("tmy") - F.col("ymax"))
@@ -296,7 +378,8 @@ def nearest_sites(
     shaped = _first(shaped, ["cat", *_shape(shaped)], order).withColumn("weight", F.lit(1))
     # Polygons that agree in all columns are still different shapes.
     numbered = materialize(_sized(shaped).withColumn("_shape", F.monotonically_increasing_id()), "sources")
-    candidates = _nearest_candidates(sites, numbered, [*payload, "_shape"], pair_limit)
+    standing = Standing(ties, ascending, nulls_last=True) if ties else Standing(source_id, True, nulls_last=False)
+    candidates = _nearest_candidates(sites, numbered, [*payload, "_shape"], pair_limit, standing)
     if candidates is None:
         return None
     best = _first(candidates, ["tmx", "tmy", "cat"], [F.col("distance"), *order])
@@ -343,7 +426,8 @@ def nearest_by_type(
     columns = [category, *(["edges"] if "edges" in pois.columns else ["x", "y"])]
     sources = _counted(pois.select(*columns), category, list(types))
     present = {r[0] for r in sources.select("cat").distinct().collect()}  # at most len(types) values
-    candidates = _nearest_candidates(targets, sources, ["source"] if "edges" in columns else [], pair_limit)
+    # Of areas at distance 0 any will do: the first by number.
+    candidates = _nearest_candidates(targets, sources, ["source"] if "edges" in columns else [], pair_limit, Standing("source", True))
     if candidates is None:
         return points
     closest = candidates.groupBy("tmx", "tmy", "cat").agg(F.min("distance").alias("distance"))

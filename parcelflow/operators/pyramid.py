@@ -149,8 +149,10 @@ def split(pairs: DataFrame, targets: Pyramid, sources: Pyramid, t_level: int, s_
     return near.join(targets.at(t_level - STEP, "t"), ["tpx", "tpy"])
 
 
-def members(pairs: DataFrame, targets: Pyramid, sources: Pyramid, t_level: int, s_level: int, comparisons: int, keep: list[str] | None = None) -> DataFrame:
-    """The members of small pairs of cells, side by side: source columns and ``tmx, tmy``.
+def members(
+    pairs: DataFrame, targets: Pyramid, sources: Pyramid, t_level: int, s_level: int, comparisons: int, keep: list[str] | None = None, worth: Column | None = None
+) -> DataFrame:
+    """The members of small pairs of cells, side by side: source columns and ``tmx, tmy``. Sources that are not ``worth`` it go before the shuffle.
 
     A pair stands for a bounded number of comparisons, so what meets at a target cell is bounded by its pairs.  Few bytes
     stand for many comparisons here: the partitions are set by their number and not left to a merge by size.
@@ -158,6 +160,8 @@ def members(pairs: DataFrame, targets: Pyramid, sources: Pyramid, t_level: int,
     t = targets.placed(t_level, "t").select("tx", "ty", F.col("mx").alias("tmx"), F.col("my").alias("tmy"))
     s = sources.placed(s_level, "s")
     with_sources = pairs.select(*sources.by, "tx", "ty", "sx", "sy", *(keep or [])).join(s, [*sources.by, "sx", "sy"])
+    if worth is not None:
+        with_sources = with_sources.filter(worth).drop(*BOX)
     usual = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(min(usual, comparisons // 100_000 + 1), comparisons // 1_000_000)
     return with_sources.repartition(tasks, "tx", "ty").join(t, ["tx", "ty"])

@@ -468,3 +468,59 @@ def test_scalar_geo_functions(spark):
     assert row["legs"] > row["km"] and -180 < row["bearing"] < 0
     assert (row["g11"], row["g5"], len(row["gend"])) == ("u4pruydqqvj", "u4pru", 3)
     assert (row["ax"], row["ay"]) == (pytest.approx(0, abs=1e-6), pytest.approx(-4000000, abs=1e-3))
+
+
+def overlapping_areas(rng, n):
+    """Squares, slanted triangles and rings of both windings that hold much of each other; ties with nulls and repeats."""
+    out = []
+    for k in range(n):
+        x, y, r = rng.uniform(0, 10_000), rng.uniform(0, 10_000), rng.uniform(500, 6_000)
+        square = [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+        slanted = [(x - r, y - r / 3), (x + r / 2, y - r), (x + r / 4, y + r)]
+        ring = (square, slanted, square[::-1])[k % 3]
+        out.append((f"a{k:03d}", None if k % 11 == 0 else k % 40, ring))
+    return out
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("ties, pair_limit", [("rank", 1 << 13), ("rank", 50), (None, 1 << 13)])
+def test_nearest_of_overlapping_areas(spark, ascending, ties, pair_limit):
+    """Cells covered by areas compare the better ranked ones only; the winners are those of all pairs."""
+    rng = random.Random(5)
+    areas = overlapping_areas(rng, 120)
+    points = [(k, rng.uniform(-3_000, 13_000), rng.uniform(-3_000, 13_000)) for k in range(700)]
+    shapes = spark.createDataFrame([(n, r, [{"x": a, "y": b} for a, b in ring]) for n, r, ring in areas], "name string, rank long, ring array<struct<x:double,y:double>>")
+    got = nearest(
+        spark.createDataFrame(points, "id long, x double, y double"), shapes.withColumn("edges", geo.ring_edges(F.col("ring"))).drop("ring"),
+        "name", ties=ties, ascending=ascending, columns=["name"], pair_limit=pair_limit,
+    )
+    edges = {n: [tuple(e.values()) for e in ring_edges_of(ring)] for n, _, ring in areas}
+
+    def gap(x, y, es):
+        if sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for a, b, c, d in es) % 2:
+            return 0.0
+        at = [max(0.0, min(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2))) for a, b, c, d in es]
+        return min(math.hypot(x - a - t * (c - a), y - b - t * (d - b)) for t, (a, b, c, d) in zip(at, es))
+
+    place = lambda r: 0 if not ties else (r is None, r and (r if ascending else -r))
+    want = {k: min((round(gap(x, y, edges[n]), 6), place(r), n) for n, r, _ in areas) for k, x, y in points}
+    assert {r["id"]: (r["name"], round(r["distance"], 6)) for r in got.collect()} == {k: (w[2], w[0]) for k, w in want.items()}
+
+
+def test_overlapping_areas_do_not_all_meet(spark, monkeypatch):
+    """Each point lies in about a hundred areas; behind the best one that covers its cell none is compared."""
+    rng, met = random.Random(6), []
+    shapes = [(f"a{k:03d}", k * 7919 % 1000, [(x - r, y - r, x + r, y - r), (x + r, y - r, x + r, y + r), (x + r, y + r, x - r, y + r), (x - r, y + r, x - r, y - r)])
+              for k in range(300) for x, y, r in [(rng.uniform(0, 10_000), rng.uniform(0, 10_000), rng.uniform(3_000, 4_500))]]
+    areas = spark.createDataFrame(shapes, "name string, rank long, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    points = spark.createDataFrame([(k, rng.uniform(0, 10_000), rng.uniform(0, 10_000)) for k in range(2_000)], "id long, x double, y double")
+    whole = proximity.members
+
+    def counted(*given):
+        held = whole(*given)
+        met.append(held.count())
+        return held
+
+    monkeypatch.setattr(proximity, "members", counted)
+    assert nearest(points, areas, "name", ties="rank", ascending=False).count() == 2_000
+    assert sum(met) < 20 * 2_000
